@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 
 def ratio(a: Column, b: Column) -> Column:
     """``a / b`` with division by zero giving 0."""
@@ -65,7 +67,7 @@ def frange(start: float, stop: float, step: float) -> list[float]:
 
 
 def softmax(logits: Column) -> Column:
-    peak = F.array_max(logits)
-    raw = F.transform(logits, lambda x: F.exp(x.cast("double") - peak.cast("double")))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raw, lambda x: x / total)
+    x = F.transform(logits, lambda v: v.cast("double"))
+    raw = bind(x, lambda v: bind(F.array_max(v), lambda peak: F.transform(v, lambda e: F.exp(e - peak))))
+    summed = lambda r: F.aggregate(r, F.lit(0.0), lambda a, e: a + e)
+    return bind(raw, lambda r: bind(summed(r), lambda total: F.transform(r, lambda e: e / total)))

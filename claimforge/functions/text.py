@@ -255,17 +255,27 @@ def vector_terms(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text(c)), F.lit(rf"[{W.WORD_CHARS}]{{2,}}"), F.lit(0))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it.
+
+    Lambdas re-evaluate what they capture for every element; a lambda variable does not.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def ngrams(tokens: Column, n_min: int, n_max: int) -> Column:
     """All word n-grams of ``n_min``..``n_max`` tokens joined by a blank."""
-    parts = []
-    for n in range(n_min, n_max + 1):
+    if (n_min, n_max) == (1, 1):
+        return tokens
+    none = F.array().cast("array<string>")
+
+    def of_size(t: Column, n: int) -> Column:
         if n == 1:
-            parts.append(tokens)
-            continue
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        parts.append(F.coalesce(grams, F.array().cast("array<string>")))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+            return t
+        starts = F.sequence(F.lit(1), F.size(t) - (n - 1))
+        return F.when(F.size(t) >= n, F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(none)
+
+    return bind(tokens, lambda t: F.concat(*[of_size(t, n) for n in range(n_min, n_max + 1)]))
 
 
 def char_ngrams(c: Column | str, n_min: int, n_max: int, word_boundary: bool = True) -> Column:

@@ -66,7 +66,7 @@ def primary_topic(
         picked = F.col("_top")
     elif choice == "longest":
         longest = F.array_max(F.transform(t, F.length))
-        picked = F.get(F.filter(t, lambda v: F.length(v) == longest), 0)
+        picked = X.bind(longest, lambda n: F.get(F.filter(t, lambda v: F.length(v) == n), 0))
     elif choice == "multi":
         picked = F.lit("multi-topic")
     else:
