@@ -130,15 +130,15 @@ def truncated_svd(rows: DataFrame, features: str, ks: Sequence[int]) -> DataFram
 
     spark = rows.sparkSession
     matrix = RowMatrix(rows.select(features).rdd.map(lambda r: OldVectors.fromML(r[0])))
-    svd = matrix.computeSVD(max(ks), computeU=True)
-    projected = svd.U.rows.map(lambda u: (u.toArray().tolist(),)).toDF(["u"])
-    s = svd.s.toArray().tolist()
-    variances = projected.agg(*[F.var_pop(F.col("u")[i] * s[i]).alias(f"v{i}") for i in range(len(s))])
-    total = matrix.computeColumnSummaryStatistics().variance().sum() * (matrix.numRows() - 1) / max(matrix.numRows(), 1)
-    shares = F.array(*[F.col(f"v{i}") for i in range(len(s))])
-    return variances.select(F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"), shares.alias("_v")).select(
-        "k", (F.aggregate(F.slice("_v", 1, F.col("k")), F.lit(0.0), lambda a, x: a + x) / F.lit(float(total))).alias("explained")
-    )
+    summary = matrix.computeColumnSummaryStatistics()
+    n = matrix.numRows()
+    svd = matrix.computeSVD(max(ks), computeU=False)
+    # Projection i has second moment s_i^2/n and mean (column means . v_i); left vectors are not needed.
+    means = svd.V.toArray().T @ summary.mean()
+    variances = svd.s.toArray() ** 2 / n - means**2
+    total = float(summary.variance().sum() * (n - 1) / n)
+    rows_out = [(int(k), float(variances[:k].sum() / total)) for k in ks]
+    return spark.createDataFrame(rows_out, "k int, explained double")
 
 
 def hash_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
@@ -185,17 +185,13 @@ def select_k_best_chi2(features: DataFrame, labels: DataFrame, key: str, label:
     """Top ``k`` terms by chi-square of their class sums against label-share expectation."""
     joined = features.join(labels.select(key, label), key)
     observed = joined.groupBy("term", label).agg(F.sum("value").alias("o"))
-    # Two small tables by nature: classes, and one total per term.
-    classes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     n = labels.agg(F.count(F.lit(1)).cast("double")).scalar()
-    by_class = F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("o"))))
-    terms = observed.groupBy("term").agg(F.sum("o").alias("total"), by_class.alias("_o"))
-    shares = classes.agg(F.collect_list(F.struct(F.col(label).alias("y"), (F.col("_c") / n).alias("p")))).scalar()
-    parts = F.transform(
-        shares,
-        lambda s: F.pow(F.coalesce(F.try_element_at("_o", s["y"]), F.lit(0.0)) - s["p"] * F.col("total"), F.lit(2.0))
-        / (s["p"] * F.col("total")),
-    )
-    chi2 = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-    scored = terms.where(F.col("total") > 0).select("term", chi2.alias("chi2"))
-    return scored.orderBy(F.desc("chi2"), "term").limit(k)
+    shares = labels.groupBy(label).agg((F.count(F.lit(1)) / n).alias("p"))
+    classes = shares.agg(F.collect_list(F.struct(F.col(label).alias("_y"), "p"))).scalar()
+    # Every (term, class) pair counts, also those never observed.
+    expected = observed.groupBy("term").agg(F.sum("o").alias("total")).where(F.col("total") > 0)
+    expected = expected.select("term", "total", F.inline(classes)).withColumnRenamed("_y", label)
+    pairs = expected.join(observed, ["term", label], "left")
+    e = F.col("p") * F.col("total")
+    gap = F.coalesce("o", F.lit(0.0)) - e
+    return pairs.groupBy("term").agg(F.sum(gap * gap / e).alias("chi2")).orderBy(F.desc("chi2"), "term").limit(k)
