@@ -125,11 +125,13 @@ def tfidf_vectors(train: DataFrame, test: DataFrame, terms: Column, max_features
 
 def truncated_svd(rows: DataFrame, features: str, ks: Sequence[int]) -> DataFrame:
     """Explained variance share of an uncentred SVD for several ranks."""
-    from pyspark.mllib.linalg import Vectors as OldVectors
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
     spark = rows.sparkSession
-    matrix = RowMatrix(rows.select(features).rdd.map(lambda r: OldVectors.fromML(r[0])))
+    # The solver passes over the rows once per iteration.
+    vectors = MLUtils.convertVectorColumnsFromML(rows.select(features), features).persist()
+    matrix = RowMatrix(vectors)
     summary = matrix.computeColumnSummaryStatistics()
     n = matrix.numRows()
     svd = matrix.computeSVD(max(ks), computeU=False)
@@ -137,6 +139,7 @@ def truncated_svd(rows: DataFrame, features: str, ks: Sequence[int]) -> DataFram
     means = svd.V.toArray().T @ summary.mean()
     variances = svd.s.toArray() ** 2 / n - means**2
     total = float(summary.variance().sum() * (n - 1) / n)
+    vectors.unpersist()
     rows_out = [(int(k), float(variances[:k].sum() / total)) for k in ks]
     return spark.createDataFrame(rows_out, "k int, explained double")
 

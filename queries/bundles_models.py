@@ -1 +1,289 @@
+"""Model fitting, bundles and the whole preparation."""
 
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.sql import functions as F
+
+from claimforge.functions import words as W
+from claimforge.operators import encode as E
+from claimforge.operators import evaluate as N
+from claimforge.operators import models as O
+from claimforge.operators import prepare as Q
+from claimforge.operators import splits as K
+from claimforge.operators import target as G
+from claimforge.operators import textstats as S
+from claimforge.operators import vectorize as V
+from claimforge.session import scratch_path
+from claimforge.sources import bundles as BN
+
+from .categories import r6
+from .cleaning import _B9, _B10, _JOB, _SPEAKER, _STATE
+from .features import _SYL, _lex, _title
+from .registry import (
+    FULL_CLAIMS, full_claims, query, s_base, s_clean, s_clean_subject, s_count, s_repair, s_squeeze, s_strip, s_topics, s_unknown, s_words, scored, table,
+)
+
+NUMERIC = ["length", "word_count", "avg_word_length", "exclamation", "question", "uppercase_ratio", "digit_count", "comma_count"]
+
+
+def model_frame(spark, sf):
+    """Labelled claims with text statistics, an out-of-fold speaker rate and balanced weights."""
+    d = S.manual_text_features(scored(spark, sf), "statement")
+    d = G.oof_rate(d, "speaker", "label", "fold", "speaker_rate")
+    d = K.add_class_weights(d, "label").select("id", "label", "fold", "weight", *NUMERIC, "speaker_rate")
+    raw = O.assemble(d, [*NUMERIC, "speaker_rate"], "raw")
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
+    return scaler.fit(raw).transform(raw).select("id", "label", "fold", "weight", "features").persist()
+
+
+def score_all(model, df):
+    return O.add_score(model, df, "score").select("id", "label", F.round("score", 6).alias("score"))
+
+
+@query("O1_fit_logistic")
+def o1(spark, sf):
+    d = model_frame(spark, sf)
+    return score_all(O.fit_logistic(d, C=1.0, l1_ratio=0.2, weight="weight"), d)
+
+
+@query("O2_fit_linear_svm")
+def o2(spark, sf):
+    d = model_frame(spark, sf)
+    return score_all(O.fit_linear_svm(d, weight="weight"), d)
+
+
+@query("O3_fit_naive_bayes")
+def o3(spark, sf):
+    d = scored(spark, sf)
+    tr, te, _ = V.tfidf_vectors(d, d, V.word_terms("statement"), 500, 2.0)
+    return score_all(O.fit_naive_bayes(tr, kind="complement", alpha=0.5), te)
+
+
+@query("O4_fit_random_forest")
+def o4(spark, sf):
+    d = model_frame(spark, sf)
+    return score_all(O.fit_random_forest(d, trees=10, depth=4, weight="weight"), d)
+
+
+@query("O5_fit_gbt")
+def o5(spark, sf):
+    d = model_frame(spark, sf).withColumn("is_val", F.col("fold") == 0)
+    return score_all(O.fit_gbt(d, rounds=5, depth=3, weight="weight", validation="is_val"), d)
+
+
+@query("O6_calibrate")
+def o6(spark, sf):
+    d = model_frame(spark, sf)
+    out = O.calibrate(d, d, "fold", range(5), lambda x: O.fit_logistic(x, weight="weight"), "label", "id", "isotonic")
+    return out.select("id", F.round("score", 6).alias("score"))
+
+
+@query("O7_random_search")
+def o7(spark, sf):
+    d = model_frame(spark, sf)
+    draws = O.random_draws({"C": O.log_uniform(1e-3, 10), "l1_ratio": [0.0, 1.0]}, 3)
+    ranked = O.search(d, "label", "fold", range(5), lambda x, **p: O.fit_logistic(x, weight="weight", **p), draws)
+    return spark.createDataFrame([(i, r["C"], r["l1_ratio"], r["mean_macro_f1"]) for i, r in enumerate(ranked)], "rank int, C double, l1_ratio double, macro_f1 double")
+
+
+@query("O9_oof_predict")
+def o9(spark, sf):
+    d = model_frame(spark, sf)
+    oof = O.oof_predict(d, "fold", range(5), lambda x: O.fit_logistic(x, weight="weight"))
+    return oof.select("id", "fold", "label", F.round("oof_proba", 6).alias("oof_proba"))
+
+
+@query("O10_stack")
+def o10(spark, sf):
+    d = model_frame(spark, sf)
+    lr = O.oof_predict(d, "fold", range(5), lambda x: O.fit_logistic(x, weight="weight")).select("id", "label", "oof_proba")
+    rf = O.oof_predict(d, "fold", range(5), lambda x: O.fit_random_forest(x, trees=5, depth=3)).select("id", "oof_proba")
+    model, joined, _ = O.stack({"lr": lr, "rf": rf}, "label")
+    return score_all(model, joined)
+
+
+@query("N10_feature_ranking")
+def n10(spark, sf):
+    d = model_frame(spark, sf)
+    model = O.fit_random_forest(d, trees=10, depth=4)
+    return N.feature_ranking(spark, [*NUMERIC, "speaker_rate"], model.featureImportances.toArray().tolist())
+
+
+@query("J3_column_roles", "SELECT unnest(['id', 'statement', 'subject', 'speaker', 'speaker_job', 'state_info', 'party_affiliation']) AS \"column\", unnest(['numeric', 'text', 'text', 'text', 'text', 'text', 'text']) AS role FROM (SELECT count(*) FROM documents)")
+def j3(spark, sf):
+    return E.column_role_table(full_claims(spark, sf))
+
+
+# --- preparation ------------------------------------------------------------
+
+_PARTY = s_unknown(s_squeeze(s_base("party_affiliation")))
+
+
+def _on(expr: str, old: str, new: str) -> str:
+    return expr.replace(old, new)
+
+
+_CLEAN_COLS = {
+    "subject_clean": s_clean_subject("subject"),
+    "statement_clean": s_clean(s_repair("statement")),
+    "speaker_clean": _on(_SPEAKER, "c_name", "speaker"),
+    "speaker_job_clean": _on(_JOB, "coalesce(j,", "coalesce(speaker_job,"),
+    "party_affiliation_clean": _PARTY,
+    "state_info_clean": _on(_STATE, "n_name", "coalesce(state_info, '')"),
+}
+
+
+@query("Q1_prepare_default", f"WITH {FULL_CLAIMS} SELECT label, statement, " + ", ".join(f"{e} AS {c}" for c, e in _CLEAN_COLS.items()) + " FROM full_claims")
+def q1(spark, sf):
+    return Q.prepare(full_claims(spark, sf))
+
+
+_FLAT = dict(
+    id_option="hash_bucket", label_option="drop", subject_add_primary=True, subject_add_topic_count=True, speaker_add_frequency=True,
+    speaker_add_grouped_speaker=True, speaker_group_rare=True, speaker_job_add_length_features=True, state_add_us_region=True, statement_add_lexical_features=True,
+    fe_add_speaker_party=True, fe_add_negation_count=True,
+)
+
+
+@query(
+    "Q1_prepare_flat_options",
+    f"""WITH {FULL_CLAIMS}, c AS (SELECT id, statement, {', '.join(f'{e} AS {c}' for c, e in _CLEAN_COLS.items())}, {s_repair('statement')} AS o FROM full_claims),
+      t AS (SELECT *, {s_topics('subject_clean')} AS topics, count(*) OVER (PARTITION BY speaker_clean) AS n FROM c)
+    SELECT statement, subject_clean, statement_clean, speaker_clean, speaker_job_clean, party_affiliation_clean, state_info_clean, coalesce(topics[1], 'unknown') AS subject_primary,
+      CAST(len(topics) AS INTEGER) AS subject_topic_count, n AS speaker_frequency, round(n / (SELECT count(*) FROM t), 6) AS speaker_frequency_pct, CASE WHEN n < 5 THEN 'other' ELSE speaker_clean END AS speaker_grouped,
+      CAST(length(speaker_job_clean) AS INTEGER) AS speaker_job_char_len, 'unknown' AS state_info_us_region,
+      CAST(length(o) AS INTEGER) AS statement_original_char_len, {s_words('o')} AS statement_original_word_count, round({s_count('o', chr(92) + 'p{Lu}')} / greatest(length(o), 1), 6) AS statement_upper_ratio,
+      {s_count('o', '!')} AS statement_exclamation_count, {s_count('o', chr(92) + '?')} AS statement_question_count, round({s_count('statement_clean', '[0-9]')} / greatest(length(statement_clean), 1), 6) AS statement_clean_digit_ratio,
+      speaker_clean || '__' || party_affiliation_clean AS fe_speaker_party, (SELECT {_lex(W.NEGATION_WORDS)} FROM (SELECT regexp_extract_all(statement_clean, '[a-z'']+') AS toks)) AS fe_negation_count,
+      (SELECT CAST(((((CAST('0x' || substr(h, 1, 8) AS BIGINT) % 100) * 96 + CAST('0x' || substr(h, 9, 8) AS BIGINT)) % 100 * 96 + CAST('0x' || substr(h, 17, 8) AS BIGINT)) % 100 * 96 + CAST('0x' || substr(h, 25, 8) AS BIGINT)) % 100 AS INTEGER)
+        FROM (SELECT md5(CAST(id AS VARCHAR)) AS h)) AS id_bucket FROM t""",
+)
+def q1_flat(spark, sf):
+    d = Q.prepare(full_claims(spark, sf), Q.PrepareOptions.from_flat(**_FLAT))
+    return d.withColumns({c: F.round(c, 6) for c in ("speaker_frequency_pct", "statement_upper_ratio", "statement_clean_digit_ratio")})
+
+
+_STOPS = ["the", "and", "of", "to", "no"]
+_TOPIC_FLAGS = ["economy", "large", "medium", "promo", "small", "standard"]
+_TYPED = _B10.replace("coalesce(text, '')", "b9")
+
+
+@query(
+    "Q2_prepare_topn",
+    f"""WITH {FULL_CLAIMS}, p AS (SELECT label, CAST(speaker_job IS NULL AS INTEGER) AS speaker_job_missing, CAST(state_info IS NULL AS INTEGER) AS state_info_missing, lower(speaker) AS speaker,
+      lower(coalesce(speaker_job, 'missing')) AS speaker_job, lower(coalesce(state_info, 'missing')) AS state_info, lower(party_affiliation) AS party_affiliation, {_B9.replace('(text,', '(statement,')} AS b9,
+      [{s_strip('x')} FOR x IN string_split(lower(coalesce(subject, 'missing')), ',')] AS sl FROM full_claims),
+      ts AS (SELECT speaker AS v FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10), tj AS (SELECT speaker_job AS v FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3),
+      tt AS (SELECT state_info AS v FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 8)
+    SELECT label, speaker_job_missing, state_info_missing, speaker, speaker_job, state_info, party_affiliation, b9 AS statement_normalized,
+      array_to_string([t FOR t IN regexp_extract_all({_TYPED}, '\\S+') IF regexp_full_match(t, '[a-zA-Z]{{2,}}') AND t NOT IN ('the', 'and', 'of', 'to')], ' ') AS statement_clean,
+      {', '.join(f"CAST(list_contains(sl, '{v}') AS INTEGER) AS subject_{v}" for v in _TOPIC_FLAGS)},
+      CASE WHEN speaker IN (SELECT v FROM ts) THEN speaker ELSE 'other' END AS speaker_top, CASE WHEN speaker_job IN (SELECT v FROM tj) THEN speaker_job ELSE 'other' END AS speaker_job_top,
+      CASE WHEN state_info IN (SELECT v FROM tt) THEN state_info ELSE 'other' END AS state_info_top, 'other' AS party_top FROM p""",
+)
+def q2(spark, sf):
+    d = Q.prepare_topn(full_claims(spark, sf), 10, 3, 8, stoplist=_STOPS, vocabulary=_TOPIC_FLAGS)
+    return d.drop("statement", "subject", "subject_list")
+
+
+def s_preset(raw: str, clean: str, flags: dict[str, str], threshold: int = 5) -> str:
+    extra = "".join(f", CAST({e} AS INTEGER) AS {raw}_{n}" for n, e in flags.items())
+    return f"""WITH {FULL_CLAIMS}, c AS (SELECT id, coalesce({raw}, '') AS r, {clean} AS v FROM full_claims), n AS (SELECT *, count(*) OVER (PARTITION BY v) AS n FROM c)
+    SELECT id, v AS {raw}_clean, n AS {raw}_frequency, round(n / (SELECT count(*) FROM c), 6) AS {raw}_frequency_pct, CAST(n < {threshold} AS INTEGER) AS {raw}_is_rare,
+      CASE WHEN n < {threshold} THEN 'other' ELSE v END AS {raw}_grouped, CAST(length(v) AS INTEGER) AS {raw}_char_len, {s_words('v')} AS {raw}_token_count{extra} FROM n"""
+
+
+_COMMA, _SLASH, _AMP, _DOT = "contains(r, ',')", "contains(r, '/')", "contains(r, '&')", "contains(r, '.')"
+
+
+def _preset_query(group: str, name: str, drop: tuple[str, ...] = ()):
+    def run(spark, sf):
+        o = Q.preset(group, name)
+        d = Q.prepare_category(full_claims(spark, sf), o)
+        keep = ["id", *[c for c in d.columns if c.startswith(o.source_col + "_")]]
+        # speaker_job is a column of its own, not a feature of speaker
+        keep = [c for c in keep if c != "speaker_job"]
+        pct = f"{o.source_col}_frequency_pct"
+        return d.select(*keep).withColumn(pct, F.round(pct, 6))
+
+    return run
+
+
+query("Q5_preset_speaker_expanded", s_preset("speaker", _CLEAN_COLS["speaker_clean"], {"has_title": _title(W.SPEAKER_TITLES).replace("(t,", "(r,"), "has_comma": _COMMA, "has_period": _DOT}))(
+    _preset_query("speaker", "expanded")
+)
+query("Q5_preset_job_rare_safe", s_preset("speaker_job", _CLEAN_COLS["speaker_job_clean"], {"has_title": _title(W.JOB_TITLES).replace("(t,", "(r,"), "has_comma": _COMMA, "has_slash": _SLASH, "has_ampersand": _AMP}))(
+    _preset_query("speaker_job", "rare_safe")
+)
+query(
+    "Q5_preset_party_expanded",
+    s_preset(
+        "party_affiliation", _PARTY,
+        {"has_slash": _SLASH, "has_ampersand": _AMP, "has_comma": _COMMA, "has_parentheses": "regexp_matches(r, '[()]')", "is_major_party": "v IN ('democrat', 'republican')", "is_institutional": "v IN ('journalist', 'activist')"},
+    ),
+)(_preset_query("party_affiliation", "expanded"))
+query("Q5_preset_state_rare_safe", s_preset("state_info", _CLEAN_COLS["state_info_clean"], {"is_us_state": "v IN ('ohio')", "has_us_words": "v = 'usa'"}))(_preset_query("state", "rare_safe"))
+
+
+_E4_PRESET = f"""WITH {FULL_CLAIMS}, c AS (SELECT id, {s_clean_subject('subject')} AS s FROM full_claims), t AS (SELECT id, s, {s_topics('s')} AS t FROM c),
+  x AS (SELECT id, unnest(t) AS topic, generate_subscripts(t, 1) AS pos FROM t), g AS (SELECT topic, count(*) AS n FROM x GROUP BY 1),
+  m AS (SELECT id, topic FROM x JOIN g USING (topic) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, length(topic) DESC, pos) = 1),
+  p AS (SELECT t.*, CASE WHEN len(t) > 3 THEN 'multi-topic' ELSE coalesce(topic, 'unknown') END AS prim FROM t LEFT JOIN m USING (id)), n AS (SELECT *, count(*) OVER (PARTITION BY prim) AS n FROM p)
+  SELECT id, s AS subject_clean, CAST(len(t) AS INTEGER) AS subject_topic_count, CAST(len(t) > 1 AS INTEGER) AS subject_has_multiple_topics, CAST(length(s) AS INTEGER) AS subject_length, {s_words('s')} AS subject_token_count,
+    prim AS subject_primary, n AS subject_frequency, CAST(n < 10 AS INTEGER) AS subject_is_rare, CASE WHEN n < 10 THEN 'other' ELSE prim END AS subject_primary_grouped FROM n"""
+
+
+@query("Q5_preset_subject_rare_safe", _E4_PRESET)
+def q5_subject(spark, sf):
+    d = Q.prepare_subject(full_claims(spark, sf), Q.preset("subject", "rare_safe"))
+    return d.select("id", *[c for c in d.columns if c.startswith("subject_") and c != "subject_topics"])
+
+
+@query(
+    "Q5_preset_features_expanded",
+    f"""WITH {FULL_CLAIMS}, c AS (SELECT id, {', '.join(f'{e} AS {c}' for c, e in _CLEAN_COLS.items())} FROM full_claims),
+      w AS (SELECT *, {s_words('statement_clean')} AS wc, {s_count('statement_clean', "[.,!?;:" + chr(34) + "''" + "\\-()\\[\\]{}]")} / greatest(length(statement_clean), 1) AS pd, {s_count('statement_clean', '[0-9]')} / greatest(length(statement_clean), 1) AS dr FROM c)
+    SELECT id, speaker_job_clean || '__' || subject_clean AS fe_speaker_job_subject, state_info_clean || '__' || party_affiliation_clean AS fe_state_party,
+      speaker_clean || '__' || CASE WHEN wc < 50 THEN 'short' WHEN wc <= 150 THEN 'medium' ELSE 'long' END AS fe_speaker_len_bucket,
+      round(avg(wc) OVER (PARTITION BY speaker_clean), 6) AS fe_speaker_avg_statement_len, round(avg(wc) OVER (PARTITION BY subject_clean), 6) AS fe_subject_avg_statement_len,
+      round(avg(pd) OVER (PARTITION BY speaker_clean), 6) AS fe_speaker_avg_punctuation, round(avg(dr) OVER (PARTITION BY speaker_clean), 6) AS fe_speaker_avg_number_ratio, {s_count('statement_clean', '[0-9]+')} AS fe_numeral_count FROM w""",
+)
+def q5_features(spark, sf):
+    o = Q.PrepareOptions.from_flat(statement_keep_original=True, id_option="hash_bucket")
+    d = Q.add_cross_features(Q.prepare_keyed(full_claims(spark, sf), o), Q.preset("fe", "expanded"))
+    means = ["fe_speaker_avg_statement_len", "fe_subject_avg_statement_len", "fe_speaker_avg_punctuation", "fe_speaker_avg_number_ratio"]
+    return d.select("id", "fe_speaker_job_subject", "fe_state_party", "fe_speaker_len_bucket", *r6(*means), "fe_numeral_count")
+
+
+def _trained_bundle(spark, sf):
+    options = Q.PrepareOptions.from_flat(speaker_add_frequency=True, speaker_add_grouped_speaker=True, speaker_group_rare=True, statement_add_lexical_features=True, label_option="skip", id_option="hash_bucket")
+    train = Q.prepare_keyed(full_claims(spark, sf).where("label is not null"), options)
+    maps = G.fit_rate_maps(train, {"fe_speaker_rate": ["speaker_grouped", "speaker_clean"], "fe_party_rate": ["party_affiliation_grouped", "party_affiliation_clean"]}, "label")
+    train = G.apply_rate_maps(train, maps)
+    encoders = {"speaker_grouped": E.ordinal_table(train, "speaker_grouped")}
+    train = E.ordinal_apply(train, encoders)
+    names = ["statement_original_char_len", "statement_original_word_count", "statement_upper_ratio", "speaker_frequency", "fe_speaker_rate", "fe_party_rate", "speaker_grouped_code"]
+    ready = E.align_schema(train, names, keep=["label"])
+    stages = [VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(labelCol="label", regParam=0.01)]
+    model = Pipeline(stages=stages).fit(ready)
+    return BN.Bundle(model, names, options.to_dict(), 0.5, maps, 0.5, encoders)
+
+
+@query("A6_bundle_roundtrip")
+def a6(spark, sf):
+    root = scratch_path(spark, "bundles")
+    BN.save_bundle(spark, _trained_bundle(spark, sf), root, "lr")
+    loaded = BN.load_bundle(spark, root, "lr")
+    parts = loaded.rate_maps["fe_speaker_rate"][1].select(F.lit("lr").alias("name"), F.col("speaker_grouped").alias("key"), F.round("rate", 6).alias("rate"))
+    return parts.join(BN.list_bundles(spark, root).select("name"), "name")
+
+
+@query("Q3_score_batch")
+def q3(spark, sf):
+    root = scratch_path(spark, "bundles")
+    BN.save_bundle(spark, _trained_bundle(spark, sf), root, "lr")
+    rows = full_claims(spark, sf).where("label is null").drop("label")
+    return Q.score_batch(BN.load_bundle(spark, root, "lr"), rows).withColumn("score", F.round("score", 6))

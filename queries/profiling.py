@@ -60,7 +60,7 @@ def m3(spark, sf):
 
 @query("M3_top_values", "SELECT user_id, count(*) AS n FROM events WHERE regexp_matches(CAST(user_id AS VARCHAR), '1') GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
 def m3_top(spark, sf):
-    return M.top_values(table(spark, sf, "events").withColumn("user_id", F.col("user_id")), "user_id", 10, "1")
+    return M.top_values(table(spark, sf, "events"), "user_id", 10, "1")
 
 
 _DESCRIBED = ["l_quantity", "l_extendedprice", "l_discount"]
