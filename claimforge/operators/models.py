@@ -30,6 +30,16 @@ def total_weight(df: DataFrame, weight: str | None) -> float:
     return float(df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 1.0)
 
 
+def cache_for_fit(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """Persist training rows in as many partitions as their count deserves.
+
+    Fitting runs one job per iteration; near-empty partitions would only add task overhead.
+    """
+    cached = df.persist()
+    wanted = max(1, math.ceil(cached.count() / rows_per_task))
+    return cached.coalesce(wanted) if wanted < cached.rdd.getNumPartitions() else cached
+
+
 def fit_logistic(
     df: DataFrame, features: str = "features", label: str = "label", C: float = 1.0, l1_ratio: float = 0.0,
     weight: str | None = None, max_iter: int = 100,

@@ -36,7 +36,11 @@ def model_frame(spark, sf):
     d = K.add_class_weights(d, "label").select("id", "label", "fold", "weight", *NUMERIC, "speaker_rate")
     raw = O.assemble(d, [*NUMERIC, "speaker_rate"], "raw")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
-    return scaler.fit(raw).transform(raw).select("id", "label", "fold", "weight", "features").persist()
+    return O.cache_for_fit(scaler.fit(raw).transform(raw).select("id", "label", "fold", "weight", "features"))
+
+
+def logistic(df, **params):
+    return O.fit_logistic(df, weight="weight", max_iter=25, **params)
 
 
 def score_all(model, df):
@@ -46,13 +50,13 @@ def score_all(model, df):
 @query("O1_fit_logistic")
 def o1(spark, sf):
     d = model_frame(spark, sf)
-    return score_all(O.fit_logistic(d, C=1.0, l1_ratio=0.2, weight="weight"), d)
+    return score_all(logistic(d, C=1.0, l1_ratio=0.2), d)
 
 
 @query("O2_fit_linear_svm")
 def o2(spark, sf):
     d = model_frame(spark, sf)
-    return score_all(O.fit_linear_svm(d, weight="weight"), d)
+    return score_all(O.fit_linear_svm(d, weight="weight", max_iter=15), d)
 
 
 @query("O3_fit_naive_bayes")
@@ -77,7 +81,7 @@ def o5(spark, sf):
 @query("O6_calibrate")
 def o6(spark, sf):
     d = model_frame(spark, sf)
-    out = O.calibrate(d, d, "fold", range(5), lambda x: O.fit_logistic(x, weight="weight"), "label", "id", "isotonic")
+    out = O.calibrate(d, d, "fold", range(5), logistic, "label", "id", "isotonic")
     return out.select("id", F.round("score", 6).alias("score"))
 
 
@@ -85,21 +89,21 @@ def o6(spark, sf):
 def o7(spark, sf):
     d = model_frame(spark, sf)
     draws = O.random_draws({"C": O.log_uniform(1e-3, 10), "l1_ratio": [0.0, 1.0]}, 3)
-    ranked = O.search(d, "label", "fold", range(5), lambda x, **p: O.fit_logistic(x, weight="weight", **p), draws)
+    ranked = O.search(d, "label", "fold", range(5), logistic, draws)
     return spark.createDataFrame([(i, r["C"], r["l1_ratio"], r["mean_macro_f1"]) for i, r in enumerate(ranked)], "rank int, C double, l1_ratio double, macro_f1 double")
 
 
 @query("O9_oof_predict")
 def o9(spark, sf):
     d = model_frame(spark, sf)
-    oof = O.oof_predict(d, "fold", range(5), lambda x: O.fit_logistic(x, weight="weight"))
+    oof = O.oof_predict(d, "fold", range(5), logistic)
     return oof.select("id", "fold", "label", F.round("oof_proba", 6).alias("oof_proba"))
 
 
 @query("O10_stack")
 def o10(spark, sf):
     d = model_frame(spark, sf)
-    lr = O.oof_predict(d, "fold", range(5), lambda x: O.fit_logistic(x, weight="weight")).select("id", "label", "oof_proba")
+    lr = O.oof_predict(d, "fold", range(5), logistic).select("id", "label", "oof_proba")
     rf = O.oof_predict(d, "fold", range(5), lambda x: O.fit_random_forest(x, trees=5, depth=3)).select("id", "oof_proba")
     model, joined, _ = O.stack({"lr": lr, "rf": rf}, "label")
     return score_all(model, joined)
