@@ -35,6 +35,19 @@ def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def chars_in(c: Column, char_class: str) -> Column:
+    """Number of characters of a class, as what removing them takes away.
+
+    Counting matches would build every match as a string first.
+    """
+    return F.length(c) - F.length(sub(c, char_class + "+", ""))
+
+
+def literal_count(c: Column, ch: str) -> Column:
+    """Occurrences of one character."""
+    return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace from both ends."""
     return sub(c, rf"^{W.SPACE}+|{W.SPACE}+$", "")
@@ -51,11 +64,9 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return count_of(c, rf"{W.NOT_SPACE}+")
-
-
-def char_len(c: Column) -> Column:
-    return F.length(c)
+    """Whitespace-separated words: the blanks of the squeezed text, plus one unless it is empty."""
+    x = squeeze(c)
+    return literal_count(x, " ") + F.when(x == "", 0).otherwise(1)
 
 
 def per_char(n: Column, c: Column) -> Column:
@@ -329,11 +340,12 @@ def reading_ease(c: Column | str) -> Column:
     n_words = word_count(x)
     n_sentences = count_of(x, "[.!?]+") + 1
     letters = sub(F.lower(x), W.other_than("a-z") + "+", "")
-    consonant = "[b-df-hj-np-tv-z]"
+    consonants = "[b-df-hj-np-tv-z]*+"
+    # One syllable per vowel group, minus a closing "e"; words that would be left with none get one back.
     groups = count_of(letters, "[aeiou]+")
-    silent = count_of(letters, rf"(?<![a-z])[a-z]*[aeiou]{consonant}[a-z]*e(?![a-z])")
-    vowelless = count_of(letters, rf"(?<![a-z]){consonant}+(?![a-z])")
-    syllables = groups - silent + vowelless
+    closing_e = count_of(letters, "e(?![a-z])")
+    one_at_least = count_of(letters, rf"(?<![a-z])(?=[a-z]){consonants}(?:[aeiou]*e)?(?![a-z])")
+    syllables = groups - closing_e + one_at_least
     score = F.lit(206.835) - 1.015 * (n_words / n_sentences) - 84.6 * (syllables / n_words)
     return F.when(n_words == 0, F.lit(0.0)).otherwise(score)
 

@@ -37,11 +37,11 @@ def pollution_profile(df: DataFrame, col: str, min_tabs: int = 1) -> DataFrame:
         "*",
         F.length(x).alias("statement_length"),
         F.greatest(X.word_count(x), F.lit(1)).alias("word_count"),
-        X.count_of(x, "\t").alias("tab_count"),
-        X.count_of(x, "[\n\r]").alias("newline_count"),
+        X.literal_count(x, "\t").alias("tab_count"),
+        X.chars_in(x, "[\n\r]").alias("newline_count"),
         X.count_of(x, r"https?://|www\.").alias("url_count"),
-        X.count_of(x, "[\"']").alias("quote_count"),
-        X.count_of(x, W.other_than("A-Za-z0-9")).alias("special_char_count"),
+        X.chars_in(x, "[\"']").alias("quote_count"),
+        X.chars_in(x, W.other_than("A-Za-z0-9")).alias("special_char_count"),
     )
     n_words = F.col("word_count")
     out = out.withColumn("special_char_ratio", F.col("special_char_count") / F.greatest("statement_length", F.lit(1)))

@@ -35,52 +35,40 @@ def binary_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = (),
     return _metrics(confusion(df, label, pred, by), metrics, by)
 
 
-def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score."""
+def _ladder(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """Distinct scores from high to low: positives and negatives, running (tp, fp) and in all (tp_all, fp_all)."""
     require(df, label, score, *by)
     y = F.col(label)
-    rows = df.where(y.isNotNull() & F.col(score).isNotNull())
-    return rows.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count(F.when(y == 1, 1)).alias("pos"), F.count(F.when(y == 0, 1)).alias("neg")
+    rows = df.where(y.isNotNull() & F.col(score).isNotNull()).select(
+        *by,
+        F.col(score).cast("double").alias("score"),
+        (y == 1).cast("bigint").alias("pos"),
+        (y == 0).cast("bigint").alias("neg"),
     )
-
-
-def _ladder(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
-    """Distinct scores from high to low with running positives (tp) and negatives (fp)."""
-    return running_sums(score_counts(df, label, score, by), by, "score", {"tp": "pos", "fp": "neg"}, ascending=False)
+    counts = rows.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return running_sums(counts, by, "score", {"tp": "pos", "fp": "neg"}, ascending=False, rows=rows)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank AUC; tied scores count one half."""
-    ladder = _ladder(df, label, score, by)
-    # A positive beats the negatives scored below it and half of those tied with it.
+    # A positive loses to the negatives scored above it and to half of those tied with it.
     above = F.col("fp") - F.col("neg")
     lost = F.sum(F.col("pos").cast("double") * (above + F.col("neg") / 2))
     p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
-    return ladder.groupBy(*by).agg((1 - F.try_divide(lost, p * n)).alias("roc_auc"))
+    return _ladder(df, label, score, by).groupBy(*by).agg((1 - F.try_divide(lost, p * n)).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """``sum((R_i - R_{i-1}) * P_i)`` over distinct scores, no interpolation."""
-    ladder = _ladder(df, label, score, by)
     gain = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    return ladder.groupBy(*by).agg(F.try_divide(F.sum(gain), F.sum("pos").cast("double")).alias("average_precision"))
+    value = F.try_divide(F.sum(gain), F.sum("pos").cast("double"))
+    return _ladder(df, label, score, by).groupBy(*by).agg(value.alias("average_precision"))
 
 
 def curve_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """ROC and precision-recall points, one per distinct score used as an inclusive cutoff."""
-    ladder = _ladder(df, label, score, by)
-    totals = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by).agg(
-        F.count(F.when(F.col(label) == 1, 1)).alias("_p"), F.count(F.when(F.col(label) == 0, 1)).alias("_n")
-    )
-    if by:
-        placed = ladder.join(totals, list(by))
-        p, n = F.col("_p"), F.col("_n")
-    else:
-        both = totals.select(F.struct("_p", "_n")).scalar()
-        placed, p, n = ladder, both["_p"], both["_n"]
-    tp, fp = F.col("tp"), F.col("fp")
-    return placed.select(
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "tp_all", "fp_all"))
+    return _ladder(df, label, score, by).select(
         *by, F.col("score").alias("threshold"), S.ratio(fp, n).alias("fpr"), S.ratio(tp, p).alias("tpr"),
         S.ratio(tp, tp + fp).alias("precision"), S.ratio(tp, p).alias("recall"),
     )
@@ -142,10 +130,19 @@ def best_threshold(sweep: DataFrame, metric: str = "macro_f1", by: Sequence[str]
     return sweep.groupBy(*by).agg(best.alias("_b")).select(*by, "_b.*")
 
 
+def rank_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """AUC and average precision from one ladder."""
+    lost = F.sum(F.col("pos").cast("double") * (F.col("fp") - F.col("neg") + F.col("neg") / 2))
+    gain = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
+    p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
+    return _ladder(df, label, score, by).groupBy(*by).agg(
+        (1 - F.try_divide(lost, p * n)).alias("roc_auc"), F.try_divide(gain, p).alias("average_precision")
+    )
+
+
 def fold_metrics(df: DataFrame, label: str, score: str, fold: str, threshold: float = 0.5) -> DataFrame:
     pred = df.withColumn("_pred", (F.col(score) >= threshold).cast("int"))
-    out = binary_metrics(pred, label, "_pred", [fold])
-    return out.join(roc_auc(df, label, score, [fold]), fold).join(average_precision(df, label, score, [fold]), fold)
+    return binary_metrics(pred, label, "_pred", [fold]).join(rank_metrics(df, label, score, [fold]), fold)
 
 
 def cv_summary(folds: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:

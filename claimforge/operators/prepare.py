@@ -349,7 +349,7 @@ def prepare_statement(df: DataFrame, o: StatementOptions = StatementOptions(), k
     scalable: list[str] = []
     if o.add_pollution_features:
         x = X.text(src)
-        tabs, lines = X.count_of(x, "\t"), X.count_of(x, "[\n\r]")
+        tabs, lines = X.literal_count(x, "\t"), X.chars_in(x, "[\n\r]")
         df = df.withColumns(
             {"statement_tab_count": tabs, "statement_newline_count": lines, "statement_row_spillover_flag": (tabs > 0) | (lines > 0)}
         )
@@ -469,14 +469,15 @@ def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions()) -> D
                 scalable.append(out)
     means = [
         (o.add_speaker_avg_statement_len, o.speaker_col, lambda c: X.word_count(X.text(c)), "fe_speaker_avg_statement_len"),
-        (o.add_subject_avg_statement_len, o.subject_col, lambda c: X.word_count(X.text(c)), "fe_subject_avg_statement_len"),
         (o.add_speaker_avg_punctuation, o.speaker_col, S.punct_density, "fe_speaker_avg_punctuation"),
         (o.add_speaker_avg_number_ratio, o.speaker_col, S.digit_ratio, "fe_speaker_avg_number_ratio"),
+        (o.add_subject_avg_statement_len, o.subject_col, lambda c: X.word_count(X.text(c)), "fe_subject_avg_statement_len"),
     ]
-    for on, key, value, out in means:
-        if on and I.have(df, out, key, o.statement_col):
-            df = G.group_mean_feature(df, key, value(o.statement_col), out)
-            scalable.append(out)
+    for key in (o.speaker_col, o.subject_col):
+        wanted = {out: value(o.statement_col) for on, k, value, out in means if on and k == key and I.have(df, out, k, o.statement_col)}
+        if wanted:
+            df = G.group_mean_features(df, key, wanted)
+            scalable += list(wanted)
     lexicons = {n: lex for n, lex in S.LEXICONS.items() if getattr(o, f"add_{n}_count")}
     if (lexicons or o.add_numeral_count or o.add_readability) and I.have(df, "text style", o.statement_col):
         df = S.lexicon_counts(df, o.statement_col, lexicons) if lexicons else df

@@ -17,13 +17,26 @@ from ..plans.lookups import lookup_join, scalar_struct
 from .cleaning import require
 
 
-def group_mean_feature(df: DataFrame, key: str, value: Column | str, out: str) -> DataFrame:
-    """Mean of ``value`` per group on every row; rows without a key get the overall mean."""
+def group_mean_features(df: DataFrame, key: str, values: dict[str, Column | str]) -> DataFrame:
+    """Means per group on every row, several values in one aggregate.
+
+    Rows without a key get the overall mean, which the group sums already hold.
+    """
     require(df, key)
-    v = X.col(value)
-    means = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(v).alias(out))
-    overall = df.agg(F.avg(v)).scalar()
-    return lookup_join(df, means, key).withColumn(out, F.coalesce(out, overall))
+    sums = df.groupBy(key).agg(
+        *[F.sum(X.col(v).cast("double")).alias(f"_s_{out}") for out, v in values.items()],
+        *[F.count(X.col(v)).alias(f"_n_{out}") for out, v in values.items()],
+    )
+    means = sums.where(F.col(key).isNotNull()).select(
+        key, *[F.try_divide(F.col(f"_s_{out}"), F.col(f"_n_{out}").cast("double")).alias(out) for out in values]
+    )
+    overall = scalar_struct(sums, **{out: F.try_divide(F.sum(f"_s_{out}"), F.sum(f"_n_{out}").cast("double")) for out in values})
+    joined = lookup_join(df, means, key)
+    return joined.withColumns({out: F.coalesce(F.col(out), overall[out]) for out in values})
+
+
+def group_mean_feature(df: DataFrame, key: str, value: Column | str, out: str) -> DataFrame:
+    return group_mean_features(df, key, {out: value})
 
 
 def rate_table(df: DataFrame, key: str, label: str, out: str = "rate") -> DataFrame:

@@ -21,10 +21,10 @@ def lexical_features(df: DataFrame, original: str, clean: str, source: str = "st
         {
             f"{original}_char_len": F.length(o),
             f"{original}_word_count": X.word_count(o),
-            f"{source}_upper_ratio": X.per_char(X.count_of(o, r"\p{Lu}"), o),
-            f"{source}_exclamation_count": X.count_of(o, "!"),
-            f"{source}_question_count": X.count_of(o, r"\?"),
-            f"{clean}_digit_ratio": X.per_char(X.count_of(c, r"\p{Nd}"), c),
+            f"{source}_upper_ratio": X.per_char(X.chars_in(o, r"\p{Lu}"), o),
+            f"{source}_exclamation_count": X.literal_count(o, "!"),
+            f"{source}_question_count": X.literal_count(o, "?"),
+            f"{clean}_digit_ratio": X.per_char(X.chars_in(c, r"\p{Nd}"), c),
         }
     )
 
@@ -33,17 +33,17 @@ def manual_text_features(df: DataFrame, col: str) -> DataFrame:
     require(df, col)
     x = X.text(col)
     n_words = X.word_count(x)
-    letters = X.count_of(x, W.NOT_SPACE)
+    letters = F.length(X.sub(x, f"{W.SPACE}+", ""))
     return df.withColumns(
         {
             "length": F.length(x),
             "word_count": n_words,
             "avg_word_length": F.coalesce(F.try_divide(letters.cast("double"), n_words.cast("double")), F.lit(0.0)),
-            "exclamation": X.count_of(x, "!"),
-            "question": X.count_of(x, r"\?"),
-            "uppercase_ratio": X.per_char(X.count_of(x, r"\p{Lu}"), x),
-            "digit_count": X.count_of(x, r"\p{Nd}"),
-            "comma_count": X.count_of(x, ","),
+            "exclamation": X.literal_count(x, "!"),
+            "question": X.literal_count(x, "?"),
+            "uppercase_ratio": X.per_char(X.chars_in(x, r"\p{Lu}"), x),
+            "digit_count": X.chars_in(x, r"\p{Nd}"),
+            "comma_count": X.literal_count(x, ","),
         }
     )
 
@@ -106,12 +106,12 @@ def us_words_flag(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 
 def punct_density(c: Column | str) -> Column:
     x = X.text(c)
-    return X.per_char(X.count_of(x, X.class_of(W.DENSITY_PUNCTUATION)), x)
+    return X.per_char(X.chars_in(x, X.class_of(W.DENSITY_PUNCTUATION)), x)
 
 
 def digit_ratio(c: Column | str) -> Column:
     x = X.text(c)
-    return X.per_char(X.count_of(x, r"\p{Nd}"), x)
+    return X.per_char(X.chars_in(x, r"\p{Nd}"), x)
 
 
 def density_features(df: DataFrame, col: str) -> DataFrame:
@@ -124,7 +124,7 @@ def basic_text_stats(df: DataFrame, col: str) -> DataFrame:
     return df.withColumns(
         {
             "word_count": X.word_count(x),
-            "punct_count": X.count_of(x, X.class_of(W.ASCII_PUNCTUATION)),
+            "punct_count": X.chars_in(x, X.class_of(W.ASCII_PUNCTUATION)),
             "neg_count": X.count_of(F.lower(x), X.whole_words(W.NEGATION_FORMS)),
             "num_count": X.count_of(x, integer),
         }
@@ -181,10 +181,9 @@ def oov_count(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame | None
 
 def rare_token_features(df: DataFrame, key: str, tokens: str, frequencies: DataFrame | None = None, threshold: int = 1) -> DataFrame:
     """Tokens at or under the frequency threshold, and mean corpus frequency per row."""
-    from .category import token_frequencies
-
-    freq = frequencies if frequencies is not None else token_frequencies(df, tokens)
-    flat = lookup_join(_flat_tokens(df, key, F.col(tokens)), freq.select("token", "freq"), "token", defaults={"freq": 0})
+    flat = _flat_tokens(df, key, F.col(tokens))
+    freq = frequencies if frequencies is not None else flat.groupBy("token").agg(F.sum("n").alias("freq"))
+    flat = lookup_join(flat, freq.select("token", "freq"), "token", defaults={"freq": 0})
     per_row = flat.groupBy(key).agg(
         F.sum(F.when(F.col("freq") <= threshold, F.col("n")).otherwise(0)).alias("rare_token_count"),
         (F.sum(F.col("freq") * F.col("n")) / F.sum("n")).alias("avg_token_freq"),

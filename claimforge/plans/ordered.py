@@ -46,24 +46,33 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int | str, hex_d
     )
 
 
-def running_sums(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], ascending: bool = True) -> DataFrame:
+def running_sums(
+    df: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], ascending: bool = True, rows: DataFrame | None = None
+) -> DataFrame:
     """Inclusive running sums over a numeric order; one row per (by, value) expected.
 
     Values are scaled into ``BUCKETS`` equal ranges per group, bucket totals are
-    summed first, and each bucket is then finished on its own.
+    summed first, and each bucket is then finished on its own. ``rows`` is the
+    unreduced input with the same columns: limits and totals come from it, so only
+    the reduced table is shuffled by value. Totals per group are added as ``<out>_all``.
     """
+    source = df if rows is None else rows
     v = F.col(value).cast("double")
+    spans = {"_lo": F.min(v), "_hi": F.max(v), **{f"{o}_all": F.sum(c) for o, c in sums.items()}}
     if by:
-        limits = df.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-        placed = df.join(limits, list(by))
-        lo, hi = F.col("_lo"), F.col("_hi")
+        limits = source.groupBy(*by).agg(*[e.alias(k) for k, e in spans.items()])
+
+        def place(d: DataFrame) -> DataFrame:
+            return d.join(limits, list(by))
     else:
-        placed = df
-        span = scalar_struct(df, lo=F.min(v), hi=F.max(v))
-        lo, hi = span["lo"], span["hi"]
-    cell = F.floor(F.coalesce(F.try_divide((v - lo) * (BUCKETS - 1), hi - lo), F.lit(0.0))).cast("int")
-    placed = placed.withColumn("_b", cell if ascending else -cell).drop("_lo", "_hi")
-    totals = placed.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+        one = scalar_struct(source, **spans)
+
+        def place(d: DataFrame) -> DataFrame:
+            return d.withColumns({k: one[k] for k in spans})
+
+    cell = F.floor(F.coalesce(F.try_divide((v - F.col("_lo")) * (BUCKETS - 1), F.col("_hi") - F.col("_lo")), F.lit(0.0))).cast("int")
+    bucket = cell if ascending else -cell
+    totals = place(source).groupBy(*by, bucket.alias("_b")).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     offsets = totals.select(
         *by,
         "_b",
@@ -71,10 +80,10 @@ def running_sums(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, s
     )
     order = F.col(value).asc() if ascending else F.col(value).desc()
     inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(offsets, [*by, "_b"])
+    joined = place(df).withColumn("_b", bucket).join(offsets, [*by, "_b"])
     for out, c in sums.items():
         joined = joined.withColumn(out, F.col(f"_o_{out}") + F.sum(c).over(inside))
-    return joined.drop("_b", *[f"_o_{o}" for o in sums])
+    return joined.drop("_b", "_lo", "_hi", *[f"_o_{o}" for o in sums])
 
 
 def sorted_index(df: DataFrame, order: Sequence[Column], sums: dict[str, str] | None = None) -> DataFrame:
@@ -109,11 +118,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
     Rows shrink to counts per distinct value first; no task holds a whole column.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    counts = (
-        df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    placed = running_sums(counts, ["column"], "value", {"upto": "n"}).join(F.broadcast(totals), "column")
+    rows = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).withColumn("n", F.lit(1).cast("bigint"))
+    counts = rows.groupBy("column", "value").agg(F.sum("n").alias("n"))
+    placed = running_sums(counts, ["column"], "value", {"upto": "n"}, rows=rows).withColumnRenamed("upto_all", "total")
     targets = F.transform(
         F.array(*[F.lit(float(q)) for q in qs]),
         lambda q: F.struct(q.alias("q"), ((F.col("total") - 1) * q).alias("pos")),

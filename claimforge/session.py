@@ -21,6 +21,9 @@ def build_session(app: str = "claimforge", master: str | None = None, shuffle_pa
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # Driver and executor share one JVM here; its 1 GB default only causes garbage collection.
+            builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

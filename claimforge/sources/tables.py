@@ -25,6 +25,16 @@ CLAIM_SCHEMA = T.StructType(
 )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows by ``key`` over all cores, but only when the input has fewer splits than cores.
+
+    A lone small file would run heavy text work on one core. Inputs of cluster size
+    have many splits and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_claims(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = CLAIM_SCHEMA, labeled: bool = True) -> DataFrame:
     """Typed claim table. CSV cells may span lines and hold doubled quotes.
 

@@ -202,8 +202,7 @@ def g1(spark, sf):
     d = table(spark, sf, "documents").select(
         "doc_id", "source", X.word_count(X.text("text")).alias("wc"), S.punct_density("text").alias("pd"), S.digit_ratio("text").alias("dr")
     )
-    for v, out in (("wc", "avg_len"), ("pd", "avg_punct"), ("dr", "avg_digits")):
-        d = G.group_mean_feature(d, "source", v, out)
+    d = G.group_mean_features(d, "source", {"avg_len": "wc", "avg_punct": "pd", "avg_digits": "dr"})
     return d.select("doc_id", *r6("avg_len", "avg_punct", "avg_digits"))
 
 
