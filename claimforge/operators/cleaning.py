@@ -112,7 +112,9 @@ def normalize_unicode_text(df: DataFrame, col: str, out: str | None = None) -> D
     require(df, col)
     x = X.sub(X.text(col), "[\r\n\t]+", " ")
     x = X.expand_contractions(X.number_abbreviation(x))
-    return df.withColumn(out or f"{col}_normalized", F.lower(X.drop_domains(ascii_fold(x))))
+    # A column of its own: the fold mentions it twice, and it is too costly to compute twice.
+    folded = ascii_fold(F.col("_spelled"))
+    return df.withColumn("_spelled", x).withColumn(out or f"{col}_normalized", F.lower(X.drop_domains(folded))).drop("_spelled")
 
 
 def typed_number_tokens(df: DataFrame, col: str, out: str = "tokens", min_len: int = 2) -> DataFrame:

@@ -121,22 +121,19 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
     rows = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).withColumn("n", F.lit(1).cast("bigint"))
     counts = rows.groupBy("column", "value").agg(F.sum("n").alias("n"))
     placed = running_sums(counts, ["column"], "value", {"upto": "n"}, rows=rows).withColumnRenamed("upto_all", "total")
-    targets = F.transform(
-        F.array(*[F.lit(float(q)) for q in qs]),
-        lambda q: F.struct(q.alias("q"), ((F.col("total") - 1) * q).alias("pos")),
-    )
     first = F.col("upto") - F.col("n")
 
-    def covers(r: Column) -> Column:
-        return (r >= first) & (r < F.col("upto"))
-
-    hits = F.filter(targets, lambda t: covers(F.floor(t["pos"])) | covers(F.ceil(t["pos"])))
-    near = placed.select("column", "value", "upto", "n", F.inline(hits))
-    return (
-        near.groupBy("column", "q", "pos")
-        .agg(
-            F.max(F.when(covers(F.floor("pos")), F.col("value"))).alias("lo"),
-            F.max(F.when(covers(F.ceil("pos")), F.col("value"))).alias("hi"),
-        )
-        .select("column", "q", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))).alias("value"))
-    )
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank >= first) & (rank < F.col("upto")), F.col("value")))
+
+    # Distinct values reduce to one row per column with the two neighbours of every quantile.
+    found = {}
+    for i, q in enumerate(qs):
+        pos = (F.col("total") - 1) * float(q)
+        found[f"lo{i}"], found[f"hi{i}"], found[f"at{i}"] = value_at(F.floor(pos)), value_at(F.ceil(pos)), F.max(pos - F.floor(pos))
+    near = placed.groupBy("column").agg(*[e.alias(k) for k, e in found.items()])
+    rows_out = [
+        F.struct(F.lit(float(q)).alias("q"), (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"at{i}")).alias("value"))
+        for i, q in enumerate(qs)
+    ]
+    return near.select("column", F.inline(F.array(*rows_out)))
