@@ -46,8 +46,8 @@ def group_rare(
     return counted.withColumn(out or f"{col}_grouped", grouped).drop("_n")
 
 
-def _keep(df: DataFrame, kept: DataFrame, col: str, other: str, out: str) -> DataFrame:
-    marked = lookup_join(df, kept.select(col, F.lit(True).alias("_kept")), col)
+def _keep(df: DataFrame, kept: DataFrame, col: str, other: str, out: str, fixed: bool = False) -> DataFrame:
+    marked = lookup_join(df, kept.select(col, F.lit(True).alias("_kept")), col, fixed=fixed)
     return marked.withColumn(out, F.when(F.col("_kept"), F.col(col)).otherwise(F.lit(other))).drop("_kept")
 
 
@@ -64,7 +64,7 @@ def keep_top_n(
     tr, te = _filled(train, col, name, missing), _filled(test, col, name, missing)
     top = value_counts(tr, name).orderBy(F.desc("n"), name).limit(n).select(name)
     top = bounded(top, n)
-    return _keep(tr, top, name, other, name), _keep(te, top, name, other, name)
+    return _keep(tr, top, name, other, name, True), _keep(te, top, name, other, name, True)
 
 
 def keep_allow_list(df: DataFrame, col: str, allowed: Sequence[str], other: str = "other", out: str | None = None) -> DataFrame:

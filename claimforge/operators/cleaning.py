@@ -149,18 +149,22 @@ def clean_state(df: DataFrame, col: str, out: str | None = None, drop: bool = Fa
     return df.drop(col) if drop else clean_category(df, col, "state", out)
 
 
-def normalize_by_lookup(df: DataFrame, col: str, lookup: DataFrame, code: str, name: str, out: str | None = None) -> DataFrame:
+def normalize_by_lookup(
+    df: DataFrame, col: str, lookup: DataFrame, code: str, name: str, out: str | None = None, fixed: bool = False
+) -> DataFrame:
     """Codes become names; values without an entry stay."""
     require(df, col)
     table = lookup.select(F.col(code).alias("_code"), F.col(name).alias("_name"))
-    joined = lookup_join(df, table, col, "_code")
+    joined = lookup_join(df, table, col, "_code", fixed=fixed)
     return joined.withColumn(out or col, F.coalesce("_name", F.col(col))).drop("_name")
 
 
-def map_region(df: DataFrame, col: str, lookup: DataFrame, name: str, region: str, out: str, default: str = "unknown") -> DataFrame:
+def map_region(
+    df: DataFrame, col: str, lookup: DataFrame, name: str, region: str, out: str, default: str = "unknown", fixed: bool = False
+) -> DataFrame:
     require(df, col)
     table = lookup.select(F.col(name).alias("_n"), F.col(region).alias(out))
-    return lookup_join(df, table, col, "_n", {out: default})
+    return lookup_join(df, table, col, "_n", {out: default}, fixed)
 
 
 def state_table(spark) -> DataFrame:
@@ -180,7 +184,7 @@ def canonicalize_alias(
     rest = rest.when(x == "", F.lit(empty)).otherwise(x)
     table = aliases if aliases is not None else party_alias_table(df.sparkSession)
     table = table.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c"))
-    return lookup_join(df, table, col, "_a").withColumn(out or col, F.coalesce("_c", rest)).drop("_c")
+    return lookup_join(df, table, col, "_a", fixed=aliases is None).withColumn(out or col, F.coalesce("_c", rest)).drop("_c")
 
 
 def party_alias_table(spark) -> DataFrame:
@@ -208,7 +212,7 @@ def normalize_label(df: DataFrame, col: str, label_map: Sequence[tuple[str, int]
     if dict(df.dtypes)[col] == "string":
         table = fixed_table(df.sparkSession, list(label_map or W.LABEL_WORDS), "_w string, _y int")
         keyed = df.withColumn("_word", F.lower(X.strip(F.col(col))))
-        valid = lookup_join(keyed, table, "_word", "_w").drop("_word")
+        valid = lookup_join(keyed, table, "_word", "_w", fixed=True).drop("_word")
     else:
         valid = df.withColumn("_y", F.col(col).try_cast("int"))
     valid = valid.where(F.col("_y").isNotNull())

@@ -396,7 +396,7 @@ def prepare_category(df: DataFrame, o: CategoryOptions) -> DataFrame:
     value = f"{s}_clean"
     df = df.withColumn(value, clean)
     if o.kind == "state" and o.normalize_state:
-        df = C.normalize_by_lookup(df, value, C.state_table(df.sparkSession), "code", "name")
+        df = C.normalize_by_lookup(df, value, C.state_table(df.sparkSession), "code", "name", fixed=True)
     scalable: list[str] = []
     if o.add_frequency or o.add_is_rare or o.add_grouped:
         df = CAT.frequency_encode(df, value, s)
@@ -434,7 +434,7 @@ def prepare_category(df: DataFrame, o: CategoryOptions) -> DataFrame:
     if o.add_has_us_words:
         df = S.us_words_flag(df, value, f"{s}_has_us_words")
     if o.add_us_region:
-        df = C.map_region(df, value, C.state_table(df.sparkSession), "name", "region", f"{s}_us_region")
+        df = C.map_region(df, value, C.state_table(df.sparkSession), "name", "region", f"{s}_us_region", fixed=True)
     if o.add_label_rate:
         df = G.group_label_rate(df, value, o.label_col, f"{s}_label_rate")
     return _restore_source(scale(df, scalable, o.scale), s, o.keep_original)

@@ -58,9 +58,14 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("pct", F.col("n") * 100.0 / s["total"]).withColumn("majority_ratio", s["hi"] / s["lo"])
 
 
+def short(v: Column, on: bool = True) -> Column:
+    """Long values as their digest, so that counting distinct texts does not shuffle the texts."""
+    return F.when(F.length(v) > 64, F.sha2(v, 256)).otherwise(v) if on else v
+
+
 def cardinality(df: DataFrame, cols: Sequence[str], normalized: bool = False) -> DataFrame:
     """Distinct values per column, raw and optionally after trim and lower."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), short(F.col(c).cast("string"), not normalized).alias("v")) for c in cols])
     flat = df.select(F.inline(pairs)).where(F.col("v").isNotNull())
     values = flat.groupBy("column", "v").agg(F.lit(1).alias("_"))
     out = values.groupBy("column").agg(row_count().alias("distinct_values"))
@@ -112,9 +117,11 @@ def duplicate_report(df: DataFrame, cols: Sequence[str], label: str | None = Non
 
 
 def top_longest(df: DataFrame, col: str, key: str, n: int, preview: int = 120) -> DataFrame:
+    """Longest texts; previews are cut only for the rows that survive the top-n."""
     x = X.text(col)
-    shaped = df.select(key, F.length(x).alias("text_length"), X.word_count(x).alias("word_count"), F.substring(X.squeeze(x), 1, preview).alias("preview"))
-    return shaped.orderBy(F.desc("text_length"), F.desc("word_count"), key).limit(n)
+    shaped = df.select(key, F.length(x).alias("text_length"), X.word_count(x).alias("word_count"), x.alias("_x"))
+    top = shaped.orderBy(F.desc("text_length"), F.desc("word_count"), key).limit(n)
+    return top.withColumn("preview", F.substring(X.squeeze(F.col("_x")), 1, preview)).drop("_x")
 
 
 def pollution_top(df: DataFrame, col: str, key: str, n: int = 10, min_tabs: int = 3) -> DataFrame:
@@ -163,7 +170,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 def column_inventory(df: DataFrame) -> DataFrame:
     """Type, non-null count and distinct values per column."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(c).cast("string").alias("v")) for c, t in df.dtypes])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), short(F.col(c).cast("string")).alias("v")) for c, t in df.dtypes])
     values = df.select(F.inline(pairs)).groupBy("column", "type", "v").agg(row_count().alias("n"))
     some = F.col("v").isNotNull()
     return values.groupBy("column", "type").agg(

@@ -1,9 +1,11 @@
 """Joins to one-row-per-key tables.
 
-Tables fitted from data carry no broadcast hint: Catalyst and adaptive execution
-broadcast them when their measured size allows, and otherwise run a shuffled join
-whose skewed partitions adaptive execution splits. Only tables of fixed constants
-or of a row count bounded by a parameter are broadcast by hand.
+Tables fitted from data are never broadcast on trust. On a cluster they are
+materialised once in the shared folder and measured: within the limit they are
+broadcast, so the wide side is not shuffled; beyond it the join is shuffled and
+adaptive execution splits partitions that a hot key swells. Local sessions leave
+the choice to adaptive execution. Only tables of constants, or of a row count
+bounded by a parameter, are broadcast without measuring.
 """
 
 from __future__ import annotations
@@ -13,7 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 256 * 1024 * 1024
+ROW_BYTES = 64
+SETTLE_CONF = "spark.claimforge.settleLookups"
 
 
 def fixed_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -28,16 +35,39 @@ def bounded(table: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(table) if max_rows <= BROADCAST_ROWS else table
 
 
+def settle(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Materialise a fitted table and broadcast it if its measured size allows.
+
+    ``spark.claimforge.settleLookups`` switches this on or off; unset, it is on
+    wherever the session is not local.
+    """
+    spark = table.sparkSession
+    chosen = spark.conf.get(SETTLE_CONF, None)
+    on = chosen == "true" if chosen is not None else not spark.sparkContext.master.startswith("local")
+    if not on:
+        return table
+    kept = cut(table)
+    width = F.length(F.concat_ws("", *[F.col(k).cast("string") for k in keys]))
+    rows, chars = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(kept) if rows * ROW_BYTES + chars * 2 <= BROADCAST_BYTES else kept
+
+
 def lookup_join(
     df: DataFrame,
     table: DataFrame,
     key: str | Sequence[str],
     table_key: str | Sequence[str] | None = None,
     defaults: dict[str, object] | None = None,
+    fixed: bool = False,
 ) -> DataFrame:
-    """Left join to a one-row-per-key table; unmatched values take their default."""
+    """Left join to a one-row-per-key table; unmatched values take their default.
+
+    ``fixed`` marks tables whose size is bounded already, which need no measuring.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     table_keys = keys if table_key is None else [table_key] if isinstance(table_key, str) else list(table_key)
+    if not fixed:
+        table = settle(table, table_keys)
     renamed = table.select(
         *[F.col(t).alias(f"_lk_{i}") for i, t in enumerate(table_keys)],
         *[c for c in table.columns if c not in table_keys],

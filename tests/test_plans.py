@@ -162,3 +162,18 @@ def test_ordinal_codes(skewed, spark):
 def test_lookup_broadcast_is_left_to_statistics(skewed):
     plan = CAT.frequency_encode(skewed, "key")._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" not in plan
+
+
+@pytest.mark.parametrize("limit,hinted", [(10**9, True), (10, False)])
+def test_settled_lookups_are_measured(skewed, spark, monkeypatch, limit, hinted):
+    from claimforge.plans import lookups
+
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", limit)
+    want = sorted(map(tuple, CAT.frequency_encode(skewed, "key").select("id", "key_frequency").collect()))
+    spark.conf.set(lookups.SETTLE_CONF, "true")
+    try:
+        out = CAT.frequency_encode(skewed, "key")
+        assert ("strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()) == hinted
+        assert sorted(map(tuple, out.select("id", "key_frequency").collect())) == want
+    finally:
+        spark.conf.unset(lookups.SETTLE_CONF)
