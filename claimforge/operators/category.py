@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import words as W
 from ..plans.lookups import bounded, lookup_join
 from .cleaning import require
 
@@ -118,3 +119,15 @@ def rare_threshold_impact(df: DataFrame, col: str, thresholds: Sequence[int]) ->
     ]
     wide = counts.agg(F.array(*per).alias("_rows")).select(F.inline("_rows"))
     return wide.withColumn("grouped_pct", F.col("grouped_rows") * 100.0 / rows)
+
+
+def keyword_buckets(
+    df: DataFrame, col: str, rules: Sequence[tuple[str, Sequence[str]]] = W.OCCUPATIONS, out: str | None = None, default: str = "other"
+) -> DataFrame:
+    """Broad bucket of a value: the first rule with one of its whole words wins."""
+    require(df, col)
+    value = F.lower(X.text(col))
+    bucket = F.when(F.lit(False), F.lit(""))
+    for label, keywords in rules:
+        bucket = bucket.when(value.rlike(X.whole_words(keywords)), F.lit(label))
+    return df.withColumn(out or f"{col}_bucket", bucket.otherwise(F.lit(default)))

@@ -97,6 +97,15 @@ def add_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFra
     return lookup_join(df, table, label)
 
 
+def add_group_class_weights(df: DataFrame, group: str, label: str, out: str = "weight") -> DataFrame:
+    """Balanced class weights inside each group, such as a subject: ``n_g/(k_g*n_gc)``."""
+    require(df, group, label)
+    cells = df.where(F.col(group).isNotNull() & F.col(label).isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
+    totals = cells.groupBy(group).agg(F.sum("_n").alias("_g"), F.count(F.lit(1)).alias("_k"))
+    table = cells.join(totals, group).select(group, label, (F.col("_g") / (F.col("_k") * F.col("_n"))).alias(out))
+    return lookup_join(df, table, [group, label])
+
+
 def union_pseudo_labels(
     train: DataFrame, test: DataFrame, scores: DataFrame, key: str, label: str, weight: float = 0.7, fold: str = "fold"
 ) -> DataFrame:

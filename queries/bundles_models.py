@@ -264,7 +264,8 @@ def q5_features(spark, sf):
 
 def _trained_bundle(spark, sf):
     options = Q.PrepareOptions.from_flat(speaker_add_frequency=True, speaker_add_grouped_speaker=True, speaker_group_rare=True, statement_add_lexical_features=True, label_option="skip", id_option="hash_bucket")
-    train = Q.prepare_keyed(full_claims(spark, sf).where("label is not null"), options)
+    # Rate tables, codes and the fit all read the prepared rows.
+    train = O.cache_for_fit(Q.prepare_keyed(full_claims(spark, sf).where("label is not null"), options))
     maps = G.fit_rate_maps(train, {"fe_speaker_rate": ["speaker_grouped", "speaker_clean"], "fe_party_rate": ["party_affiliation_grouped", "party_affiliation_clean"]}, "label")
     train = G.apply_rate_maps(train, maps)
     encoders = {"speaker_grouped": E.ordinal_table(train, "speaker_grouped")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimforge.functions import text as X
+from claimforge.functions import words as W
 from claimforge.operators import category as CAT
 from claimforge.operators import encode as E
 from claimforge.operators import scale as SC
@@ -380,3 +381,29 @@ def j4(spark, sf):
 def j5(spark, sf):
     c = claims(spark, sf)
     return E.restore_rows(c.where("label is not null").select("id", "label"), c, "id", {"label": -1})
+
+
+_HELD = "text || CASE doc_id % 4 WHEN 0 THEN ' State Senator' WHEN 1 THEN ' a Judge, and a doctor' WHEN 2 THEN ' staffer' ELSE '' END"
+
+
+@query(
+    "T_keyword_buckets",
+    "SELECT doc_id, CASE "
+    + " ".join(f"WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(k)})($|[^\\p{{L}}\\p{{N}}_])') THEN '{name}'" for name, k in W.OCCUPATIONS)
+    + f" ELSE 'other' END AS bucket FROM (SELECT doc_id, lower({_HELD}) AS t FROM documents)",
+)
+def t_buckets(spark, sf):
+    tail = F.when(F.col("doc_id") % 4 == 0, " State Senator").when(F.col("doc_id") % 4 == 1, " a Judge, and a doctor").when(F.col("doc_id") % 4 == 2, " staffer").otherwise("")
+    d = table(spark, sf, "documents").select("doc_id", F.concat("text", tail).alias("t"))
+    return CAT.keyword_buckets(d, "t", out="bucket").drop("t")
+
+
+@query(
+    "T_group_class_weights",
+    f"""WITH {SCORED}, c AS (SELECT party_affiliation, label, count(*) AS n FROM scored GROUP BY ALL), g AS (SELECT party_affiliation, sum(n) AS s, count(*) AS k FROM c GROUP BY 1)
+    SELECT id, round((s / (k * n))::DOUBLE, 6) AS weight FROM scored JOIN c USING (party_affiliation, label) JOIN g USING (party_affiliation)""",
+)
+def t_weights(spark, sf):
+    from claimforge.operators.splits import add_group_class_weights
+
+    return add_group_class_weights(scored(spark, sf), "party_affiliation", "label").select("id", *r6("weight"))
