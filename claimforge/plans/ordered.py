@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import grid_cell
 from ..session import cut
 from .lookups import scalar_struct
 
-BUCKETS = 1024
+SEGMENTS = 64
+CELLS = 1024
 
 
 def _before(order: Sequence[str], by: Sequence[str]) -> Window:
@@ -47,33 +49,42 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int | str, hex_d
     )
 
 
+def _value_bucket(source: DataFrame, v: Column) -> Column:
+    """Bucket number that grows with ``v``: quantile segments, each cut into equal ranges.
+
+    Segment bounds are a few dozen numbers worked out first, so every use of the
+    bucket agrees and no segment holds much more than its share of rows, whatever
+    the distribution.
+    """
+    bounds = sorted(set(source.select(v.alias("_v")).approxQuantile("_v", [i / SEGMENTS for i in range(SEGMENTS + 1)], 0.001)))
+    if len(bounds) < 2:
+        return F.lit(0)
+    segment = grid_cell(v, bounds[1:-1])
+    edges = F.array(*[F.lit(float(b)) for b in bounds])
+    lo, hi = F.get(edges, segment), F.get(edges, segment + 1)
+    inside = F.greatest(F.least((v - lo) / (hi - lo) * (CELLS - 1), F.lit(CELLS - 1.0)), F.lit(0.0))
+    return segment * CELLS + F.floor(inside).cast("int")
+
+
 def running_sums(
     df: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], ascending: bool = True, rows: DataFrame | None = None
 ) -> DataFrame:
     """Inclusive running sums over a numeric order; one row per (by, value) expected.
 
-    Values are scaled into ``BUCKETS`` equal ranges per group, bucket totals are
-    summed first, and each bucket is then finished on its own. ``rows`` is the
-    unreduced input with the same columns: limits and totals come from it, so only
-    the reduced table is shuffled by value. Totals per group are added as ``<out>_all``.
+    Values fall into order-preserving buckets, bucket totals are summed first, and
+    each bucket is then finished on its own. ``rows`` is the unreduced input with the
+    same columns: bounds and totals come from it, so only the reduced table is
+    shuffled by value. Totals per group are added as ``<out>_all``.
     """
     source = df if rows is None else rows
-    v = F.col(value).cast("double")
-    spans = {"_lo": F.min(v), "_hi": F.max(v), **{f"{o}_all": F.sum(c) for o, c in sums.items()}}
+    bucket = _value_bucket(source, F.col(value).cast("double"))
+    bucket = bucket if ascending else -bucket
+    spans = {f"{o}_all": F.sum(c) for o, c in sums.items()}
     if by:
-        limits = source.groupBy(*by).agg(*[e.alias(k) for k, e in spans.items()])
-
-        def place(d: DataFrame) -> DataFrame:
-            return d.join(limits, list(by))
+        whole = source.groupBy(*by).agg(*[e.alias(k) for k, e in spans.items()])
     else:
         one = scalar_struct(source, **spans)
-
-        def place(d: DataFrame) -> DataFrame:
-            return d.withColumns({k: one[k] for k in spans})
-
-    cell = F.floor(F.coalesce(F.try_divide((v - F.col("_lo")) * (BUCKETS - 1), F.col("_hi") - F.col("_lo")), F.lit(0.0))).cast("int")
-    bucket = cell if ascending else -cell
-    totals = place(source).groupBy(*by, bucket.alias("_b")).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    totals = source.groupBy(*by, bucket.alias("_b")).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     offsets = totals.select(
         *by,
         "_b",
@@ -81,10 +92,11 @@ def running_sums(
     )
     order = F.col(value).asc() if ascending else F.col(value).desc()
     inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = place(df).withColumn("_b", bucket).join(offsets, [*by, "_b"])
+    joined = df.withColumn("_b", bucket).join(offsets, [*by, "_b"])
     for out, c in sums.items():
         joined = joined.withColumn(out, F.col(f"_o_{out}") + F.sum(c).over(inside))
-    return joined.drop("_b", "_lo", "_hi", *[f"_o_{o}" for o in sums])
+    joined = joined.drop("_b", *[f"_o_{o}" for o in sums])
+    return joined.join(whole, list(by)) if by else joined.withColumns({k: one[k] for k in spans})
 
 
 def sorted_index(df: DataFrame, order: Sequence[Column], sums: dict[str, str] | None = None) -> DataFrame:

@@ -44,6 +44,15 @@ def test_running_sums(skewed):
         assert [r["upto"] for r in part] == list(np.cumsum([r["n"] for r in part]))
 
 
+def test_running_sums_of_a_heavy_tail(spark):
+    values = sorted({round(1.0001**i, 9) for i in range(3000)} | {1e15, -1e9})
+    df = spark.createDataFrame([(v, 1) for v in values], "v double, n bigint").repartition(7)
+    got = {r["v"]: r["s"] for r in running_sums(df, [], "v", {"s": "n"}).collect()}
+    assert [got[v] for v in values] == list(range(1, len(values) + 1))
+    down = {r["v"]: r["s"] for r in running_sums(df, [], "v", {"s": "n"}, ascending=False).collect()}
+    assert [down[v] for v in values] == list(range(len(values), 0, -1))
+
+
 def test_running_sums_of_one_value(spark):
     one = spark.createDataFrame([(0.5, 4)], "v double, n bigint")
     assert running_sums(one, [], "v", {"s": "n"}).first()["s"] == 4
