@@ -12,11 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import grid_cell
 from ..session import cut
 from .lookups import scalar_struct
 
-SEGMENTS = 64
+SEGMENTS = 16
 CELLS = 1024
 
 
@@ -59,11 +58,19 @@ def _value_bucket(source: DataFrame, v: Column) -> Column:
     bounds = sorted(set(source.select(v.alias("_v")).approxQuantile("_v", [i / SEGMENTS for i in range(SEGMENTS + 1)], 0.001)))
     if len(bounds) < 2:
         return F.lit(0)
-    segment = grid_cell(v, bounds[1:-1])
-    edges = F.array(*[F.lit(float(b)) for b in bounds])
-    lo, hi = F.get(edges, segment), F.get(edges, segment + 1)
-    inside = F.greatest(F.least((v - lo) / (hi - lo) * (CELLS - 1), F.lit(CELLS - 1.0)), F.lit(0.0))
-    return segment * CELLS + F.floor(inside).cast("int")
+
+    def cell(i: int) -> Column:
+        inside = F.greatest(F.least((v - bounds[i]) / (bounds[i + 1] - bounds[i]) * (CELLS - 1), F.lit(CELLS - 1.0)), F.lit(0.0))
+        return F.floor(inside).cast("int") + i * CELLS
+
+    def search(first: int, last: int) -> Column:
+        if first == last:
+            return cell(first)
+        mid = (first + last + 1) // 2
+        return F.when(v >= bounds[mid], search(mid, last)).otherwise(search(first, mid - 1))
+
+    # Few enough segments that the generated code stays within what the JVM compiles.
+    return search(0, len(bounds) - 2)
 
 
 def running_sums(
