@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .id_files import round_trip
 from .packing import best_fit_pack, token_pieces
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +35,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return best_fit_pack(digests, order=["doc_id", "piece", "start", "ids_crc32"])
+
+
+@query("op4_token_id_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49_408)
