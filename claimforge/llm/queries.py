@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .id_files import round_trip
 from .packing import best_fit_pack, token_pieces
+from .token_counts import token_counts
+from .url_rules import UNWANTED_WORDS, judge_urls, rule_table, site_rule, word_rules
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -40,3 +42,37 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_id_files")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49_408)
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+SITE_RULES = [
+    site_rule("com", "/", "allow"), site_rule("example.com", "/en/", "block"), site_rule("www.example.com", "/en/", "allow"),
+    site_rule("net", "/es/", "block"), site_rule("net", "/fr/", "block"),
+]
+
+_HOST = "coalesce(CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END, '')"
+_PATH = "coalesce(CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') END, '')"
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+_RULES = [("www.example.com", "/en/"), ("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/"), ("com", "/")]
+_BLOCKED = ("example.com/en/", "net/es/", "net/fr/")
+
+
+@query("op2_url_filters", f"""
+WITH sites AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+named AS (SELECT *, CASE {' '.join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p in _RULES)} END AS rule FROM sites)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN {_BLOCKED} THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN regexp_matches(lower(host || path), '(^|[^\\p{{L}}\\p{{N}}])({'|'.join(UNWANTED_WORDS)})([^\\p{{L}}\\p{{N}}]|$)') THEN 'block'
+       ELSE 'allow' END AS verdict
+FROM named""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, SITE_RULES + word_rules()))
