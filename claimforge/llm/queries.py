@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .id_files import round_trip
 from .packing import best_fit_pack, token_pieces
+from .quality import judge_quality
 from .token_counts import token_counts
 from .url_rules import UNWANTED_WORDS, judge_urls, rule_table, site_rule, word_rules
 
@@ -76,3 +77,9 @@ SELECT page_id, host, path, rule,
 FROM named""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, SITE_RULES + word_rules()))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
