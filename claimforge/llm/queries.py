@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .id_files import round_trip
 from .packing import best_fit_pack, token_pieces
 from .quality import judge_quality
+from .sanitise import KINDS, all_spans, span_string
 from .token_counts import token_counts
 from .url_rules import UNWANTED_WORDS, judge_urls, rule_table, site_rule, word_rules
 
@@ -83,3 +84,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+@query("op9_pii_sanitising")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = all_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(KINDS))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
+    return found.select(F.col("_id").alias("doc_id"), *counts, F.sha2(span_string(base), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"))
