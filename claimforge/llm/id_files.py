@@ -138,28 +138,27 @@ def joined_crc(pieces: list[tuple[int, int]]) -> int:
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: ``key, start, n_tokens, ids_crc32``, with ``start`` over the whole corpus.
 
-    Offsets of the parts come from one row per written part. Only documents that span blocks are grouped,
-    and a group holds one checksum for each of its blocks.
+    Offsets of the parts come from one row per written part. The checksums of a document that spans blocks
+    are joined by arithmetic, so its ids need not meet again.
     """
     totals = spark.read.parquet(path).groupBy("part").agg(F.sum("n_ids").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     found = read_pieces(spark, path).select(
-        "part", "block", "key", "start", "piece", (F.length("ids") / 4).cast("bigint").alias("n"), F.crc32("ids").alias("crc")
+        "part", "block", "at", "key", "start", "piece", (F.length("ids") / 4).cast("bigint").alias("n"), F.crc32("ids").alias("crc")
     )
-    whole = found.where("piece is null").select("part", "key", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    combine = F.udf(lambda pieces: joined_crc([(p["crc"], 4 * p["n"]) for p in pieces]), "bigint")
-    spans = (
-        found.where("piece is not null")
-        .groupBy("part", (F.col("block") - F.col("piece")).alias("_doc"))
+    combine = F.udf(lambda pieces: pieces and joined_crc([(p["crc"], 4 * p["n"]) for p in pieces]), "bigint")
+    several = F.when(F.size("_pieces") > 1, F.col("_pieces"))
+    rows = (
+        found.groupBy("part", (F.col("block") - F.coalesce("piece", F.lit(0))).alias("_block"), "at")
         .agg(
             F.first("key").alias("key"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"),
             F.array_sort(F.collect_list(F.struct("piece", "crc", "n"))).alias("_pieces"),
         )
-        .select("part", "key", "start", "n_tokens", combine("_pieces").alias("ids_crc32"))
+        .select("part", "key", "start", "n_tokens", F.coalesce(combine(several), F.col("_pieces")[0]["crc"]).alias("ids_crc32"))
     )
     # One row per written part: as many as a shuffle has partitions.
-    rows = whole.unionByName(spans).join(F.broadcast(parts), "part")
+    rows = rows.join(F.broadcast(parts), "part")
     return rows.select("key", (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -6,9 +6,9 @@ few array operations. All lanes share one model, which learns each step's ids af
 * order 2 and order 1 tables predict one id for a context, with a confidence;
 * order 0 is the count of every id so far.
 
-The coded distribution is their mixture: the share of a predicted id is the measured hit rate of
-predictions of that order and confidence, and the rest is spread by the order-0 counts. Each lane drives
-a carry-less range coder of 64 bits that puts out 32-bit words.
+The coded distribution mixes them: an id predicted by order 2, then one by order 1, gets the measured hit
+rate of predictions of that order and confidence, and the rest goes to all ids by count. Each lane drives a
+carry-less range coder of 64 bits that puts out 32-bit words.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMR1"
-LANES = 4096
-BLOCK_IDS = 524_288
+LANES = 8192
+BLOCK_IDS = 1 << 19
 HEADER = struct.Struct("<4sIIIII")  # magic, ids, steps, alphabet, crc32 of the ids, crc32 of what follows
 TOTAL_BITS = 24
 TOTAL = 1 << TOTAL_BITS
@@ -30,7 +30,6 @@ U32 = np.uint64(32)
 SHIFT = np.uint64(TOTAL_BITS)
 CONTEXTS = 1 << 18
 LEVELS = 16
-COUNT_STEP = 1
 
 
 class Model:
@@ -38,8 +37,8 @@ class Model:
 
     def __init__(self, alphabet: int, lanes: int):
         self.alphabet = alphabet
-        self.counts = np.ones(alphabet, np.int64)
-        self.cumulative = np.arange(alphabet + 1, dtype=np.int64)
+        self.counts = np.ones(alphabet, np.uint64)
+        self.cumulative = np.arange(alphabet + 1, dtype=np.uint64)
         self.tables = [(np.full(alphabet + 1, -1, np.int64), np.zeros(alphabet + 1, np.int64)), (np.full(CONTEXTS, -1, np.int64), np.zeros(CONTEXTS, np.int64))]
         self.hits = np.full((2, LEVELS), 0.25)
         self.tries = np.full((2, LEVELS), 2.0)
@@ -47,53 +46,44 @@ class Model:
         self.before = np.full(lanes, alphabet, np.int64)
 
     def predict(self, lanes: int) -> None:
-        """Predicted ids and shares for the first ``lanes`` lanes; ``self.rest`` is left to order 0."""
+        """Predicted ids of the first ``lanes`` lanes and where their shares end; order 0 has the rest."""
         self.n = lanes
-        self.keys = (self.last[:lanes], (self.last[:lanes] * 2654435761 + self.before[:lanes] * 40503) & (CONTEXTS - 1))
-        rates = self.hits / self.tries
-        self.found, shares = [], []
-        for order in (0, 1):
-            ids, levels = self.tables[order]
-            self.found.append((ids[self.keys[order]], levels[self.keys[order]]))
-            shares.append((rates[order] * (TOTAL * (0.45, 0.9)[order])).astype(np.int64))
-        (one, level1), (two, level2) = self.found
-        share2 = np.where(two >= 0, shares[1][level2], 0)
-        share1 = np.where((one >= 0) & (one != two), shares[0][level1], 0)
-        share1 -= (share1 * share2) >> TOTAL_BITS
-        self.one, self.two, self.share1, self.share2 = one, two, share1, share2
-        self.rest = TOTAL - share1 - share2
-        self.sum = int(self.cumulative[-1])
+        last = self.last[:lanes]
+        self.keys = (last, (last * 2654435761 + self.before[:lanes] * 40503) & (CONTEXTS - 1))
+        shares = (self.hits / self.tries * (TOTAL * np.array([[0.45], [0.9]]))).astype(np.int64)
+        ids, levels = self.tables[0]
+        self.one, level1 = ids[last], levels[last]
+        ids, levels = self.tables[1]
+        self.two, level2 = ids[self.keys[1]], levels[self.keys[1]]
+        self.found = ((self.one, level1), (self.two, level2))
+        self.end2 = shares[1][level2] * (self.two >= 0)
+        share1 = shares[0][level1] * ((self.one >= 0) & (self.one != self.two))
+        self.end1 = self.end2 + share1 - ((share1 * self.end2) >> TOTAL_BITS)
+        self.rest = (TOTAL - self.end1).astype(np.uint64)
+        self.sum = self.cumulative[-1]
 
     def base(self, ids: np.ndarray) -> np.ndarray:
         return self.cumulative[ids] * self.rest // self.sum
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each id's share: order 2's prediction first, order 1's next, then all ids by count."""
         low = self.base(ids)
         size = self.base(ids + 1) - low
-        low += self.share2 * (self.two < ids) + self.share1 * (self.one < ids)
-        size += self.share2 * (self.two == ids) + self.share1 * (self.one == ids)
+        low += self.end1.view(np.uint64)
+        hit = np.flatnonzero(self.one == ids)
+        low[hit] = self.end2[hit]
+        size[hit] = (self.end1 - self.end2)[hit]
+        hit = np.flatnonzero(self.two == ids)
+        low[hit] = 0
+        size[hit] = self.end2[hit]
         return low, size
 
     def find(self, at: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold ``at``."""
-        first, second = np.minimum(self.one, self.two), np.maximum(self.one, self.two)
-        swapped = self.one > self.two
-        share_a = np.where(swapped, self.share2, self.share1)
-        share_b = np.where(swapped, self.share1, self.share2)
-        a, b = np.maximum(first, 0), np.maximum(second, 0)
-        start_a = self.base(a)
-        end_a = self.base(a + 1) + share_a
-        start_b = self.base(b) + share_a
-        end_b = self.base(b + 1) + share_a + share_b
-        same = first == second  # one prediction, whose share may be under either order
-        end_a = np.where(same, self.base(a + 1) + share_a + share_b, end_a)
-        in_a = (first >= 0) & (at >= start_a) & (at < end_a)
-        in_b = (second >= 0) & ~same & (at >= start_b) & (at < end_b)
-        past_a = (first >= 0) & (at >= end_a)
-        past_b = (second >= 0) & ~same & (at >= end_b)
-        rest = at - np.where(past_a, np.where(same, share_a + share_b, share_a), 0) - np.where(past_b, share_b, 0)
-        ids = np.searchsorted(self.cumulative, ((rest + 1) * self.sum - 1) // self.rest, "right") - 1
-        return np.where(in_a, first, np.where(in_b, second, ids))
+        """The ids whose shares hold ``at``."""
+        rest = np.maximum(at, self.end1) - self.end1
+        asked = ((rest.view(np.uint64) + np.uint64(1)) * self.sum - np.uint64(1)) // self.rest
+        ids = np.searchsorted(self.cumulative, asked, "right") - 1
+        return np.where(at < self.end2, self.two, np.where(at < self.end1, self.one, ids))
 
     def learn(self, ids: np.ndarray) -> None:
         for order in (0, 1):
@@ -106,7 +96,7 @@ class Model:
             key = self.keys[order]
             table[key] = np.where(hit | (level > 0), guess, ids)
             levels[key] = np.where(hit, np.minimum(level + 1, LEVELS - 1), level >> 1)
-        np.add.at(self.counts, ids, COUNT_STEP)
+        self.counts += np.bincount(ids, minlength=self.alphabet).astype(np.uint64)
         np.cumsum(self.counts, out=self.cumulative[1:])
         self.before[: self.n] = self.last[: self.n]
         self.last[: self.n] = ids
@@ -145,8 +135,8 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
         model.predict(k)
         start, share = model.interval(now)
         unit = size[:k] >> SHIFT
-        low[:k] += unit * start.astype(np.uint64)
-        size[:k] = unit * share.astype(np.uint64)
+        low[:k] += unit * start
+        size[:k] = unit * share
         moved = settle(low[:k], size[:k])
         out_lane.append(moved)
         out_word.append((low[moved] >> U32).astype("<u4"))
@@ -194,8 +184,8 @@ def decode_block(block: bytes) -> np.ndarray:
         unit = size[:k] >> SHIFT
         now = model.find(((code[:k] - low[:k]) // unit).astype(np.int64))
         start, share = model.interval(now)
-        low[:k] += unit * start.astype(np.uint64)
-        size[:k] = unit * share.astype(np.uint64)
+        low[:k] += unit * start
+        size[:k] = unit * share
         moved = settle(low[:k], size[:k])
         low[moved] <<= U32
         size[moved] <<= U32
