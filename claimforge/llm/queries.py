@@ -13,6 +13,7 @@ from .packing import best_fit_pack, token_pieces
 from .quality import judge_quality
 from .sanitise import KINDS, all_spans, span_string
 from .token_counts import token_counts
+from .toxicity import fit as fit_toxicity
 from .url_rules import UNWANTED_WORDS, judge_urls, rule_table, site_rule, word_rules
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +97,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in KINDS]
     return found.select(F.col("_id").alias("doc_id"), *counts, F.sha2(span_string(base), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = fit_toxicity(docs, labels.where(~fold)).scores(docs)
+    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
