@@ -114,22 +114,32 @@ def _follow(node: dict | None, word: str, at: int) -> float:
 
 
 def within_one_edit(root: dict, word: str) -> float:
-    """The largest weight of a trie word one insertion, deletion, substitution or swap from ``word``; 0 if none."""
+    """The largest weight of a trie word one insertion, deletion, substitution or swap from ``word``; 0 if none.
+
+    States are (letters read, edits made). The state without edits walks the trie along the word; at each node
+    every edit is tried and left at once unless the letter it needs next is there.
+    """
     node, best, n = root, 0.0, len(word)
     for at in range(n + 1):
+        here = word[at] if at < n else END
+        after = word[at + 1] if at + 1 < n else END
         for c, child in node.items():
             if c == END:
                 continue
-            best = max(best, _follow(child, word, at))  # a letter is missing
-            if at < n and c != word[at]:
-                best = max(best, _follow(child, word, at + 1))  # another letter stands here
-                if at + 1 < n and c == word[at + 1]:
-                    best = max(best, _follow(child.get(word[at]), word, at + 2))  # two letters are swapped
-        if at < n:
-            best = max(best, _follow(node, word, at + 1))  # a letter is too many
-            node = node.get(word[at])
-            if node is None:
-                break
+            if here in child:  # a letter is missing
+                best = max(best, _follow(child, word, at))
+            if at < n and c != here:
+                if after in child:  # another letter stands here
+                    best = max(best, _follow(child, word, at + 1))
+                if c == after and here in child:  # two letters are swapped
+                    best = max(best, _follow(child[here], word, at + 2))
+        if at == n:
+            break
+        if after in node:  # a letter is too many
+            best = max(best, _follow(node, word, at + 1))
+        if here not in node:
+            break
+        node = node[here]
     return best
 
 
@@ -139,6 +149,8 @@ class Matcher:
     def __init__(self, lexicon: dict[str, float]):
         self.words = trie({k: v for k, v in lexicon.items() if not k.endswith("*")})
         self.stems = trie({k[:-1]: v for k, v in lexicon.items() if k.endswith("*")})
+        lengths = {len(k) for k in lexicon if not k.endswith("*")}
+        self.fuzzy_lengths = {n + d for n in lengths for d in (-1, 0, 1) if n + d >= FUZZY_LENGTH}
         self.memo: dict[str, tuple[int, float] | None] = {}
 
     def match(self, word: str) -> tuple[int, float] | None:
@@ -153,7 +165,7 @@ class Matcher:
             stem = node.get(END, stem)
         if stem:
             return STEM, stem
-        if len(word) >= FUZZY_LENGTH:
+        if len(word) in self.fuzzy_lengths:
             weight = within_one_edit(self.words, word)
             if weight:
                 return FUZZY, weight
@@ -164,11 +176,17 @@ class Matcher:
         memo = self.memo
         if len(memo) > MEMO_LIMIT:
             memo.clear()
-        for w in set(tokens) - memo.keys():
-            memo[w] = self.match(w)
-        hits = [(i, *memo[w]) for i, w in enumerate(tokens) if memo[w]]
+        kinds = set(tokens)
+        for w in kinds:
+            if w not in memo:
+                memo[w] = self.match(w)
+        hits = [(i, *hit) for i, hit in enumerate(map(memo.__getitem__, tokens)) if hit]
+        may_quote = not MARKS.isdisjoint(kinds) or not REPORTING.isdisjoint(kinds)
         sums, quoted = [0.0, 0.0, 0.0], 0.0
         for i, kind, weight in hits:
+            if not may_quote:
+                sums[kind] += weight
+                continue
             before, after = tokens[max(0, i - WINDOW) : i], tokens[i + 1 : i + 1 + WINDOW]
             is_quote = (not MARKS.isdisjoint(before) and not MARKS.isdisjoint(after)) or not REPORTING.isdisjoint(before)
             if is_quote:
