@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 #: Word separators of every contract here: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -31,9 +36,6 @@ def row_keys(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of ``column``, or one row if that is longer."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // limit
@@ -42,3 +44,62 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             end = max(first + 1, int(np.searchsorted(group, group[first], "right")))
             yield batch.slice(first, end - first)
             first = end
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``WORD`` of all texts, and where each text starts among them; nulls have none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return flat.filter(full), upto[lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()]
+
+
+def word_hashes(words: pa.Array, key: str = "first-hash-key-0") -> np.ndarray:
+    """A 64-bit hash of each word, worked out once for each distinct word."""
+    from pandas.util import hash_array
+
+    coded = words.dictionary_encode()
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    each = hash_array(np.array(coded.dictionary.to_pylist(), object), hash_key=key, categorize=False)
+    return each[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit hashes (a fixed finaliser of multiplications and shifts)."""
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def list_column(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    """Lists cut out of ``values`` at ``ends`` (0 first)."""
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table written to the shared folder, and its path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def drop_written(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``written`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside, a finished query's shuffle files go at once; only for steps whose results are written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

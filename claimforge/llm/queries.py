@@ -12,6 +12,7 @@ from .decontaminate import find_leaks
 from .id_files import round_trip
 from .packing import best_fit_pack, token_pieces
 from .quality import judge_quality
+from .repeats import without_repeats
 from .sanitise import KINDS, all_spans, span_string
 from .token_counts import token_counts
 from .toxicity import fit as fit_toxicity
@@ -111,3 +112,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
