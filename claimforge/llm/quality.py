@@ -29,11 +29,11 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "que", "est", "dans"],
 }
-#: Characters of the classes; the rest (mostly lower-case letters) is the last class.
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
-DIGITS = "0123456789"
-BLANKS = " \t\n\x0b\x0c\r"
-POINTS = ".,;:!?'\"()-"
+#: The classes of characters; the rest (mostly lower-case letters) is the last class.
+UPPER = "A-ZÀ-ÖØ-Þ"
+DIGITS = "0-9"
+BLANKS = "\\x20\\x09-\\x0D"
+POINTS = ".,;:!?'\"()\\-"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -49,7 +49,8 @@ BOTH_LIMITS = (0.15, 0.22)
 
 
 def _count_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How many characters of a class: what is left without the runs of others."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
 def words_of(text: Column) -> Column:
@@ -58,25 +59,29 @@ def words_of(text: Column) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more in the array (windows compared by 64-bit hash)."""
-    none = F.array().cast("array<struct<h:bigint,p:int>>")
 
     def windows(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(w) - 3)
-        return F.when(F.size(w) >= 3, F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))).otherwise(none)
+        hashes = F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) >= 3, hashes).otherwise(F.array().cast("array<bigint>"))
 
     def twice(s: Column) -> Column:
+        """Positions of the windows whose neighbour in hash order is equal."""
+
         def same(i: Column, x: Column) -> Column:
             return F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
 
-        hit = F.filter(s, lambda x, i: same(i - 1, x) | same(i + 1, x))
-        return F.array_sort(F.transform(hit, lambda x: x["p"]))
+        return F.sort_array(F.transform(F.filter(s, lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x["p"]))
 
     def covered(p: Column) -> Column:
         gaps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
         return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, g: a + g)
 
-    sorted_windows = bind(words, lambda w: F.array_sort(windows(w)))
-    return bind(bind(sorted_windows, twice), covered)
+    def count(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(bind(bind(placed, twice), covered))
+
+    return bind(bind(words, windows), count)
 
 
 def _histograms(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -91,7 +96,7 @@ def _histograms(df: DataFrame, text: str, lang: str) -> DataFrame:
     out = out.withColumn("_list", F.when(F.col(lang).isin(list(COMMON_WORDS)), F.col(lang)).otherwise(likeliest))
     every = sorted({w for v in COMMON_WORDS.values() for w in v})
     found = F.filter("_w", lambda w: w.isin(every))
-    common = bind(found, lambda f: F.transform(F.try_element_at(lists, F.col("_list")), lambda t: F.size(F.filter(f, lambda w: w == t)).cast("bigint")))
+    common = bind(found, lambda f: F.transform(F.try_element_at(lists, F.col("_list")), lambda t: (F.size(f) - F.size(F.array_remove(f, t))).cast("bigint")))
     classes = [_count_of(F.col("_t"), c).cast("bigint") for c in (UPPER, DIGITS, BLANKS, POINTS, SYMBOLS)]
     return out.withColumn("_classes", F.array(*classes)).withColumn("_common", common)
 

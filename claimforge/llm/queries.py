@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_leaks
 from .id_files import round_trip
+from .jaccard_join import similar_documents
 from .packing import best_fit_pack, token_pieces
 from .quality import judge_quality
 from .repeats import without_repeats
@@ -118,3 +119,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("component._id").alias("component_id"))
