@@ -22,12 +22,16 @@ def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(out))
 
 
-def frequency_encode(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
-    """``<prefix>_frequency`` and its share of all rows."""
+def frequency_encode(df: DataFrame, col: str, prefix: str | None = None, fit_on: DataFrame | None = None) -> DataFrame:
+    """``<prefix>_frequency`` and its share of all rows.
+
+    ``fit_on`` is a frame with the same values to count; chained steps give one, so that none re-reads what came before.
+    """
     p = prefix or col
     freq = f"{p}_frequency"
-    counted = lookup_join(df, value_counts(df, col, freq), col, defaults={freq: 0})
-    rows = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    source = df if fit_on is None else fit_on
+    counted = lookup_join(df, value_counts(source, col, freq), col, defaults={freq: 0})
+    rows = source.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     return counted.withColumn(f"{p}_frequency_pct", F.col(freq) / rows)
 
 

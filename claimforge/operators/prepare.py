@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import words as W
+from ..session import cut
 from . import category as CAT
 from . import cleaning as C
 from . import encode as E
@@ -18,7 +19,7 @@ from . import target as G
 from . import textstats as S
 from . import topics as TOP
 from .models import add_score, predict_with_threshold
-from .scale import scale
+from .scale import scale, scale_groups
 
 
 @dataclass(frozen=True)
@@ -312,7 +313,30 @@ def _restore_source(df: DataFrame, source: str, keep: bool) -> DataFrame:
     return df.withColumn(source, X.text(source)) if keep else df.drop(source)
 
 
-def prepare_subject(df: DataFrame, o: SubjectOptions = SubjectOptions()) -> DataFrame:
+@dataclass
+class Fitting:
+    """What the steps of one preparation share: the frame to fit tables on, and scaling left to the end."""
+
+    base: DataFrame
+    scaled: list[tuple[list[str], str]] = field(default_factory=list)
+
+    def has(self, *cols: str | None) -> DataFrame | None:
+        """The base if it has all the columns."""
+        return self.base if all(c in self.base.columns for c in cols) else None
+
+
+def _source(fitting: Fitting | None, *cols: str | None) -> DataFrame | None:
+    return fitting.has(*cols) if fitting else None
+
+
+def _scaled(df: DataFrame, cols: list[str], method: str, fitting: Fitting | None) -> DataFrame:
+    if fitting is None:
+        return scale(df, cols, method)
+    fitting.scaled.append((cols, method))
+    return df
+
+
+def prepare_subject(df: DataFrame, o: SubjectOptions = SubjectOptions(), fitting: Fitting | None = None) -> DataFrame:
     C.require(df, o.source_col)
     s = o.source_col
     clean = X.clean_subject(s, o.normalize_separators) if o.clean_text else X.strip(X.text(s))
@@ -327,22 +351,22 @@ def prepare_subject(df: DataFrame, o: SubjectOptions = SubjectOptions()) -> Data
     scalable = [f"{s}_topic_count"] * o.add_topic_count + [f"{s}_length", f"{s}_token_count"] * o.add_length_features
     if o.add_primary:
         primary = f"{s}_primary"
-        df = TOP.primary_topic(df, topics, o.primary_strategy, o.max_topics_for_primary, o.multi_topic_label, primary)
+        df = TOP.primary_topic(df, topics, o.primary_strategy, o.max_topics_for_primary, o.multi_topic_label, primary, _source(fitting, topics))
         if o.add_frequency or o.add_is_rare or (o.group_rare and o.add_grouped):
-            df = TOP.primary_features(df, primary, s, o.rare_threshold, o.rare_label)
+            df = TOP.primary_features(df, primary, s, o.rare_threshold, o.rare_label, _source(fitting, primary))
             df = df.drop(*([] if o.add_is_rare else [f"{s}_is_rare"]), *([] if o.group_rare and o.add_grouped else [f"{primary}_grouped"]))
             df = df if o.add_frequency else df.drop(f"{s}_frequency")
         scalable += [f"{s}_frequency"] * o.add_frequency
         if o.add_label_rate:
-            df = G.group_label_rate(df, primary, o.label_col, f"{s}_label_rate")
+            df = G.group_label_rate(df, primary, o.label_col, f"{s}_label_rate", fit_on=_source(fitting, primary, o.label_col))
     elif o.group_rare:
         raise ValueError("group_rare needs add_primary")
     if not o.add_topic_list:
         df = df.drop(topics)
-    return _restore_source(scale(df, scalable, o.scale), s, o.keep_original)
+    return _restore_source(_scaled(df, scalable, o.scale, fitting), s, o.keep_original)
 
 
-def prepare_statement(df: DataFrame, o: StatementOptions = StatementOptions(), key: str = "id") -> DataFrame:
+def prepare_statement(df: DataFrame, o: StatementOptions = StatementOptions(), key: str = "id", fitting: Fitting | None = None) -> DataFrame:
     """Original-cased and cleaned text plus the switched-on features."""
     C.require(df, o.source_col)
     src, orig, clean = o.source_col, o.original_output_col, o.output_col
@@ -370,7 +394,9 @@ def prepare_statement(df: DataFrame, o: StatementOptions = StatementOptions(), k
     if o.add_rare_token_features or o.add_spelling_errors:
         df = df.withColumn("_tokens", X.words(F.col(clean)))
         if o.add_rare_token_features:
-            df = S.rare_token_features(df, key, "_tokens", threshold=o.rare_token_threshold)
+            base = _source(fitting, key, clean)
+            tokens = None if base is None else base.select(key, X.words(F.col(clean)).alias("_tokens"))
+            df = S.rare_token_features(df, key, "_tokens", threshold=o.rare_token_threshold, fit_on=tokens)
             renamed = {"rare_token_count": f"{clean}_rare_token_count", "avg_token_freq": f"{clean}_avg_token_freq"}
             df = df.withColumnsRenamed(renamed)
             scalable += list(renamed.values())
@@ -378,11 +404,11 @@ def prepare_statement(df: DataFrame, o: StatementOptions = StatementOptions(), k
             df = S.oov_count(df, key, "_tokens", out=f"{clean}_spelling_err_count")
             scalable.append(f"{clean}_spelling_err_count")
         df = df.drop("_tokens")
-    df = scale(df, scalable, o.scale)
+    df = _scaled(df, scalable, o.scale, fitting)
     return df if o.keep_original else df.drop(orig)
 
 
-def prepare_category(df: DataFrame, o: CategoryOptions) -> DataFrame:
+def prepare_category(df: DataFrame, o: CategoryOptions, fitting: Fitting | None = None) -> DataFrame:
     C.require(df, o.source_col)
     s = o.source_col
     if o.drop:
@@ -399,7 +425,7 @@ def prepare_category(df: DataFrame, o: CategoryOptions) -> DataFrame:
         df = C.normalize_by_lookup(df, value, C.state_table(df.sparkSession), "code", "name", fixed=True)
     scalable: list[str] = []
     if o.add_frequency or o.add_is_rare or o.add_grouped:
-        df = CAT.frequency_encode(df, value, s)
+        df = CAT.frequency_encode(df, value, s, _source(fitting, value))
         freq = f"{s}_frequency"
         if o.add_is_rare:
             df = CAT.is_rare(df, freq, o.rare_threshold, f"{s}_is_rare")
@@ -436,11 +462,11 @@ def prepare_category(df: DataFrame, o: CategoryOptions) -> DataFrame:
     if o.add_us_region:
         df = C.map_region(df, value, C.state_table(df.sparkSession), "name", "region", f"{s}_us_region", fixed=True)
     if o.add_label_rate:
-        df = G.group_label_rate(df, value, o.label_col, f"{s}_label_rate")
-    return _restore_source(scale(df, scalable, o.scale), s, o.keep_original)
+        df = G.group_label_rate(df, value, o.label_col, f"{s}_label_rate", fit_on=_source(fitting, value, o.label_col))
+    return _restore_source(_scaled(df, scalable, o.scale, fitting), s, o.keep_original)
 
 
-def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions()) -> DataFrame:
+def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions(), fitting: Fitting | None = None) -> DataFrame:
     """Interaction keys, group means and text style; absent sources warn and are skipped."""
     pairs = [
         (o.add_speaker_subject, o.speaker_col, o.subject_col, "fe_speaker_subject"),
@@ -465,7 +491,7 @@ def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions()) -> D
             if o.label_col is None:
                 raise ValueError("label rates need label_col")
             if I.have(df, out, key, o.label_col):
-                df = G.group_label_rate(df, key, o.label_col, out)
+                df = G.group_label_rate(df, key, o.label_col, out, fit_on=_source(fitting, key, o.label_col))
                 scalable.append(out)
     means = [
         (o.add_speaker_avg_statement_len, o.speaker_col, lambda c: X.word_count(X.text(c)), "fe_speaker_avg_statement_len"),
@@ -476,7 +502,7 @@ def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions()) -> D
     for key in (o.speaker_col, o.subject_col):
         wanted = {out: value(o.statement_col) for on, k, value, out in means if on and k == key and I.have(df, out, k, o.statement_col)}
         if wanted:
-            df = G.group_mean_features(df, key, wanted)
+            df = G.group_mean_features(df, key, wanted, _source(fitting, key, o.statement_col))
             scalable += list(wanted)
     lexicons = {n: lex for n, lex in S.LEXICONS.items() if getattr(o, f"add_{n}_count")}
     if (lexicons or o.add_numeral_count or o.add_readability) and I.have(df, "text style", o.statement_col):
@@ -491,23 +517,77 @@ def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions()) -> D
     if o.add_proper_noun_count and I.have(df, "fe_proper_noun_count", o.statement_original_col):
         df = S.proper_noun_count(df, o.statement_original_col)
         scalable.append("fe_proper_noun_count")
-    return scale(df, scalable, o.scale)
+    return _scaled(df, scalable, o.scale, fitting)
+
+
+def _clean_only(o: PrepareOptions) -> PrepareOptions:
+    """The same cleaning without any feature: every step is then local to its row."""
+    off = {"keep_original": True, "scale": "none"}
+
+    def category(c: CategoryOptions) -> CategoryOptions:
+        return CategoryOptions(kind=c.kind, source_col=c.source_col, drop=c.drop, clean_text=c.clean_text, normalize_separators=c.normalize_separators, normalize_state=c.normalize_state, keep_original=True)
+
+    s = o.subject
+    return replace(
+        o, fe=FeatureOptions(), speaker=category(o.speaker), speaker_job=category(o.speaker_job), party_affiliation=category(o.party_affiliation), state=category(o.state),
+        subject=replace(
+            s, **off, group_rare=False, add_length_features=False, add_topic_count=False, add_multiple_topics_flag=False, add_grouped=False,
+            add_frequency=False, add_is_rare=False, add_label_rate=False, add_topic_list=s.add_primary and s.primary_strategy.strip().lower() == "most_frequent",
+        ),
+        statement=replace(o.statement, **off, add_rare_token_features=False, add_spelling_errors=False, add_lexical_features=False, add_pollution_features=False),
+    )
+
+
+def _fitted_columns(o: PrepareOptions) -> set[str]:
+    """Cleaned columns, key and labels that some step of ``o`` counts or averages."""
+    cols: set[str | None] = set()
+    s = o.subject
+    if s.add_primary and (s.add_frequency or s.add_is_rare or s.add_grouped or s.add_label_rate or s.primary_strategy.strip().lower() == "most_frequent"):
+        cols |= {f"{s.source_col}_primary", f"{s.source_col}_topics", s.label_col if s.add_label_rate else None}
+    if o.statement.add_rare_token_features:
+        cols |= {o.key_col, o.statement.output_col}
+    for c in (o.speaker, o.speaker_job, o.party_affiliation, o.state):
+        if not c.drop and (c.add_frequency or c.add_is_rare or c.add_grouped or c.add_label_rate):
+            cols |= {f"{c.source_col}_clean", c.label_col if c.add_label_rate else None}
+    f = o.fe
+    speaker = f.add_speaker_avg_statement_len or f.add_speaker_avg_punctuation or f.add_speaker_avg_number_ratio
+    for on, key in ((speaker, f.speaker_col), (f.add_subject_avg_statement_len, f.subject_col)):
+        cols |= {key, f.statement_col} if on else set()
+    for on, key in ((f.add_speaker_label_rate, f.speaker_col), (f.add_subject_label_rate, f.subject_col), (f.add_party_label_rate, f.party_col)):
+        cols |= {key, f.label_col} if on else set()
+    return cols - {None}
+
+
+def _steps(df: DataFrame, o: PrepareOptions, fitting: Fitting | None) -> DataFrame:
+    return (
+        df.transform(prepare_subject, o.subject, fitting)
+        .transform(prepare_statement, o.statement, o.key_col, fitting)
+        .transform(prepare_category, o.speaker, fitting)
+        .transform(prepare_category, o.speaker_job, fitting)
+        .transform(prepare_category, o.party_affiliation, fitting)
+        .transform(prepare_category, o.state, fitting)
+        .transform(add_cross_features, o.fe, fitting)
+    )
 
 
 def prepare(df: DataFrame, options: PrepareOptions | None = None) -> DataFrame:
-    """All steps in order as one lazy plan. The key column lives until the last step."""
+    """All steps in order. The key column lives until the last step.
+
+    Whatever is counted or averaged is fitted on one narrow table of cleaned columns, which is checkpointed
+    here (an eager job, only if some option needs it); the rows then meet one table a step, and all scaling
+    comes last from one aggregate. So the plan grows with the number of steps, and the input is read three
+    times at most.
+    """
     o = options or PrepareOptions()
     validate(df, o)
     label_dropped = o.label_option.strip().lower() == "drop"
-    df = (
-        df.transform(prepare_subject, o.subject)
-        .transform(prepare_statement, o.statement, o.key_col)
-        .transform(prepare_category, o.speaker)
-        .transform(prepare_category, o.speaker_job)
-        .transform(prepare_category, o.party_affiliation)
-        .transform(prepare_category, o.state)
-        .transform(add_cross_features, o.fe)
-    )
+    wanted = _fitted_columns(o)
+    if wanted:
+        clean = _steps(df, _clean_only(o), None)
+        fitting = Fitting(cut(clean.select(*sorted(wanted & set(clean.columns)))))
+    else:
+        fitting = Fitting(df.select())
+    df = scale_groups(_steps(df, o, fitting), fitting.scaled)
     if label_dropped and o.label_source_col in df.columns:
         df = df.drop(o.label_source_col)
     return C.id_option(df, o.id_option, o.key_col)

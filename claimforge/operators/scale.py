@@ -13,35 +13,45 @@ from .cleaning import require
 
 def scale(df: DataFrame, cols: Sequence[str], method: str = "none") -> DataFrame:
     """``standardize`` with the sample deviation or ``normalize`` to 0..1; one aggregate for all columns."""
-    if method == "none" or not cols:
-        return df
-    require(df, *cols)
-    if method == "standardize":
-        centre, spread = F.avg, F.stddev_samp
-    elif method == "normalize":
-        centre = F.min
+    return scale_groups(df, [(cols, method)])
 
-        def spread(c: Column) -> Column:
-            return F.max(c) - F.min(c)
-    else:
-        raise ValueError("method must be 'none', 'standardize' or 'normalize'")
-    return _apply(df, df, cols, centre, spread)
+
+def scale_groups(df: DataFrame, groups: Sequence[tuple[Sequence[str], str]]) -> DataFrame:
+    """Several ``(columns, method)`` at once, from one aggregate."""
+    stats = {}
+    for cols, method in groups:
+        if method not in ("none", *METHODS):
+            raise ValueError("method must be 'none', 'standardize' or 'normalize'")
+        if method != "none":
+            require(df, *cols)
+            stats.update({c: METHODS[method] for c in cols})
+    return _apply(df, df, stats) if stats else df
+
+
+def _range(c: Column) -> Column:
+    return F.max(c) - F.min(c)
+
+
+METHODS = {"standardize": (F.avg, F.stddev_samp), "normalize": (F.min, _range)}
 
 
 def standard_scaler(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Scaler fitted on ``train`` with the population deviation."""
     require(train, *cols)
-    return tuple(_apply(d, train, cols, F.avg, F.stddev_pop) for d in (train, test))
+    return tuple(_apply(d, train, {c: (F.avg, F.stddev_pop) for c in cols}) for d in (train, test))
 
 
-def _apply(df: DataFrame, fitted_on: DataFrame, cols: Sequence[str], centre, spread) -> DataFrame:
+def _apply(df: DataFrame, fitted_on: DataFrame, cols: dict[str, tuple]) -> DataFrame:
     stats = {}
-    for i, c in enumerate(cols):
+    for i, (c, (centre, spread)) in enumerate(cols.items()):
         v = F.col(c).cast("double")
         stats[f"c{i}"], stats[f"s{i}"] = centre(v), spread(v)
     s = scalar_struct(fitted_on, **stats)
+    # One column holds the subquery, so that the plan does not repeat it for every use.
+    held = df.withColumn("_scale", s)
     scaled = {}
     for i, c in enumerate(cols):
-        shifted = F.col(c).cast("double") - s[f"c{i}"]
-        scaled[c] = F.when(s[f"s{i}"] > 0, shifted / s[f"s{i}"]).otherwise(shifted)
-    return df.withColumns(scaled)
+        centre, spread = F.col("_scale")[f"c{i}"], F.col("_scale")[f"s{i}"]
+        shifted = F.col(c).cast("double") - centre
+        scaled[c] = F.when(spread > 0, shifted / spread).otherwise(shifted)
+    return held.withColumns(scaled).drop("_scale")

@@ -179,9 +179,14 @@ def oov_count(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame | None
     return lookup_join(df, unknown, key, defaults={out: 0})
 
 
-def rare_token_features(df: DataFrame, key: str, tokens: str, frequencies: DataFrame | None = None, threshold: int = 1) -> DataFrame:
-    """Tokens at or under the frequency threshold, and mean corpus frequency per row."""
-    flat = _flat_tokens(df, key, F.col(tokens))
+def rare_token_features(
+    df: DataFrame, key: str, tokens: str, frequencies: DataFrame | None = None, threshold: int = 1, fit_on: DataFrame | None = None
+) -> DataFrame:
+    """Tokens at or under the frequency threshold, and mean corpus frequency per row.
+
+    ``fit_on`` holds the same keys and tokens in a frame that is cheaper to read.
+    """
+    flat = _flat_tokens(df if fit_on is None else fit_on, key, F.col(tokens))
     freq = frequencies if frequencies is not None else flat.groupBy("token").agg(F.sum("n").alias("freq"))
     flat = lookup_join(flat, freq.select("token", "freq"), "token", defaults={"freq": 0})
     per_row = flat.groupBy(key).agg(

@@ -53,7 +53,7 @@ def _most_frequent(df: DataFrame, topics: str) -> DataFrame:
 
 def primary_topic(
     df: DataFrame, topics: str, strategy: str = "first", max_topics: int | None = None,
-    multi_label: str = "multi-topic", out: str = "primary",
+    multi_label: str = "multi-topic", out: str = "primary", fit_on: DataFrame | None = None,
 ) -> DataFrame:
     """One topic per row; empty lists are ``unknown``, over-long ones ``multi_label``."""
     require(df, topics)
@@ -62,7 +62,7 @@ def primary_topic(
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     t = F.col(topics)
     if choice == "most_frequent":
-        df = lookup_join(df, _most_frequent(df, topics), topics)
+        df = lookup_join(df, _most_frequent(df if fit_on is None else fit_on, topics), topics)
         picked = F.col("_top")
     elif choice == "longest":
         longest = F.array_max(F.transform(t, F.length))
@@ -77,9 +77,11 @@ def primary_topic(
     return df.withColumn(out, value).drop("_top")
 
 
-def primary_features(df: DataFrame, primary: str, prefix: str, threshold: int = 10, rare_label: str = "other") -> DataFrame:
+def primary_features(
+    df: DataFrame, primary: str, prefix: str, threshold: int = 10, rare_label: str = "other", fit_on: DataFrame | None = None
+) -> DataFrame:
     """Frequency, rare flag and rare-grouped value of the primary topic."""
-    out = frequency_encode(df, primary, prefix).drop(f"{prefix}_frequency_pct")
+    out = frequency_encode(df, primary, prefix, fit_on).drop(f"{prefix}_frequency_pct")
     out = is_rare(out, f"{prefix}_frequency", threshold, f"{prefix}_is_rare")
     return group_rare(out, primary, threshold, rare_label, f"{primary}_grouped", f"{prefix}_frequency")
 

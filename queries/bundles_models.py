@@ -246,6 +246,43 @@ def q5_subject(spark, sf):
     return d.select("id", *[c for c in d.columns if c.startswith("subject_") and c != "subject_topics"])
 
 
+def _grouped(value: str, raw: str, threshold: int = 5) -> str:
+    n = f"count(*) OVER (PARTITION BY {value})"
+    return f"{n} AS {raw}_frequency, CAST({n} < {threshold} AS INTEGER) AS {raw}_is_rare, CASE WHEN {n} < {threshold} THEN 'other' ELSE {value} END AS {raw}_grouped"
+
+
+def _z(x: str) -> str:
+    return f"round(CASE WHEN stddev_samp({x}) OVER () > 0 THEN ({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () ELSE {x} - avg({x}) OVER () END, 6)"
+
+
+_ALL_MEANS = ["fe_speaker_avg_statement_len", "fe_subject_avg_statement_len", "fe_speaker_avg_punctuation", "fe_speaker_avg_number_ratio"]
+_ALL_SCALED = ["statement_original_char_len", "statement_clean_rare_token_count", "statement_clean_avg_token_freq"]
+_ALL_GROUPED = [f"{c}_{k}" for c in ("speaker", "speaker_job", "party_affiliation", "state_info") for k in ("frequency", "is_rare", "grouped")]
+
+
+@query(
+    "Q1_prepare_expanded",
+    f"""WITH {FULL_CLAIMS}, c AS (SELECT id, {', '.join(f'{e} AS {c}' for c, e in _CLEAN_COLS.items())}, {s_repair('statement')} AS o FROM full_claims),
+      k AS (SELECT id, unnest(regexp_extract_all(statement_clean, '\\S+')) AS w FROM c), f AS (SELECT w, count(*) AS freq FROM k GROUP BY w),
+      r AS (SELECT id, count(*) FILTER (freq <= 1) AS rare, avg(freq) AS af FROM k JOIN f USING (w) GROUP BY id),
+      t AS (SELECT c.*, coalesce(rare, 0) AS rare, coalesce(af, 0) AS af, coalesce(({s_topics('subject_clean')})[1], 'unknown') AS prim, {s_words('statement_clean')} AS wc,
+        {s_count('statement_clean', "[.,!?;:" + chr(34) + "''" + "\\-()\\[\\]{}]")} / greatest(length(statement_clean), 1) AS pd, {s_count('statement_clean', '[0-9]')} / greatest(length(statement_clean), 1) AS dr
+        FROM c LEFT JOIN r ON r.id = c.id)
+    SELECT id, prim AS subject_primary, count(*) OVER (PARTITION BY prim) AS subject_frequency, CASE WHEN count(*) OVER (PARTITION BY prim) < 10 THEN 'other' ELSE prim END AS subject_primary_grouped,
+      {_grouped('speaker_clean', 'speaker')}, {_grouped('speaker_job_clean', 'speaker_job')}, {_grouped('party_affiliation_clean', 'party_affiliation')}, {_grouped('state_info_clean', 'state_info')},
+      {_z('length(o)')} AS statement_original_char_len, {_z('rare')} AS statement_clean_rare_token_count, {_z('af')} AS statement_clean_avg_token_freq,
+      round(avg(wc) OVER (PARTITION BY speaker_clean), 6) AS fe_speaker_avg_statement_len, round(avg(wc) OVER (PARTITION BY subject_clean), 6) AS fe_subject_avg_statement_len,
+      round(avg(pd) OVER (PARTITION BY speaker_clean), 6) AS fe_speaker_avg_punctuation, round(avg(dr) OVER (PARTITION BY speaker_clean), 6) AS fe_speaker_avg_number_ratio,
+      state_info_clean || '__' || party_affiliation_clean AS fe_state_party FROM t""",
+)
+def q1_expanded(spark, sf):
+    """Every expanded preset in one call, with rare tokens and scaling."""
+    parts = {g: Q.preset(g, "expanded") for g in Q.PRESETS}
+    statement = Q.StatementOptions(keep_original=True, add_lexical_features=True, add_rare_token_features=True, scale="standardize")
+    d = Q.prepare_keyed(full_claims(spark, sf), Q.PrepareOptions(statement=statement, id_option="hash_bucket", **parts))
+    return d.select("id", "subject_primary", "subject_frequency", "subject_primary_grouped", *_ALL_GROUPED, *r6(*_ALL_SCALED, *_ALL_MEANS), "fe_state_party")
+
+
 @query(
     "Q5_preset_features_expanded",
     f"""WITH {FULL_CLAIMS}, c AS (SELECT id, {', '.join(f'{e} AS {c}' for c, e in _CLEAN_COLS.items())} FROM full_claims),

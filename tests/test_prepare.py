@@ -1,6 +1,7 @@
 """Options, presets, errors, files and bundles."""
 
 import warnings
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,27 @@ def test_missing_bundle_parts(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="model.*settings"):
         BN.load_bundle(spark, str(tmp_path), "none")
     assert BN.list_bundles(spark, str(tmp_path)).count() == 0
+
+
+def relations(df):
+    shown = df._jdf.queryExecution().analyzed().toString()
+    return shown.count("LogicalRDD")
+
+
+def test_plan_grows_with_the_steps(claims):
+    """Each category adds a few reads of the fitted base; nothing doubles."""
+    groups = ["speaker", "speaker_job", "party_affiliation", "state"]
+    sizes = []
+    for n in range(1, len(groups) + 1):
+        options = Q.PrepareOptions(**{g: Q.preset(g, "expanded") for g in groups[:n]}, fe=Q.preset("fe", "expanded"))
+        sizes.append(relations(Q.prepare(claims, options)))
+    steps = [b - a for a, b in zip(sizes, sizes[1:], strict=False)]
+    assert max(steps) <= 6 and sizes[-1] <= 40
+
+
+def test_deferred_scaling_equals_scaling_in_each_step(claims):
+    options = Q.PrepareOptions(speaker=replace(Q.preset("speaker", "expanded"), scale="standardize"), party_affiliation=replace(Q.preset("party_affiliation", "expanded"), scale="normalize"))
+    whole = {r["speaker_clean"]: r for r in Q.prepare(claims, options).collect()}
+    alone = {r["speaker_clean"]: r for r in Q.prepare_category(claims, options.speaker).collect()}
+    for k, r in alone.items():
+        assert whole[k]["speaker_frequency_pct"] == pytest.approx(r["speaker_frequency_pct"]) and whole[k]["speaker_char_len"] == pytest.approx(r["speaker_char_len"])
