@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import words as W
+from ..plans.ordered import sorted_index
 from ..plans.lookups import fixed_table, lookup_join
 
 
@@ -81,14 +82,17 @@ def normalize_tokens_by_dictionary(df: DataFrame, key: str, tokens: str, diction
     once; a row's list is rebuilt from its own tokens only.
     """
     require(dictionary, "form", "base")
-    flat = df.select(key, F.posexplode(tokens).alias("_pos", "form"))
+    # Rows are told apart by key and tokens, so that rows sharing a key, or without one, keep their own lists.
+    marked = df.withColumn("_rk", F.concat_ws("\x1f", F.coalesce(F.col(key).cast("string"), F.lit("\x00")), F.xxhash64(tokens).cast("string")))
+    distinct = marked.groupBy("_rk").agg(F.first(tokens).alias("_t"))
+    flat = distinct.select("_rk", F.posexplode("_t").alias("_pos", "form"))
     mapped = lookup_join(flat, dictionary.select("form", "base").dropDuplicates(["form"]), "form")
-    lists = mapped.groupBy(key).agg(
+    lists = mapped.groupBy("_rk").agg(
         F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("base", "form").alias("t")))).alias("_l")
     )
-    rebuilt = lists.select(key, F.transform("_l", lambda s: s["t"]).alias("_new"))
+    rebuilt = lists.select("_rk", F.transform("_l", lambda s: s["t"]).alias("_new"))
     empty = F.array().cast("array<string>")
-    return df.join(rebuilt, key, "left").withColumn(tokens, F.coalesce("_new", empty)).drop("_new")
+    return marked.join(rebuilt, "_rk", "left").withColumn(tokens, F.coalesce("_new", empty)).drop("_new", "_rk")
 
 
 def expand_contractions(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -216,10 +220,9 @@ def normalize_label(df: DataFrame, col: str, label_map: Sequence[tuple[str, int]
     else:
         valid = df.withColumn("_y", F.col(col).try_cast("int"))
     valid = valid.where(F.col("_y").isNotNull())
-    # A two-class problem has few classes; their sorted list is one small aggregate.
-    classes = valid.agg(F.sort_array(F.collect_set("_y"))).scalar()
-    rank = F.when(classes == F.array(F.lit(0), F.lit(1)), F.col("_y")).otherwise(F.array_position(classes, F.col("_y")) - 1)
-    return valid.withColumn(out, rank.cast("int")).drop("_y")
+    # Places among the sorted distinct classes: 0 and 1 stay, any other pair maps by rank, and a wide column is no list.
+    ranks = sorted_index(valid.select("_y").distinct(), [F.col("_y").asc()]).select("_y", F.col("_index").cast("int").alias("_rank"))
+    return lookup_join(valid, ranks, "_y").withColumn(out, F.col("_rank")).drop("_y", "_rank")
 
 
 def label_option(df: DataFrame, option: str = "skip", col: str = "label") -> DataFrame:

@@ -37,18 +37,15 @@ def ordinal_encode(train: DataFrame, test: DataFrame, cols: Sequence[str], suffi
 
 
 def one_hot(
-    train: DataFrame, test: DataFrame, cols: Sequence[str], max_columns: int = 2000, values: dict[str, list] | None = None
+    train: DataFrame, test: DataFrame, cols: Sequence[str], values: dict[str, list] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """One 0/1 column per training value; unknown values are all zeros."""
+    """One 0/1 column per training value; unknown values are all zeros. ``one_hot_sparse`` keeps many values in one column."""
     flags = {}
     for c in cols:
         require(train, c)
         known = (values or {}).get(c)
         if known is None:
-            found = train.where(F.col(c).isNotNull()).select(c).distinct().limit(max_columns + 1).collect()
-            if len(found) > max_columns:
-                raise ValueError(f"{c} has more than {max_columns} values; use one_hot_sparse")
-            known = sorted(r[0] for r in found)
+            known = sorted(r[0] for r in train.where(F.col(c).isNotNull()).select(c).distinct().collect())
         flags.update({f"{c}_{v}": F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("int") for v in known})
     return train.withColumns(flags), test.withColumns(flags)
 

@@ -200,17 +200,17 @@ def cumulative_coverage(df: DataFrame, col: str) -> DataFrame:
     return ranked.select(col, "n", (F.col("_index") + 1).alias("rank"), "running", (F.col("running") / total).alias("coverage"))
 
 
-FREQUENCY_EDGES = [0, 1, 2, 5, 10, 50, 100, 10000]
+FREQUENCY_EDGES = [0, 1, 2, 5, 10, 50, 100]
 FREQUENCY_LABELS = ["1", "2", "3-4", "5-9", "10-49", "50-99", "100+"]
 
 
 def frequency_buckets(df: DataFrame, col: str, edges: Sequence[int] = FREQUENCY_EDGES, labels: Sequence[str] = FREQUENCY_LABELS) -> DataFrame:
-    """Rows per right-closed frequency band; values above the last edge have no band."""
+    """Rows per right-closed frequency band; the last band has no upper end."""
     n = F.col("n")
     band = F.when(F.lit(False), F.lit(""))
     place = F.when(F.lit(False), F.lit(0))
     for i, label in enumerate(labels):
-        inside = (n > edges[i]) & (n <= edges[i + 1])
+        inside = (n > edges[i]) & (n <= edges[i + 1]) if i + 1 < len(edges) else n > edges[i]
         band, place = band.when(inside, F.lit(label)), place.when(inside, F.lit(i))
     return value_counts(df, col).groupBy(band.alias("band"), place.alias("band_order")).agg(F.sum("n").alias("rows"), row_count().alias("distinct_values"))
 
@@ -218,13 +218,15 @@ def frequency_buckets(df: DataFrame, col: str, edges: Sequence[int] = FREQUENCY_
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Cell counts with margins (null level) and row percentages, from one cube."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).cube(a, b).agg(row_count().alias("n"), F.grouping(a).alias("ga"), F.grouping(b).alias("gb"))
-    named = cells.select(
+    # Margins meet their rows by the grouping bit and the value; only then are they named, so a value "All" is one of many.
+    keyed = cells.withColumn("_level", F.concat_ws("\x1f", F.col("ga").cast("string"), F.col(a).cast("string")))
+    margins = keyed.where(F.col("gb") == 1).select("_level", F.col("n").alias("row_total"))
+    joined = lookup_join(keyed, margins, "_level").withColumn("row_pct", F.col("n") * 100.0 / F.col("row_total"))
+    return joined.select(
         F.when(F.col("ga") == 1, "All").otherwise(F.col(a).cast("string")).alias(a),
         F.when(F.col("gb") == 1, "All").otherwise(F.col(b).cast("string")).alias(b),
-        "n", "gb",
+        "n", "row_total", "row_pct",
     )
-    margins = named.where(F.col("gb") == 1).select(F.col(a).alias("_a"), F.col("n").alias("row_total"))
-    return lookup_join(named.drop("gb"), margins, a, "_a").withColumn("row_pct", F.col("n") * 100.0 / F.col("row_total"))
 
 
 def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence) -> DataFrame:

@@ -131,9 +131,22 @@ def basic_text_stats(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def row_key(key: str, tokens: Column) -> Column:
+    """Tells rows apart by key and tokens, a null key included; rows equal in both have equal features."""
+    return F.concat_ws("\x1f", F.coalesce(F.col(key).cast("string"), F.lit("\x00")), F.xxhash64(tokens).cast("string"))
+
+
 def _flat_tokens(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, token, n): a row's tokens are counted before anything is shuffled by token."""
-    return df.select(F.col(key), F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    """(_rk, m, token, n): tokens of each distinct row, how often in it, and how many rows are equal to it.
+
+    A row's tokens are counted before anything is shuffled by token.
+    """
+    rows = df.select(row_key(key, tokens).alias("_rk"), tokens.alias("_t")).groupBy("_rk").agg(F.first("_t").alias("_t"), F.count(F.lit(1)).alias("m"))
+    return rows.select("_rk", "m", F.explode("_t").alias("token")).groupBy("_rk", "m", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _back(df: DataFrame, key: str, tokens: Column, features: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    return lookup_join(df.withColumn("_rk", row_key(key, tokens)), features, "_rk", defaults=defaults).drop("_rk")
 
 
 def lexicon_sentiment(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame:
@@ -142,30 +155,33 @@ def lexicon_sentiment(df: DataFrame, key: str, col: str, lexicon: DataFrame) ->
     tokens = F.regexp_extract_all(F.lower(X.text(col)), F.lit("[a-z']+"), F.lit(0))
     hits = _flat_tokens(df, key, tokens).join(lexicon.withColumnRenamed("word", "token"), "token")
     n = F.sum("n")
-    means = hits.groupBy(key).agg(
+    means = hits.groupBy("_rk").agg(
         (F.sum(F.col("polarity") * F.col("n")) / n).alias("fe_sentiment_polarity"),
         (F.sum(F.col("subjectivity") * F.col("n")) / n).alias("fe_sentiment_subjectivity"),
     )
-    return lookup_join(df, means, key, defaults={"fe_sentiment_polarity": 0.0, "fe_sentiment_subjectivity": 0.0})
+    return _back(df, key, tokens, means, {"fe_sentiment_polarity": 0.0, "fe_sentiment_subjectivity": 0.0})
 
 
 ENTITY_TYPES = ["PERSON", "ORG", "GPE", "DATE", "NUM", "OTHER"]
 NUMERIC_ENTITY_LABELS = ["CARDINAL", "MONEY", "PERCENT", "QUANTITY", "NUM"]
 
 
-def gazetteer_entity_counts(df: DataFrame, key: str, col: str, gazetteer: DataFrame, max_words: int = 2, prefix: str = "entity_") -> DataFrame:
-    """Entity counts per type from ``gazetteer(phrase, type)``; phrases of up to ``max_words`` words."""
+def gazetteer_entity_counts(df: DataFrame, key: str, col: str, gazetteer: DataFrame, prefix: str = "entity_") -> DataFrame:
+    """Entity counts per type from ``gazetteer(phrase, type)``; word runs of every length that a phrase has are looked up."""
     require(gazetteer, "phrase", "type")
-    grams = X.ngrams(X.words(X.text(col)), 1, max_words)
+    # As many rows as there are phrase lengths.
+    lengths = sorted(r[0] for r in gazetteer.select(F.size(X.words(F.col("phrase")))).distinct().collect() if r[0] > 0)
+    words = X.words(X.text(col))
+    grams = F.concat(*[X.ngrams(words, n, n) for n in lengths]) if lengths else F.array().cast("array<string>")
     kind = F.when(F.col("type").isin(NUMERIC_ENTITY_LABELS), "NUM").when(F.col("type").isin(ENTITY_TYPES), F.col("type")).otherwise("OTHER")
     table = gazetteer.select(F.col("phrase").alias("token"), kind.alias("kind"))
     hits = _flat_tokens(df, key, grams).join(table, "token")
-    counts = hits.groupBy(key).agg(
+    counts = hits.groupBy("_rk").agg(
         F.sum("n").alias(f"{prefix}total_entities"),
         *[F.sum(F.when(F.col("kind") == t, F.col("n")).otherwise(0)).alias(f"{prefix}{t}") for t in ENTITY_TYPES],
     )
     names = [f"{prefix}{t}" for t in ["total_entities", *ENTITY_TYPES]]
-    return lookup_join(df, counts, key, defaults={n: 0 for n in names})
+    return _back(df, key, grams, counts, {n: 0 for n in names})
 
 
 def oov_count(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame | None = None, out: str = "spelling_err_count") -> DataFrame:
@@ -173,10 +189,10 @@ def oov_count(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame | None
     if vocabulary is None:
         return df.withColumn(out, F.size(F.filter(F.col(tokens), lambda t: ~t.rlike(r"\p{L}"))).cast("bigint"))
     require(vocabulary, "word")
-    flat = _flat_tokens(df, key, F.transform(F.col(tokens), lambda t: F.lower(t)))
+    lower = F.transform(F.col(tokens), lambda t: F.lower(t))
     known = vocabulary.select(F.col("word").alias("token")).distinct()
-    unknown = flat.join(known, "token", "left_anti").groupBy(key).agg(F.sum("n").alias(out))
-    return lookup_join(df, unknown, key, defaults={out: 0})
+    unknown = _flat_tokens(df, key, lower).join(known, "token", "left_anti").groupBy("_rk").agg(F.sum("n").alias(out))
+    return _back(df, key, lower, unknown, {out: 0})
 
 
 def rare_token_features(
@@ -187,13 +203,13 @@ def rare_token_features(
     ``fit_on`` holds the same keys and tokens in a frame that is cheaper to read.
     """
     flat = _flat_tokens(df if fit_on is None else fit_on, key, F.col(tokens))
-    freq = frequencies if frequencies is not None else flat.groupBy("token").agg(F.sum("n").alias("freq"))
+    freq = frequencies if frequencies is not None else flat.groupBy("token").agg(F.sum(F.col("n") * F.col("m")).alias("freq"))
     flat = lookup_join(flat, freq.select("token", "freq"), "token", defaults={"freq": 0})
-    per_row = flat.groupBy(key).agg(
+    per_row = flat.groupBy("_rk").agg(
         F.sum(F.when(F.col("freq") <= threshold, F.col("n")).otherwise(0)).alias("rare_token_count"),
         (F.sum(F.col("freq") * F.col("n")) / F.sum("n")).alias("avg_token_freq"),
     )
-    return lookup_join(df, per_row, key, defaults={"rare_token_count": 0, "avg_token_freq": 0.0})
+    return _back(df, key, F.col(tokens), per_row, {"rare_token_count": 0, "avg_token_freq": 0.0})
 
 
 def softmax_score(df: DataFrame, logits: str, cls: int = 1) -> DataFrame:

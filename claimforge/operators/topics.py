@@ -86,12 +86,9 @@ def primary_features(
     return group_rare(out, primary, threshold, rare_label, f"{primary}_grouped", f"{prefix}_frequency")
 
 
-def topic_vocabulary(train: DataFrame, topics: str, max_columns: int = 2000) -> list[str]:
-    """Sorted training topics for column output; refuses vocabularies too wide for columns."""
-    found = train.select(F.explode(topics).alias("t")).distinct().limit(max_columns + 1).collect()
-    if len(found) > max_columns:
-        raise ValueError(f"more than {max_columns} topics; use topic_indicators_long instead")
-    return sorted(r["t"] for r in found)
+def topic_vocabulary(train: DataFrame, topics: str) -> list[str]:
+    """Sorted training topics for column output, one column each; ``topic_indicators_long`` has no such list."""
+    return sorted(r["t"] for r in train.select(F.explode(topics).alias("t")).distinct().collect())
 
 
 def multi_label_binarize(

@@ -159,7 +159,7 @@ def m10(spark, sf):
 @query(
     "M11_frequency_buckets",
     """WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
-    SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 2 THEN '2' WHEN n <= 5 THEN '3-4' WHEN n <= 10 THEN '5-9' WHEN n <= 50 THEN '10-49' WHEN n <= 100 THEN '50-99' WHEN n <= 10000 THEN '100+' END AS band,
+    SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 2 THEN '2' WHEN n <= 5 THEN '3-4' WHEN n <= 10 THEN '5-9' WHEN n <= 50 THEN '10-49' WHEN n <= 100 THEN '50-99' ELSE '100+' END AS band,
       CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_values FROM c GROUP BY 1""",
 )
 def m11(spark, sf):
