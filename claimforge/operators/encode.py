@@ -84,8 +84,11 @@ def column_roles(df: DataFrame, label: str = "label", sources: Sequence[str] = R
 
 
 def column_role_table(df: DataFrame, label: str = "label", sources: Sequence[str] = RAW_SOURCES) -> DataFrame:
-    rows = [(c, role) for role, cols in column_roles(df, label, sources).items() for c in cols]
-    return df.sparkSession.createDataFrame(rows, "column string, role string")
+    """Per column its role, filled rows and distinct values: ``column, role, filled, distinct_values``."""
+    roles = [(c, role) for role, cols in column_roles(df, label, sources).items() for c in cols]
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(role).alias("role"), F.col(c).cast("string").alias("value")) for c, role in roles]
+    values = df.select(F.inline(F.array(*cells))).groupBy("column", "role", "value").agg(F.count("value").alias("n"))
+    return values.groupBy("column", "role").agg(F.sum("n").alias("filled"), F.count("value").alias("distinct_values"))
 
 
 def align_schema(df: DataFrame, feature_names: Sequence[str], fill: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:

@@ -47,7 +47,8 @@ def settle(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not on:
         return table
     kept = cut(table)
-    width = F.length(F.concat_ws("", *[F.col(k).cast("string") for k in keys]))
+    # Every column counts, values that are strings, lists or maps included.
+    width = F.length(F.to_json(F.struct(*[F.col(c) for c, kind in kept.dtypes if kind not in ("vector", "variant")])))
     rows, chars = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(kept) if rows * ROW_BYTES + chars * 2 <= BROADCAST_BYTES else kept
 

@@ -28,9 +28,11 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int | str, hex_d
 
     The hash is uniform, so its leading digits cut every group, however large,
     into even buckets; a row's rank is its bucket's offset plus its place there.
-    ``key`` identifies rows; rows without one are ranked too.
+    ``key`` identifies rows; rows without one are spread and ordered by what else they hold.
     """
-    h = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))))
+    plain = [c for c, kind in df.dtypes if c != key and "map<" not in kind and kind != "variant"]
+    other = F.concat(F.lit("\x00"), F.xxhash64(*plain).cast("string")) if plain else F.lit("\x00")
+    h = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), other), F.lit(str(seed))))
     group = F.concat_ws("\x1f", *[F.coalesce(F.col(b).cast("string"), F.lit("\x00")) for b in by]) if by else F.lit("")
     keyed = df.withColumn("_h", h).withColumn("_g", group).withColumn("_b", F.substring("_h", 1, hex_digits))
     sizes = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))

@@ -116,7 +116,12 @@ def n10(spark, sf):
     return N.feature_ranking(spark, [*NUMERIC, "speaker_rate"], model.featureImportances.toArray().tolist())
 
 
-@query("J3_column_roles", "SELECT unnest(['id', 'statement', 'subject', 'speaker', 'speaker_job', 'state_info', 'party_affiliation']) AS \"column\", unnest(['numeric', 'text', 'text', 'text', 'text', 'text', 'text']) AS role FROM (SELECT count(*) FROM documents)")
+_ROLES = {"id": "numeric", **{c: "text" for c in ("statement", "subject", "speaker", "speaker_job", "state_info", "party_affiliation")}}
+
+
+@query("J3_column_roles", f"WITH {FULL_CLAIMS} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{r}' AS role, count({c}) AS filled, count(DISTINCT {c}) AS distinct_values FROM full_claims" for c, r in _ROLES.items()
+))
 def j3(spark, sf):
     return E.column_role_table(full_claims(spark, sf))
 

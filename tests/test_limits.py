@@ -56,3 +56,13 @@ def test_rows_of_one_key_keep_their_own_features(spark):
 def test_label_ranks(spark):
     df = spark.createDataFrame([(i,) for i in (5, 9, 5, None)], "y int")
     assert sorted(r["label"] for r in C.normalize_label(df, "y").collect()) == [0, 0, 1]
+
+
+def test_rows_without_a_key_are_spread(spark):
+    from claimforge.plans.ordered import hash_rank
+
+    df = spark.range(2000).select(F.lit(None).cast("long").alias("id"), F.col("id").alias("v"), (F.col("id") % 2).alias("g"))
+    ranked = hash_rank(df, ["g"], "id", 1)
+    assert sorted(r["_rank"] for r in ranked.where("g = 0").collect()) == list(range(1, 1001))
+    by_bucket = df.select(F.substring(F.md5(F.concat(F.lit("\x00"), F.xxhash64("v", "g").cast("string"), F.lit("1"))), 1, 4).alias("b")).groupBy("b").count()
+    assert by_bucket.agg(F.max("count")).first()[0] < 10
