@@ -6,7 +6,7 @@ length, and so on to the wanted one, or until no candidate survives:
 1. At the seed length one window in every stretch is enough: each wanted window keeps the smallest hash of
    the seed windows in it (its anchor), so equal windows keep equal anchors. About a sixth of the windows
    is counted. An anchor seen once cannot lie in a repeated window.
-2. Windows of twice the length that contain a survivor are counted, by two 64-bit hashes.
+2. Windows of twice the length that contain a survivor are counted, by 96 bits of hash.
 3. At the wanted length a window is marked unless it is its first occurrence; marked windows are cut out.
 
 Counts combine before the shuffle, and occurrences return to their counts by joins that adaptive execution
@@ -26,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordered import sorted_index
 from ..session import cut
 from .common import drop_written, list_column, mixed, row_keys, shuffles_dropped, slices, split_words, word_hashes, written
 
 WINDOW, SEED = 20, 10
+#: A window's place in the corpus is one number: its document's place in key order, then its first word.
+PLACE_BITS = 28
 BASE = np.uint64(0x9E3779B97F4A7C15)
 KEYS = ("first-hash-key-0", "second-hash-key1")
 
@@ -104,16 +107,17 @@ def find_anchors(keyed: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
 
 
 def extended(keyed: DataFrame, survivors: DataFrame, length: int) -> DataFrame:
-    """``_id, _row, p, h1, h2``: windows of ``length`` that contain a survivor of half the length.
+    """``at, h1, h2``: place and hashes of the windows of ``length`` that contain a survivor of half the length.
 
-    ``survivors`` has ``_id, _row, places``.
+    ``survivors`` has ``_id, _row, _index, places``.
     """
-    kind = keyed.schema["_id"].dataType.simpleString()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             words, starts = split_words(batch.column("_text"))
             place, left = _places(starts)
+            if len(place) and place.max() >> PLACE_BITS:
+                raise ValueError("a document has more words than a place can count")
             lists = batch.column("places")
             text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             alive = np.zeros(len(words), np.uint64)
@@ -122,19 +126,15 @@ def extended(keyed: DataFrame, survivors: DataFrame, length: int) -> DataFrame:
             inside = _sliding(alive, half + 1, np.maximum)
             at = np.flatnonzero((inside == 1) & (left >= length))
             row = np.searchsorted(starts, at, "right") - 1
-            hashes = [pa.array(mixed(window_hashes(word_hashes(words, k), length))[at].view(np.int64)) for k in KEYS]
-            owner = pa.array(row)
+            first, second = (mixed(window_hashes(word_hashes(words, k), length))[at] for k in KEYS)
+            order = batch.column("_index").to_numpy(zero_copy_only=False)[row]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(owner), batch.column("_row").take(owner), pa.array(place[at].astype(np.int32)), *hashes], ["_id", "_row", "p", "h1", "h2"]
+                [pa.array((order << PLACE_BITS) + place[at]), pa.array(first.view(np.int64)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["at", "h1", "h2"]
             )
 
     right = survivors.withColumnsRenamed({"_id": "_right_id", "_row": "_right_row"})
     joined = keyed.join(right, F.col("_id").eqNullSafe(F.col("_right_id")) & (F.col("_row") == F.col("_right_row")))
-    return joined.select("_id", "_row", "_text", "places").mapInArrow(extend, f"_id {kind}, _row bigint, p int, h1 bigint, h2 bigint")
-
-
-def _per_row(places: DataFrame) -> DataFrame:
-    return places.groupBy("_id", "_row").agg(F.collect_set("p").alias("places"))
+    return joined.select("_index", "_text", "places").mapInArrow(extend, "at bigint, h1 bigint, h2 int")
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -145,21 +145,25 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     if window < 2 * seed or window % seed or (window // seed) & (window // seed - 1):
         raise ValueError("the window must be the seed doubled")
     spark, keyed = docs.sparkSession, row_keys(docs, key, text)
+    order = sorted_index(keyed.select("_id", "_row").distinct(), [F.col("_id").asc_nulls_first(), F.col("_row")])
     with shuffles_dropped(spark):
         found, path = written(find_anchors(keyed, window, seed), "anchors")
         rows = found.select("_id", "_row", F.inline("anchors"))
         twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        survivors = cut(_per_row(rows.join(twice, "h")))
+        by_row = rows.join(twice, "h").groupBy("_id", "_row").agg(F.collect_set("p").alias("places"))
+        names = order.select(F.col("_id").alias("_order_id"), F.col("_row").alias("_order_row"), "_index")
+        same = F.col("_id").eqNullSafe(F.col("_order_id")) & (F.col("_row") == F.col("_order_row"))
+        survivors = cut(by_row.join(names, same).select("_id", "_row", "_index", "places"))
         drop_written(spark, path)
         length = 2 * seed
         while True:
             windows, path = written(extended(keyed, survivors, length), "windows")
-            first = windows.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_row", "p")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            first = windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
             again = windows.join(first, ["h1", "h2"])
             last = length == window
-            if last:
-                again = again.where(~F.struct("_id", "_row", "p").eqNullSafe(F.col("first")))
-            survivors = cut(_per_row(again))
+            again = again.where("at != first") if last else again
+            places = again.select(F.shiftright("at", PLACE_BITS).alias("_index"), F.col("at").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("p"))
+            survivors = cut(places.groupBy("_index").agg(F.collect_set("p").alias("places")).join(order, "_index").select("_id", "_row", "_index", "places"))
             drop_written(spark, path)
             if last or not survivors.limit(1).count():
                 return survivors
@@ -168,7 +172,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``key, n_words, n_removed, kept_text`` of every row: its words outside repeated windows, joined by blanks."""
-    places = repeated_windows(docs, key, text, window, seed).withColumnsRenamed({"_id": "_right_id", "_row": "_right_row"})
+    places = repeated_windows(docs, key, text, window, seed).drop("_index").withColumnsRenamed({"_id": "_right_id", "_row": "_right_row"})
     keyed = row_keys(docs, key, text)
     kind = keyed.schema["_id"].dataType.simpleString()
     joined = keyed.join(places, F.col("_id").eqNullSafe(F.col("_right_id")) & (F.col("_row") == F.col("_right_row")), "left")
