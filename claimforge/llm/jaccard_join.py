@@ -8,9 +8,9 @@ the smaller of its two L within the prefixes of that L, so no pair is lost, what
 
 The order and the costs come from a sketch of shingle counts over all documents: rare first, then by hash.
 Equal sets are one class from the start, so copies cost one row. Posting lists are first joined to their
-smallest member and verified; that links a group of near copies with as many pairs as it has members.
-Only shingles that still meet different components give all pairs across components, so links inside a
-component are the only ones not looked at, and components are exact.
+smallest member and the pairs that meet often enough verified; that links a group of near copies with as
+many pairs as it has members. Then shingles that still meet different components give all pairs across
+components, so links inside a component are the only ones not looked at, and components are exact.
 
 Defined cases: null and empty texts have no shingle and are linked with nothing; texts of fewer words than
 a shingle are one shingle, the whole; rows equal in key and text are one document recorded twice; the
@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordered import sorted_index
 from ..session import cut
 from .common import drop_written, list_column, mixed, row_keys, shuffles_dropped, slices, split_words, word_hashes, written
 from .components import connected_components
@@ -39,6 +40,8 @@ SKETCH_CELLS, SKETCH_ROWS = 1 << 20, 64
 MAX_MATCHES = 6
 #: Cost of verifying one candidate, in posting-list entries read.
 VERIFY_COST = 20.0
+#: Other documents expected to hold a shingle of which the sketch says nothing.
+CHANCE = 0.05
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -85,7 +88,7 @@ def summarise(keyed: DataFrame, n: int) -> DataFrame:
                  pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names,
             )
         if id_type is not None:
-            parts = [p.astype("<i8").tobytes() for p in np.split(sketch, SKETCH_ROWS)]
+            parts = [p.astype("<i4").tobytes() for p in np.split(sketch, SKETCH_ROWS)]
             none = [pa.nulls(SKETCH_ROWS, t) for t in (id_type, *[pa.int64()] * 4)]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(parts, pa.binary())], names)
 
@@ -99,7 +102,7 @@ def _sketch(parts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch["part"], batch["counts"], strict=True):
-                found = np.frombuffer(counts, "<i8")
+                found = np.frombuffer(counts, "<i4").astype("<i8")
                 total[part] = total[part] + found if part in total else found
         yield pd.DataFrame({"part": list(total), "counts": [t.tobytes() for t in total.values()]})
 
@@ -141,7 +144,7 @@ def prefixes(keyed: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
                 base, most = len(s) - need, min(MAX_MATCHES, need)
                 if most:
                     reach = order[: base + most]
-                    level = choose_matches(np.maximum(seen[reach] - usual, 0.0), base, most)
+                    level = choose_matches(np.maximum(seen[reach] - usual, CHANCE), base, most)
                 else:
                     level = 0
                 sizes.append(len(s))
@@ -157,17 +160,16 @@ def prefixes(keyed: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
 
 
 def whole_sets(keyed: DataFrame, n: int) -> DataFrame:
-    """``doc, shingles`` of each row."""
-    kind = keyed.schema["_id"].dataType.simpleString()
+    """``doc, shingles`` of rows that have ``_index``."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             sets = shingle_sets(batch.column("_text"), n)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             lists = list_column(_signed(np.concatenate([*sets, np.zeros(0, np.uint64)])), ends)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), lists], ["_id", "_row", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("_index"), lists], ["doc", "shingles"])
 
-    return keyed.mapInArrow(find, f"_id {kind}, _row bigint, shingles array<bigint>").select(F.struct("_id", "_row").alias("doc"), "shingles")
+    return keyed.select("_index", "_text").mapInArrow(find, "doc bigint, shingles array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,6 +185,13 @@ def _similar_size(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
+def _numbered(rows: DataFrame, order: DataFrame) -> DataFrame:
+    """The rows whose key is in ``order``, with its ``_index``."""
+    right = order.select(F.col("_id").alias("_order_id"), F.col("_row").alias("_order_row"), "_index")
+    joined = rows.join(right, F.col("_id").eqNullSafe(F.col("_order_id")) & (F.col("_row") == F.col("_order_row")))
+    return joined.drop("_order_id", "_order_row")
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``_id, _row, n_shingles, component`` of every row; ``component`` is the smallest ``(_id, _row)`` reachable by links."""
     spark, keyed = docs.sparkSession, row_keys(docs, key, text)
@@ -191,28 +200,38 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         found, _ = written(summarise(keyed, n), "sets")
         rows = found.where("part is null").select("_id", "_row", "n", "s1", "s2")
         sketch = _sketch(found.where("part is not null").select("part", "counts"))
-        # Rows of equal sets are one class, named by its smallest row.
-        classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(doc).alias("chosen"))
-        chosen = cut(classes.select("chosen._id", "chosen._row"))
-        cuts, cuts_path = written(_only(prefixes(keyed, sketch, n, percent), chosen), "prefixes")
-        level = lambda i: F.greatest(F.lit(1), i - (F.col("n") - F.ceil(F.col("n") * percent / 100)) + 1)
-        listed = cuts.select(doc.alias("doc"), "n", "matches", F.posexplode("prefix").alias("at", "shingle"))
+        # Rows of equal sets are one class, named by its smallest row and known by its place in key order.
+        classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(doc).alias("chosen")).select("n", "s1", "s2", "chosen._id", "chosen._row")
+        order = cut(sorted_index(classes, [F.col("_id").asc_nulls_first(), F.col("_row")]))
+        cuts, cuts_path = written(_numbered(prefixes(keyed, sketch, n, percent), order).select("_index", "n", "matches", "prefix"), "prefixes")
+        level = F.greatest(F.lit(1), F.col("at") - (F.col("n") - F.ceil(F.col("n") * percent / 100)) + 1).cast("int")
+        listed = cuts.select(F.col("_index").alias("doc"), "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "doc", level.alias("level"))
         twice = cuts.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("shingle")
-        lists, lists_path = written(
-            listed.join(twice, "shingle").select("shingle", "doc", "n", "matches", level(F.col("at")).cast("int").alias("level")), "lists"
-        )
+        common, common_path = written(listed.join(twice, "shingle"), "common")
+        sizes = cut(cuts.select(F.col("_index").alias("doc"), "n", "matches"))
         drop_written(spark, cuts_path)
-        involved = cut(lists.select("doc").distinct().select("doc._id", "doc._row"))
-        sets, sets_path = written(whole_sets(_only(keyed, involved), n).dropDuplicates(["doc"]), "shingles")
-        # Every list member against the list's smallest.
-        hubs = lists.groupBy("shingle").agg(F.min(F.struct("doc", "n")).alias("hub"))
+        lists, lists_path = written(common.join(sizes.distinct(), "doc"), "lists")
+        drop_written(spark, common_path)
+
+        def check(pairs: DataFrame) -> DataFrame:
+            """The similar ones among ``pairs``; only the documents in them are read again."""
+            pairs = cut(pairs.select("a", "b"))
+            both = pairs.select(F.explode(F.array("a", "b")).alias("_index")).distinct().join(order, "_index")
+            sets, path = written(whole_sets(_numbered(keyed, both), n), "shingles")
+            similar = cut(verified(pairs, sets, percent))
+            drop_written(spark, path)
+            return similar
+
+        # Every list member against the list's smallest, if they meet often enough; the rest is left to the second round.
+        hubs = lists.groupBy("shingle").agg(F.min(F.struct("doc", "n", "matches")).alias("hub"))
         stars = lists.join(hubs, "shingle").where((F.col("doc") != F.col("hub.doc")) & _similar_size(F.col("n"), F.col("hub.n"), percent))
-        links = cut(verified(stars.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct(), sets, percent))
+        met = stars.groupBy(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "hub.matches")).alias("need"))
+        links = check(met.where("met >= need"))
         labels = connected_components(links)
         # What still meets different components: all pairs across them that share enough.
         placed = lists.join(labels, lists["doc"] == labels["node"], "left").select("shingle", "doc", "n", "matches", "level", F.coalesce("component", "doc").alias("group"))
         mixed_lists = placed.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
-        open_lists = cut(placed.join(mixed_lists, "shingle"))
+        open_lists, open_path = written(placed.join(mixed_lists, "shingle"), "open")
         one = open_lists.select("shingle", *[F.col(c).alias(f"{c}1") for c in ("doc", "n", "matches", "level", "group")])
         two = open_lists.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "matches", "level", "group")])
         least = F.least("matches1", "matches2")
@@ -220,21 +239,16 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             (F.col("group1") < F.col("group2")) & _similar_size(F.col("n1"), F.col("n2"), percent) & (F.greatest("level1", "level2") <= least)
         )
         shared = across.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(least).alias("need"))
-        more = cut(verified(shared.where("shared >= need"), sets, percent))
+        more = check(shared.where("shared >= need"))
         if more.limit(1).count():
             labels = connected_components(links.unionByName(more))
-        drop_written(spark, lists_path)
-        drop_written(spark, sets_path)
-        named = classes.join(labels, classes["chosen"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("component", "chosen").alias("component"))
-        named = cut(named)
-    own = rows.join(named.withColumnsRenamed({"n": "n_", "s1": "s1_", "s2": "s2_"}), (F.col("n") == F.col("n_")) & (F.col("s1") == F.col("s1_")) & (F.col("s2") == F.col("s2_")), "left")
-    return own.select("_id", "_row", F.col("n").alias("n_shingles"), F.coalesce("component", doc).alias("component"))
-
-
-def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose key is among ``keys``."""
-    right = keys.withColumnsRenamed({"_id": "_right_id", "_row": "_right_row"})
-    return rows.join(right, F.col("_id").eqNullSafe(F.col("_right_id")) & (F.col("_row") == F.col("_right_row")), "left_semi")
+        for path in (open_path, lists_path):
+            drop_written(spark, path)
+        names = order.select(F.col("_index").alias("component"), F.struct("_id", "_row").alias("name"))
+        labelled = order.join(labels, order["_index"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("component", "_index").alias("component"))
+        named = cut(labelled.join(names, "component").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "name"))
+    same = (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))
+    return rows.join(named, same, "left").select("_id", "_row", F.col("n").alias("n_shingles"), F.coalesce("name", doc).alias("component"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
