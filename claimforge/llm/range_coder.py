@@ -29,7 +29,8 @@ LOW_MASK = np.uint64((1 << 32) - 1)
 U32 = np.uint64(32)
 SHIFT = np.uint64(TOTAL_BITS)
 CONTEXTS = 1 << 18
-LEVELS = 16
+LEVEL_BITS = 4
+LEVELS = 1 << LEVEL_BITS
 
 
 class Model:
@@ -39,7 +40,8 @@ class Model:
         self.alphabet = alphabet
         self.counts = np.ones(alphabet, np.uint64)
         self.cumulative = np.arange(alphabet + 1, dtype=np.uint64)
-        self.tables = [(np.full(alphabet + 1, -1, np.int64), np.zeros(alphabet + 1, np.int64)), (np.full(CONTEXTS, -1, np.int64), np.zeros(CONTEXTS, np.int64))]
+        # Predicted id and, in the low bits, confidence; 0 is no prediction, which no id equals.
+        self.tables = [np.full(n, alphabet << LEVEL_BITS, np.int64) for n in (alphabet + 1, CONTEXTS)]
         self.hits = np.full((2, LEVELS), 0.25)
         self.tries = np.full((2, LEVELS), 2.0)
         self.last = np.full(lanes, alphabet, np.int64)
@@ -51,13 +53,12 @@ class Model:
         last = self.last[:lanes]
         self.keys = (last, (last * 2654435761 + self.before[:lanes] * 40503) & (CONTEXTS - 1))
         shares = (self.hits / self.tries * (TOTAL * np.array([[0.45], [0.9]]))).astype(np.int64)
-        ids, levels = self.tables[0]
-        self.one, level1 = ids[last], levels[last]
-        ids, levels = self.tables[1]
-        self.two, level2 = ids[self.keys[1]], levels[self.keys[1]]
-        self.found = ((self.one, level1), (self.two, level2))
-        self.end2 = shares[1][level2] * (self.two >= 0)
-        share1 = shares[0][level1] * ((self.one >= 0) & (self.one != self.two))
+        shares[:, 0] = 0
+        self.found = tuple(table[key] for table, key in zip(self.tables, self.keys, strict=True))
+        self.levels = tuple(f & (LEVELS - 1) for f in self.found)
+        self.one, self.two = (f >> LEVEL_BITS for f in self.found)
+        self.end2 = shares[1][self.levels[1]]
+        share1 = shares[0][self.levels[0]] * (self.one != self.two)
         self.end1 = self.end2 + share1 - ((share1 * self.end2) >> TOTAL_BITS)
         self.rest = (TOTAL - self.end1).astype(np.uint64)
         self.sum = self.cumulative[-1]
@@ -87,16 +88,13 @@ class Model:
 
     def learn(self, ids: np.ndarray) -> None:
         for order in (0, 1):
-            guess, level = self.found[order]
-            hit = guess == ids
-            tried = level[guess >= 0]
-            self.tries[order] += np.bincount(tried, minlength=LEVELS)
+            found, level = self.found[order], self.levels[order]
+            hit = (self.one, self.two)[order] == ids
+            self.tries[order] += np.bincount(level, minlength=LEVELS)
             self.hits[order] += np.bincount(level[hit], minlength=LEVELS)
-            table, levels = self.tables[order]
-            key = self.keys[order]
-            table[key] = np.where(hit | (level > 0), guess, ids)
-            levels[key] = np.where(hit, np.minimum(level + 1, LEVELS - 1), level >> 1)
-        self.counts += np.bincount(ids, minlength=self.alphabet).astype(np.uint64)
+            missed = np.where(level > 1, found - level + (level >> 1), (ids << LEVEL_BITS) + 1)
+            self.tables[order][self.keys[order]] = np.where(hit, found + (level < LEVELS - 1), missed)
+        np.add.at(self.counts, ids, np.uint64(1))
         np.cumsum(self.counts, out=self.cumulative[1:])
         self.before[: self.n] = self.last[: self.n]
         self.last[: self.n] = ids
