@@ -27,6 +27,8 @@ from .range_coder import BLOCK_IDS, decode_block, encode_block
 from .tokens import word_encoder
 
 END_ID = 1
+#: Texts encoded at a time; more of them share more words.
+ENCODE_BYTES = 16_000_000
 CRC_POLYNOMIAL = 0xEDB88320
 
 
@@ -56,7 +58,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, alphabet: int, key: str
         names = ["part", "block", "first", "n_ids", "keys", "sizes", "piece", "payload"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), None, pa.list_(pa.int64()), pa.int64(), pa.binary()]
         keys, sizes, runs, held = [], [], [], 0
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", ENCODE_BYTES):
             types[4] = pa.list_(batch.schema.field("_key").type)
             ids, starts = encoder.encode(batch.column("_text"))
             ids = np.insert(ids, starts[1:], np.uint32(end_id))
