@@ -5,9 +5,9 @@ entity to protect. Over the corpus, the share of an entity's information that a
 
     PMI(term, entity) / IC(entity) = log(N n_te / (n_t n_e)) / log(N / n_e),
 
-with counts of distinct texts, so that copies of one text are one observation. A term that occurs with an
-entity in ``MIN_SUPPORT`` texts or more and reveals ``GENERALISE`` of it is generalised in the texts that
-name the entity; one that reveals ``REMOVE`` is removed.
+with counts of documents. A term that occurs with an entity in ``MIN_SUPPORT`` different texts or more (copies
+of one text are one observation) and reveals ``GENERALISE`` of it is generalised in the texts that name the
+entity; one that reveals ``REMOVE`` is removed.
 
 Only texts with an entity hand over their words, and only terms with enough support are counted over the
 corpus; that list is measured before it is broadcast and joined by a shuffle beyond the bound.
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import row_keys, slices
+from .common import row_keys, slices, written
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
@@ -125,22 +125,28 @@ def find_base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", min_support: int = MIN_SUPPORT) -> DataFrame:
     """``entity, term, share``: terms that reveal at least ``GENERALISE`` of an entity's information."""
-    named = found.where(F.size("entities") > 0).select("_copy", "entities", F.array_distinct(F.transform("words", lambda w: w["term"])).alias("terms"))
-    named = named.dropDuplicates(["_copy"])
-    entities = named.select("_copy", F.explode("entities").alias("entity"), "terms")
-    known = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= min_support)
+    named = found.where(F.size("entities") > 0)
+    support, copies = F.count(F.lit(1)).alias("support"), F.sum("copies")
+    # Entities alone come first: few are named in enough texts, and only their texts hand over words.
+    lists = named.groupBy("_copy").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"))
+    entities = lists.select("copies", F.explode("entities").alias("entity"))
+    known = cut(entities.groupBy("entity").agg(support, copies.alias("n_e")).where(F.col("support") >= min_support).drop("support"))
+    few = known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
+    asked = named.select("_copy", "words", F.explode("entities").alias("entity")).join(F.broadcast(known) if few else known, "entity")
+    texts = asked.select("entity", "n_e", "_copy", terms.alias("terms")).groupBy("entity", "n_e", "_copy").agg(F.count(F.lit(1)).alias("copies"), F.first("terms").alias("terms"))
     pairs = (
-        entities.join(known, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
-        .groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= min_support)
+        texts.select("entity", "n_e", "copies", F.explode("terms").alias("term"))
+        .groupBy("entity", "n_e", "term").agg(support, copies.alias("n_te")).where(F.col("support") >= min_support)
     )
     pairs = cut(pairs)
     terms = pairs.select("term").distinct()
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     # The same words as in the tasks: runs of letters and digits.
     lower = F.lower(F.col(text).cast("string"))
-    seen = docs.select(F.xxhash64(text).alias("_copy"), F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit("[\\p{L}\\p{N}]+"), 0))).alias("term"))
-    counted = seen.join(F.broadcast(terms) if small else terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = docs.select(F.xxhash64(text).alias("_copy")).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit("[\\p{L}\\p{N}]+"), 0))).alias("term"))
+    counted = seen.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     pmi = F.log(n * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
     scored = pairs.join(counted, "term").withColumn("share", pmi / F.log(n / F.col("n_e")))
     return scored.where(F.col("share") >= GENERALISE).select("entity", "term", "share")
@@ -148,7 +154,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", min_
 
 def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id, _row, spans`` of every row; kinds are ``KINDS`` and, for disclosing terms, ``term`` or ``removed_term``."""
-    found = cut(find_base(docs, key, text))
+    found = written(find_base(docs, key, text), "spans")[0]
     if not found.where(F.size("entities") > 0).limit(1).count():
         return found.select("_id", "_row", "spans")
     terms = disclosing_terms(found, docs, text)
