@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
-from .common import SPACE
+from .common import SPACE, written
 
 #: The commonest words of each language.
 COMMON_WORDS = {
@@ -98,7 +98,18 @@ def _histograms(df: DataFrame, text: str, lang: str) -> DataFrame:
     found = F.filter("_w", lambda w: w.isin(every))
     common = bind(found, lambda f: F.transform(F.try_element_at(lists, F.col("_list")), lambda t: (F.size(f) - F.size(F.array_remove(f, t))).cast("bigint")))
     classes = [_count_of(F.col("_t"), c).cast("bigint") for c in (UPPER, DIGITS, BLANKS, POINTS, SYMBOLS)]
-    return out.withColumn("_classes", F.array(*classes)).withColumn("_common", common)
+    return out.withColumns({"_classes": F.array(*classes), "_common": common, "_chars": F.length("_t"), "n_words": F.size("_w").cast("bigint")})
+
+
+def _measured(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """The histograms and the base counts of every row."""
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    return _histograms(df, text, lang).withColumns({
+        "word_chars": F.col("_chars").cast("bigint") - F.col("_classes")[2],
+        "n_symbols": F.col("_classes")[4],
+        "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
+        "n_repeat_words": repeated_words(F.col("_w")),
+    }).drop("_t", "_w")
 
 
 def _shares(counts: Column, total: Column) -> Column:
@@ -112,8 +123,12 @@ def fit_references(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
 
     Medians over texts past the guards: a reference stays that of ordinary text while most texts are ordinary.
     """
-    h = _histograms(df, text, lang).where((F.length("_t") >= CLASS_GUARD) & (F.size("_w") >= REFERENCE_WORDS))
-    h = h.select("_list", _shares(F.col("_classes"), F.length("_t")).alias("_c"), _shares(F.col("_common"), F.size("_w")).alias("_s"))
+    return _references(_histograms(df, text, lang))
+
+
+def _references(h: DataFrame) -> DataFrame:
+    h = h.where((F.col("_chars") >= CLASS_GUARD) & (F.col("n_words") >= REFERENCE_WORDS))
+    h = h.select("_list", _shares(F.col("_classes"), F.col("_chars")).alias("_c"), _shares(F.col("_common"), F.col("n_words")).alias("_s"))
 
     def medians(name: str, n: int) -> list[Column]:
         return [F.percentile_approx(F.col(name)[i], 0.5, 1000).alias(f"{name}{i}") for i in range(n)]
@@ -139,28 +154,24 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def judge_quality(df: DataFrame, references: DataFrame | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+def judge_quality(df: DataFrame, references: DataFrame | None = None, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
     """Add base counts, ``base_failed``, ``class_distance``, ``word_distance`` and ``kept`` to every row.
 
-    ``references`` come from :func:`fit_references`, by default over ``df`` itself.
+    ``references`` come from :func:`fit_references`, by default over ``df`` itself. Without ``keep_text`` the
+    measures are written once, so that fitting and judging read the texts a single time.
     """
+    h = _measured(df, text, lang)
+    if not keep_text:
+        h = written(h.drop(text), "quality")[0]
+        references = _references(h) if references is None else references
     references = fit_references(df, text, lang) if references is None else references
-    h = _histograms(df, text, lang)
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    h = h.withColumns({
-        "n_words": F.size("_w").cast("bigint"),
-        "word_chars": F.length("_t").cast("bigint") - F.col("_classes")[2],
-        "n_symbols": F.col("_classes")[4],
-        "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-        "n_repeat_words": repeated_words(F.col("_w")),
-    })
     # One row for each language list: a handful.
     h = h.join(F.broadcast(references), "_list", "left")
     h = h.withColumns({
-        "class_distance": F.when(F.length("_t") >= CLASS_GUARD, js_distance(_shares(F.col("_classes"), F.length("_t")), F.col("_class_ref"))),
+        "class_distance": F.when(F.col("_chars") >= CLASS_GUARD, js_distance(_shares(F.col("_classes"), F.col("_chars")), F.col("_class_ref"))),
         "word_distance": F.when(F.col("n_words") >= WORD_GUARD, js_distance(_shares(F.col("_common"), F.col("n_words")), F.col("_word_ref"))),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     })
     by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
     far = (by_class > CLASS_LIMIT) | ((by_word > WORD_LIMIT) & (F.col("n_words") >= LONG_WORDS)) | ((by_class > BOTH_LIMITS[0]) & (by_word > BOTH_LIMITS[1]))
-    return h.withColumn("kept", ~F.col("base_failed") & ~far).drop("_list", "_t", "_w", "_classes", "_common", "_class_ref", "_word_ref")
+    return h.withColumn("kept", ~F.col("base_failed") & ~far).drop("_list", "_chars", "_classes", "_common", "_class_ref", "_word_ref")

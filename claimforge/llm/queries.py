@@ -86,7 +86,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_quality(table(spark, sf_dir, "documents"))
+    judged = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
