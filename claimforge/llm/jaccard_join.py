@@ -38,6 +38,7 @@ from .repeats import window_hashes
 WORDS, PERCENT = 5, 75
 SKETCH_CELLS, SKETCH_ROWS = 1 << 20, 64
 MAX_MATCHES = 6
+HUB_ROUNDS = 6
 #: Cost of verifying one candidate, in posting-list entries read.
 VERIFY_COST = 20.0
 #: Other documents expected to hold a shingle of which the sketch says nothing.
@@ -222,12 +223,21 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             drop_written(spark, path)
             return similar
 
-        # Every list member against the list's smallest, if they meet often enough; the rest is left to the second round.
-        hubs = lists.groupBy("shingle").agg(F.min(F.struct("doc", "n", "matches")).alias("hub"))
-        stars = lists.join(hubs, "shingle").where((F.col("doc") != F.col("hub.doc")) & _similar_size(F.col("n"), F.col("hub.n"), percent))
-        met = stars.groupBy(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "hub.matches")).alias("need"))
-        links = check(met.where("met >= need"))
-        labels = connected_components(links)
+        # Every list member against one member as hub, if they meet often enough; other hubs each round, until none links more.
+        links, labels = None, None
+        for turn in range(HUB_ROUNDS):
+            grouped = lists.withColumn("group", F.col("doc"))
+            if labels is not None:
+                grouped = lists.join(labels, lists["doc"] == labels["node"], "left").select(*lists.columns, F.coalesce("component", "doc").alias("group"))
+            hubs = grouped.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "matches", "group")).alias("hub"))
+            stars = grouped.join(hubs, "shingle").where((F.col("group") != F.col("hub.group")) & _similar_size(F.col("n"), F.col("hub.n"), percent))
+            ends = F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")
+            met = stars.groupBy(*ends).agg(F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "hub.matches")).alias("need"))
+            new = check(met.where("met >= need"))
+            links = new if links is None else links.unionByName(new)
+            if labels is not None and not new.limit(1).count():
+                break
+            labels = connected_components(links)
         # What still meets different components: all pairs across them that share enough.
         placed = lists.join(labels, lists["doc"] == labels["node"], "left").select("shingle", "doc", "n", "matches", "level", F.coalesce("component", "doc").alias("group"))
         mixed_lists = placed.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
