@@ -435,6 +435,55 @@ def test_leaks_are_found_and_clean_texts_left(spark, odd, empty):
     assert decontaminate.find_leaks(odd, benchmark.limit(0)).collect() == []
 
 
+def planted_leaks(seed, lengths, n_items, n_docs, reworded=0.5):
+    """Items, documents that hold one each word for word or in nearly the same words, and those pairs."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(6000)]
+    word = lambda: r.choice(vocabulary[:30]) if r.random() < 0.4 else r.choice(vocabulary)
+    items = [(k, " ".join(word() for _ in range(r.choice(lengths)))) for k in range(n_items)]
+    docs, want = [], set()
+    for i in range(n_docs):
+        k = r.randrange(n_items)
+        passage = items[k][1].split()
+        if r.random() < reworded:
+            passage = [w if r.random() < 0.85 else word() for w in passage]
+        text = [word() for _ in range(r.randint(20, 200))]
+        at = r.randrange(len(text))
+        docs.append((i, " ".join(text[:at] + passage + text[at:])))
+        want.add((i, k))
+    return items, docs, want
+
+
+def leaks_of(spark, items, docs):
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string"))
+    return {(x["doc_id"], x["item_id"]) for x in found.collect()}
+
+
+def brute_leaks(items, docs):
+    """All pairs of at least the least plain TF-IDF cosine over some passage and the least LCS over the whole text."""
+    terms = sorted({w for _, t in items for w in t.split()})
+    number = {w: k for k, w in enumerate(terms)}
+    texts = [np.array([number.get(w, -1) for w in t.split()]) for _, t in docs]
+    counts = np.bincount(np.concatenate([x[x >= 0] for x in texts]), minlength=len(terms))
+    total = sum(-(-len(x) // decontaminate.STRIDE) for x in texts)
+    idf = np.where(counts > decontaminate.COMMON_SHARE * total, 0.0, np.log((total + 1) / (counts + 1)))
+    vector = lambda w: np.bincount(w[w >= 0], minlength=len(terms)) * idf
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    words = [np.array([number[w] for w in t.split()]) for _, t in items]
+    listed, out = unit(np.stack([vector(w) for w in words])), set()
+    for (i, _), x in zip(docs, texts, strict=True):
+        close = (unit(np.stack([vector(x[a : a + 48]) for a in range(0, len(x), decontaminate.STRIDE)])) @ listed.T).max(axis=0) >= decontaminate.MIN_COSINE
+        out |= {(i, items[k][0]) for k in np.flatnonzero(close) if decontaminate.common_subsequence(words[k], x) >= decontaminate.LCS_COPY * len(words[k])}
+    return out
+
+
+def test_thousand_items_keep_recall(spark):
+    items, docs, want = planted_leaks(8, [20, 38], 1000, 600)
+    got, brute = leaks_of(spark, items, docs), brute_leaks(items, docs)
+    assert len(got & want) >= 0.9 * len(want) and len(got & brute) >= 0.9 * len(brute)
+    assert len(brute & want) >= 0.9 * len(want)
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
