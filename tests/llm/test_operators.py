@@ -484,6 +484,13 @@ def test_thousand_items_keep_recall(spark):
     assert len(brute & want) >= 0.9 * len(want)
 
 
+def test_long_items_are_found(spark):
+    items, docs, want = planted_leaks(9, [30, 400, 600, 900], 60, 120)
+    got = leaks_of(spark, items, docs)
+    long_ones = {(i, k) for i, k in want if len(items[k][1].split()) >= 400}
+    assert len(got & want) >= 0.9 * len(want) and len(got & long_ones) >= 0.9 * len(long_ones) and got <= want
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
