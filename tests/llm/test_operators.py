@@ -491,6 +491,28 @@ def test_long_items_are_found(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got & long_ones) >= 0.9 * len(long_ones) and got <= want
 
 
+def test_widespread_leak_is_found(spark):
+    r = random.Random(10)
+    vocabulary = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(3000)]
+    word = lambda: r.choice(vocabulary[:30]) if r.random() < 0.4 else r.choice(vocabulary)
+    items = [(k, " ".join(word() for _ in range(r.choice([20, 38])))) for k in range(30)]
+    items.append((30, " ".join(r.choice(vocabulary[:30]) for _ in range(30))))  # of frequent words only
+    docs, want = [], set()
+    for i in range(600):
+        text = [word() for _ in range(r.randint(20, 120))]
+        k = 0 if i % 3 == 0 else 30 if i % 50 == 1 else None  # one item in a third of the rows
+        if k is not None:
+            at = r.randrange(len(text))
+            text[at:at] = items[k][1].split()
+            want.add((i, k))
+        docs.append((i, " ".join(text)))
+    got = leaks_of(spark, items, docs)
+    for k in {k for _, k in want}:
+        assert len({x for x in got & want if x[1] == k}) >= 0.9 * len({x for x in want if x[1] == k}), k
+    everywhere = [(i, items[3][1]) for i in range(50)]
+    assert leaks_of(spark, items, everywhere) >= {(i, 3) for i in range(50)}
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
