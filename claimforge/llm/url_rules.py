@@ -5,6 +5,8 @@ letter or digit) or the end, and ``||`` in front for "the host or any subdomain"
 the runs of letters and digits that must appear whole in a fitting URL. Tokens are counted over all URLs;
 a rule is filed under its rarest one. A URL's own tokens fetch the rules filed under them, and only those
 run as regular expressions. Rules without a whole literal token are filed under none and meet every URL.
+A rule with a name stands for a site and its path is read in its own case; a nameless rule stands for words
+and is matched in lower case, host and path alike.
 
 Everything is DataFrame expressions. URLs are judged once per distinct text, so repeated URLs do not
 repeat the work and a hot one is reduced before the shuffle.
@@ -60,6 +62,7 @@ def _compiled(rules: DataFrame) -> DataFrame:
     """Add ``regex`` and ``tokens``, the literal tokens that are bounded on both sides inside the pattern."""
     anchored = F.col("pattern").startswith("||")
     body = F.when(anchored, F.substring("pattern", 3, 1_000_000)).otherwise(F.col("pattern"))
+    body = F.when(F.col("rule").isNull(), F.lower(body)).otherwise(body)
     quoted = F.regexp_replace(body, "([\\\\\\[\\](){}.+?$|])", "\\\\$1")
     pieces = F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit("(?:[^\\p{L}\\p{N}]|\\z|\\A)"))
     regex = F.concat(F.when(anchored, F.lit("(?s)\\A(?:[^/]*\\.)?")).otherwise(F.lit("(?s)")), pieces)
@@ -85,15 +88,20 @@ def judge_urls(df: DataFrame, rules: DataFrame, key: str = "page_id", url: str =
     pages = df.select(key, F.col(url).alias("_url"))
     known = pages.where(F.instr("_url", "://") > 0).select("_url").distinct()
     sites = known.select("_url", F.concat(host_of(F.col("_url")), path_of(F.col("_url"))).alias("_site"))
-    tokens = F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("_site")), F.lit(TOKEN), 0))
+    # Lower-casing would make the dotted capital I two characters; one is what the words are written with.
+    sites = sites.withColumn("_lower", F.lower(F.translate("_site", "\u0130", "i")))
+    plain = F.regexp_extract_all(ascii_lower(F.col("_site")), F.lit(TOKEN), 0)
+    # Letters beyond A-Z may be lower-cased into other tokens, which nameless rules are fetched by.
+    folded = F.concat(plain, F.regexp_extract_all("_lower", F.lit(TOKEN), 0))
+    tokens = F.array_distinct(F.when(F.col("_lower") == ascii_lower(F.col("_site")), plain).otherwise(folded))
     small = rules.limit(broadcast_rules + 1).count() <= broadcast_rules
     wanted = _compiled(rules).select(F.explode("tokens").alias("_token")).distinct()
     seen = sites.select(F.explode(tokens).alias("_token"))
     counts = seen.join(F.broadcast(wanted) if small else wanted, "_token", "left_semi").groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
     index = index_rules(rules, counts).withColumn("_token", F.coalesce("_token", F.lit("")))
     # The empty token stands for the rules without one.
-    asked = sites.select("_url", "_site", F.explode(F.concat(tokens, F.array(F.lit("")))).alias("_token"))
-    fits = asked.join(F.broadcast(index) if small else index, "_token").where(F.expr("_site rlike regex"))
+    asked = sites.select("_url", "_site", "_lower", F.explode(F.concat(tokens, F.array(F.lit("")))).alias("_token"))
+    fits = asked.join(F.broadcast(index) if small else index, "_token").where(F.expr("if(rule IS NULL, _lower, _site) rlike regex"))
     best = fits.groupBy("_url").agg(F.max_by(F.struct("rule", "verdict"), F.struct("rank", F.length("pattern"), "pattern")).alias("_best"))
     out = pages.join(best, "_url", "left")
     return out.select(

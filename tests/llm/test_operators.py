@@ -192,6 +192,17 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(df.limit(0), url_rules.rule_table(spark, rules)).collect() == []
 
 
+def test_url_words_in_any_case(spark):
+    rules = [url_rules.site_rule("net", "/Es/", "allow"), *url_rules.word_rules(), (None, "^Lotto^", "block", 0)]
+    urls = ["http://x.org/CASINO/", "http://x.org/a/Poker", "http://x.org/MyPoker/", "http://x.net/Es/CASINO", "http://x.net/es/", "http://x.net/es/Spam", "http://x.org/po\u212aer/", "http://x.org/LOTTO?q", "http://x.org/CAS\u0130NO"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for limit in (url_rules.BROADCAST_RULES, 1):
+        rows = url_rules.judge_urls(df, url_rules.rule_table(spark, rules), broadcast_rules=limit).collect()
+        got = {r["page_id"]: (r["path"], r["rule"], r["verdict"]) for r in rows}
+        assert [got[i][2] for i in range(9)] == ["block", "block", "allow", "allow", "allow", "block", "block", "block", "block"]
+        assert got[0] == ("/CASINO/", None, "block") and got[3] == ("/Es/CASINO", "net/Es/", "allow") and got[4][1] is None
+
+
 # --- similarity join -------------------------------------------------------
 
 
