@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_chunks import encode_and_decode
 from .decontaminate import find_leaks
 from .id_files import round_trip
 from .jaccard_join import similar_documents
@@ -125,3 +126,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar_documents(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("component._id").alias("component_id"))
+
+
+@query("op13_bpe_chunks")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
