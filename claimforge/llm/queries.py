@@ -19,6 +19,7 @@ from .sanitise import KINDS, all_spans, span_string
 from .token_counts import token_counts
 from .toxicity import fit as fit_toxicity
 from .url_rules import UNWANTED_WORDS, judge_urls, rule_table, site_rule, word_rules
+from .whitening import whiten
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -128,6 +129,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("component._id").alias("component_id"))
 
 
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whiten(table(spark, sf_dir, "embeddings"))
+    n, error = (model.n, model.identity_error) if model else (0, 0.0)
+    shares = F.array(*[F.lit(float(v)) for v in model.explained]) if model and len(model.explained) else F.array().cast("array<double>")
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    found = [(F.col("at") + 1).alias("component"), F.lit(n).cast("bigint").alias("n"), "deviation", "whitened"]
+    return each.select("vec_id", *found, F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 @query("op13_bpe_chunks")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
