@@ -18,6 +18,7 @@ from .repeats import without_repeats
 from .sanitise import KINDS, all_spans, span_string
 from .token_counts import token_counts
 from .toxicity import fit as fit_toxicity
+from .turn_trie import conversation_trie
 from .url_rules import UNWANTED_WORDS, judge_urls, rule_table, site_rule, word_rules
 from .whitening import whiten
 
@@ -139,6 +140,35 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", *found, F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
 
 
+# CRC-32 bit by bit over the decimal digits, lowest bit of each first.
+_CRC = """xor(list_reduce(flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: list_transform(range(0, 8), lambda b: ((ascii(c::VARCHAR[i]) >> b) & 1)::BIGINT))),
+  lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1)), 4294967295::BIGINT), 4294967295)"""
+
+
+@query("op12_conversation_trie", f"""
+WITH turns AS (
+  SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'said': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT *, ({_CRC} % 6)::INTEGER AS h FROM turns),
+rebuilt AS (SELECT a.c, list_concat(coalesce(b.own[1:a.h], []), a.own[a.h + 1:]) AS seq FROM heads a LEFT JOIN turns b ON b.c = a.c - a.c % 100),
+prefixes AS (SELECT c, unnest(range(0, len(seq) + 1)) AS d, seq FROM rebuilt),
+members AS (SELECT c, d, CASE WHEN d = 0 THEN [] ELSE seq[1:d] END AS prefix, len(seq) = d AS ended FROM prefixes),
+nodes AS (
+  SELECT prefix, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(prefix[d].said) END AS saved,
+    sha256(coalesce(string_agg(CASE WHEN ended THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM members GROUP BY prefix, d),
+children AS (SELECT CASE WHEN d = 1 THEN [] ELSE prefix[1:d - 1] END AS prefix, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (prefix, d)),
+upwards AS (SELECT *, unnest(range(0, d + 1)) AS up FROM counted),
+sums AS (
+  SELECT CASE WHEN up = 0 THEN [] ELSE prefix[1:up] END AS prefix, up AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM upwards GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n JOIN sums s USING (prefix, d) LEFT JOIN counted p ON n.d > 0 AND p.d = n.d - 1 AND p.prefix = CASE WHEN n.d = 1 THEN [] ELSE n.prefix[1:n.d - 1] END""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_bpe_chunks")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
