@@ -141,7 +141,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # CRC-32 bit by bit over the decimal digits, lowest bit of each first.
-_CRC = """xor(list_reduce(flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: list_transform(range(0, 8), lambda b: ((ascii(c::VARCHAR[i]) >> b) & 1)::BIGINT))),
+_CRC = """xor(list_reduce(flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: list_transform(range(0, 8), lambda b: ((ascii((c::VARCHAR)[i]) >> b) & 1)::BIGINT))),
   lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1)), 4294967295::BIGINT), 4294967295)"""
 
 
