@@ -22,16 +22,26 @@ def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(out))
 
 
-def frequency_encode(df: DataFrame, col: str, prefix: str | None = None, fit_on: DataFrame | None = None) -> DataFrame:
+def frequency_table(df: DataFrame, col: str) -> DataFrame:
+    """``(value, n)`` of all rows; those without a value have a row of their own, so that the counts add up to the rows."""
+    require(df, col)
+    return df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequency_encode(
+    df: DataFrame, col: str, prefix: str | None = None, fit_on: DataFrame | None = None, fitted: DataFrame | None = None
+) -> DataFrame:
     """``<prefix>_frequency`` and its share of all rows.
 
     ``fit_on`` is a frame with the same values to count; chained steps give one, so that none re-reads what came before.
+    ``fitted`` is a ``frequency_table`` of other rows, used as it is.
     """
     p = prefix or col
     freq = f"{p}_frequency"
-    source = df if fit_on is None else fit_on
-    counted = lookup_join(df, value_counts(source, col, freq), col, defaults={freq: 0})
-    rows = source.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    table = frequency_table(df if fit_on is None else fit_on, col) if fitted is None else fitted
+    counts = table.where(F.col("value").isNotNull()).select(F.col("value").alias(col), F.col("n").alias(freq))
+    counted = lookup_join(df, counts, col, defaults={freq: 0})
+    rows = table.agg(F.greatest(F.sum("n"), F.lit(1))).scalar()
     return counted.withColumn(f"{p}_frequency_pct", F.col(freq) / rows)
 
 

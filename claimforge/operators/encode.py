@@ -37,15 +37,21 @@ def ordinal_encode(train: DataFrame, test: DataFrame, cols: Sequence[str], suffi
 
 
 def one_hot(
-    train: DataFrame, test: DataFrame, cols: Sequence[str], values: dict[str, list] | None = None
+    train: DataFrame, test: DataFrame, cols: Sequence[str], values: dict[str, list] | None = None, max_values: int = 10_000
 ) -> tuple[DataFrame, DataFrame]:
-    """One 0/1 column per training value; unknown values are all zeros. ``one_hot_sparse`` keeps many values in one column."""
+    """One 0/1 column per training value; unknown values are all zeros. ``one_hot_sparse`` keeps many values in one column.
+
+    A column with more than ``max_values`` values is refused unless they are given.
+    """
     flags = {}
     for c in cols:
         require(train, c)
         known = (values or {}).get(c)
         if known is None:
-            known = sorted(r[0] for r in train.where(F.col(c).isNotNull()).select(c).distinct().collect())
+            found = train.where(F.col(c).isNotNull()).select(c).distinct().limit(max_values + 1).collect()
+            if len(found) > max_values:
+                raise ValueError(f"{c} has more than {max_values} values: give them, or take one_hot_sparse")
+            known = sorted(r[0] for r in found)
         flags.update({f"{c}_{v}": F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("int") for v in known})
     return train.withColumns(flags), test.withColumns(flags)
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import asdict, dataclass, field, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import words as W
+from ..plans.lookups import lookup_join
 from ..session import cut
 from . import category as CAT
 from . import cleaning as C
@@ -18,8 +20,9 @@ from . import interactions as I
 from . import target as G
 from . import textstats as S
 from . import topics as TOP
+from . import vectorize as V
 from .models import add_score, predict_with_threshold
-from .scale import scale, scale_groups
+from .scale import scale, scale_groups, scale_table
 
 
 @dataclass(frozen=True)
@@ -69,6 +72,12 @@ class StatementOptions:
     add_spelling_errors: bool = False
     add_lexical_features: bool = False
     add_pollution_features: bool = False
+    use_dictionary: bool = False
+    add_ner_features: bool = False
+    vectorizer_type: str = "none"
+    vectorizer_max_features: int | None = None
+    vectorizer_min_df: int = 1
+    vectorizer_max_df: float = 1.0
     scale: str = "none"
 
 
@@ -137,6 +146,7 @@ class FeatureOptions:
     add_numeral_count: bool = False
     add_proper_noun_count: bool = False
     add_readability: bool = False
+    add_sentiment: bool = False
     scale: str = "none"
 
 
@@ -278,8 +288,11 @@ def preset(group: str, name: str):
 # --- validation -------------------------------------------------------------
 
 
-def validate(df: DataFrame, o: PrepareOptions) -> None:
-    """Raise before anything is planned: KeyError for columns, ValueError for option conflicts."""
+def validate(df: DataFrame, o: PrepareOptions, resources: Collection[str] | None = None, fitted: bool = False) -> None:
+    """Raise before anything is planned: KeyError for columns, ValueError for option conflicts.
+
+    ``resources`` names the tables at hand; a ``fitted`` preparation reads no labels.
+    """
     if o.label_option.strip().lower() not in ("skip", "drop"):
         raise ValueError("label_option must be 'drop' or 'skip'")
     if o.id_option.strip().lower() not in ("drop", "hash_bucket"):
@@ -298,12 +311,18 @@ def validate(df: DataFrame, o: PrepareOptions) -> None:
         if part.add_label_rate:
             if part.label_col is None:
                 raise ValueError(f"{part.source_col}: a label rate needs label_col")
-            C.require(df, part.label_col)
+            C.require(df, *([] if fitted else [part.label_col]))
     if (o.fe.add_speaker_label_rate or o.fe.add_subject_label_rate or o.fe.add_party_label_rate) and o.fe.label_col is None:
         raise ValueError("fe: label rates need label_col")
     for part in [o.subject, o.statement, *cats, o.fe]:
         if part.scale not in ("none", "standardize", "normalize"):
             raise ValueError("scale must be 'none', 'standardize' or 'normalize'")
+    if o.statement.vectorizer_type not in ("none", *VECTORIZERS):
+        raise ValueError(f"vectorizer_type must be 'none' or one of {sorted(VECTORIZERS)}")
+    wanted = {"dictionary": o.statement.use_dictionary, "entities": o.statement.add_ner_features, "sentiment": o.fe.add_sentiment}
+    lacking = [name for name, on in wanted.items() if on and name not in (resources or ())]
+    if lacking:
+        raise ValueError(f"options ask for tables that were not given: {lacking}")
 
 
 # --- steps ------------------------------------------------------------------
@@ -315,20 +334,45 @@ def _restore_source(df: DataFrame, source: str, keep: bool) -> DataFrame:
 
 @dataclass
 class Fitting:
-    """What the steps of one preparation share: the frame to fit tables on, and scaling left to the end."""
+    """What the steps of one preparation share: the frame to fit tables on, and scaling left to the end.
+
+    ``tables`` holds what steps fitted, by name. Frozen, it was fitted on other rows: steps take their tables
+    from it and count or average nothing themselves.
+    """
 
     base: DataFrame
     scaled: list[tuple[list[str], str]] = field(default_factory=list)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    frozen: bool = False
 
     def has(self, *cols: str | None) -> DataFrame | None:
         """The base if it has all the columns."""
-        return self.base if all(c in self.base.columns for c in cols) else None
+        return self.base if not self.frozen and all(c in self.base.columns for c in cols) else None
+
+    def table(self, name: str, fit: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.tables:
+            if self.frozen:
+                raise KeyError(f"the fitted preparation has no table {name!r}")
+            self.tables[name] = fit()
+        return self.tables[name]
 
 
 def _source(fitting: Fitting | None, *cols: str | None) -> DataFrame | None:
     return fitting.has(*cols) if fitting else None
 
 
+def _table(fitting: Fitting | None, name: str, df: DataFrame, fit: Callable[[DataFrame], DataFrame], *cols: str | None) -> DataFrame | None:
+    """The step's table, fitted on the base (or on ``df`` where that lacks a column); None outside a preparation."""
+    if fitting is None:
+        return None
+    base = fitting.has(*cols)
+    return fitting.table(name, lambda: fit(df if base is None else base))
+
+
+def _rate(df: DataFrame, key: str, label: str | None, out: str, fitting: Fitting | None) -> DataFrame:
+    return G.group_label_rate(df, key, label, out, fitted=_table(fitting, out, df, lambda d: G.rate_table(d, key, label), key, label))
+
+
 def _scaled(df: DataFrame, cols: list[str], method: str, fitting: Fitting | None) -> DataFrame:
     if fitting is None:
         return scale(df, cols, method)
@@ -351,14 +395,18 @@ def prepare_subject(df: DataFrame, o: SubjectOptions = SubjectOptions(), fitting
     scalable = [f"{s}_topic_count"] * o.add_topic_count + [f"{s}_length", f"{s}_token_count"] * o.add_length_features
     if o.add_primary:
         primary = f"{s}_primary"
-        df = TOP.primary_topic(df, topics, o.primary_strategy, o.max_topics_for_primary, o.multi_topic_label, primary, _source(fitting, topics))
+        counts = None
+        if o.primary_strategy.strip().lower() == "most_frequent":
+            counts = _table(fitting, f"{s}_topic_counts", df, lambda d: TOP.topic_counts(d, topics), topics)
+        df = TOP.primary_topic(df, topics, o.primary_strategy, o.max_topics_for_primary, o.multi_topic_label, primary, _source(fitting, topics), counts)
         if o.add_frequency or o.add_is_rare or (o.group_rare and o.add_grouped):
-            df = TOP.primary_features(df, primary, s, o.rare_threshold, o.rare_label, _source(fitting, primary))
+            seen = _table(fitting, f"{s}_frequency", df, lambda d: CAT.frequency_table(d, primary), primary)
+            df = TOP.primary_features(df, primary, s, o.rare_threshold, o.rare_label, fitted=seen)
             df = df.drop(*([] if o.add_is_rare else [f"{s}_is_rare"]), *([] if o.group_rare and o.add_grouped else [f"{primary}_grouped"]))
             df = df if o.add_frequency else df.drop(f"{s}_frequency")
         scalable += [f"{s}_frequency"] * o.add_frequency
         if o.add_label_rate:
-            df = G.group_label_rate(df, primary, o.label_col, f"{s}_label_rate", fit_on=_source(fitting, primary, o.label_col))
+            df = _rate(df, primary, o.label_col, f"{s}_label_rate", fitting)
     elif o.group_rare:
         raise ValueError("group_rare needs add_primary")
     if not o.add_topic_list:
@@ -383,11 +431,15 @@ def prepare_statement(df: DataFrame, o: StatementOptions = StatementOptions(), k
     df = df.withColumn(
         clean, X.clean_statement(orig, o.lower, o.remove_html, o.remove_urls, o.replace_numbers, o.number_token)
     )
-    if o.remove_punctuation or o.stopword_removal:
+    if o.remove_punctuation or o.stopword_removal or o.use_dictionary:
         t = X.words(F.col(clean))
         t = X.strip_token_punct(t) if o.remove_punctuation else t
         t = X.drop_stopwords(t, o.stoplist, o.keep_negations) if o.stopword_removal else t
-        df = df.withColumn(clean, F.array_join(t, " "))
+        if o.use_dictionary:
+            df = C.normalize_tokens_by_dictionary(df.withColumn("_t", t), key, "_t", fitting.tables["dictionary"])
+            df = df.withColumn(clean, F.array_join("_t", " ")).drop("_t")
+        else:
+            df = df.withColumn(clean, F.array_join(t, " "))
     if o.add_lexical_features:
         df = S.lexical_features(df, orig, clean, src)
         scalable += [f"{orig}_char_len", f"{orig}_word_count", f"{src}_upper_ratio", f"{src}_exclamation_count", f"{src}_question_count", f"{clean}_digit_ratio"]
@@ -396,7 +448,8 @@ def prepare_statement(df: DataFrame, o: StatementOptions = StatementOptions(), k
         if o.add_rare_token_features:
             base = _source(fitting, key, clean)
             tokens = None if base is None else base.select(key, X.words(F.col(clean)).alias("_tokens"))
-            df = S.rare_token_features(df, key, "_tokens", threshold=o.rare_token_threshold, fit_on=tokens)
+            seen = fitting.table(f"{clean}_tokens", lambda: CAT.token_frequencies(df if tokens is None else tokens, "_tokens")) if fitting else None
+            df = S.rare_token_features(df, key, "_tokens", seen, o.rare_token_threshold, tokens)
             renamed = {"rare_token_count": f"{clean}_rare_token_count", "avg_token_freq": f"{clean}_avg_token_freq"}
             df = df.withColumnsRenamed(renamed)
             scalable += list(renamed.values())
@@ -404,6 +457,9 @@ def prepare_statement(df: DataFrame, o: StatementOptions = StatementOptions(), k
             df = S.oov_count(df, key, "_tokens", out=f"{clean}_spelling_err_count")
             scalable.append(f"{clean}_spelling_err_count")
         df = df.drop("_tokens")
+    if o.add_ner_features:
+        df = S.gazetteer_entity_counts(df, key, orig, fitting.tables["entities"], f"{orig}_")
+        scalable += [f"{orig}_{t}" for t in ["total_entities", *S.ENTITY_TYPES]]
     df = _scaled(df, scalable, o.scale, fitting)
     return df if o.keep_original else df.drop(orig)
 
@@ -425,7 +481,7 @@ def prepare_category(df: DataFrame, o: CategoryOptions, fitting: Fitting | None
         df = C.normalize_by_lookup(df, value, C.state_table(df.sparkSession), "code", "name", fixed=True)
     scalable: list[str] = []
     if o.add_frequency or o.add_is_rare or o.add_grouped:
-        df = CAT.frequency_encode(df, value, s, _source(fitting, value))
+        df = CAT.frequency_encode(df, value, s, fitted=_table(fitting, f"{s}_frequency", df, lambda d: CAT.frequency_table(d, value), value))
         freq = f"{s}_frequency"
         if o.add_is_rare:
             df = CAT.is_rare(df, freq, o.rare_threshold, f"{s}_is_rare")
@@ -462,11 +518,11 @@ def prepare_category(df: DataFrame, o: CategoryOptions, fitting: Fitting | None
     if o.add_us_region:
         df = C.map_region(df, value, C.state_table(df.sparkSession), "name", "region", f"{s}_us_region", fixed=True)
     if o.add_label_rate:
-        df = G.group_label_rate(df, value, o.label_col, f"{s}_label_rate", fit_on=_source(fitting, value, o.label_col))
+        df = _rate(df, value, o.label_col, f"{s}_label_rate", fitting)
     return _restore_source(_scaled(df, scalable, o.scale, fitting), s, o.keep_original)
 
 
-def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions(), fitting: Fitting | None = None) -> DataFrame:
+def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions(), fitting: Fitting | None = None, key: str = "id") -> DataFrame:
     """Interaction keys, group means and text style; absent sources warn and are skipped."""
     pairs = [
         (o.add_speaker_subject, o.speaker_col, o.subject_col, "fe_speaker_subject"),
@@ -486,12 +542,12 @@ def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions(), fitt
         (o.add_subject_label_rate, o.subject_col, "fe_subject_label_rate"),
         (o.add_party_label_rate, o.party_col, "fe_party_label_rate"),
     ]
-    for on, key, out in rates:
+    for on, group, out in rates:
         if on:
             if o.label_col is None:
                 raise ValueError("label rates need label_col")
-            if I.have(df, out, key, o.label_col):
-                df = G.group_label_rate(df, key, o.label_col, out, fit_on=_source(fitting, key, o.label_col))
+            if I.have(df, out, group, *([] if fitting and fitting.frozen else [o.label_col])):
+                df = _rate(df, group, o.label_col, out, fitting)
                 scalable.append(out)
     means = [
         (o.add_speaker_avg_statement_len, o.speaker_col, lambda c: X.word_count(X.text(c)), "fe_speaker_avg_statement_len"),
@@ -499,10 +555,11 @@ def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions(), fitt
         (o.add_speaker_avg_number_ratio, o.speaker_col, S.digit_ratio, "fe_speaker_avg_number_ratio"),
         (o.add_subject_avg_statement_len, o.subject_col, lambda c: X.word_count(X.text(c)), "fe_subject_avg_statement_len"),
     ]
-    for key in (o.speaker_col, o.subject_col):
-        wanted = {out: value(o.statement_col) for on, k, value, out in means if on and k == key and I.have(df, out, k, o.statement_col)}
+    for group in (o.speaker_col, o.subject_col):
+        wanted = {out: value(o.statement_col) for on, k, value, out in means if on and k == group and I.have(df, out, k, o.statement_col)}
         if wanted:
-            df = G.group_mean_features(df, key, wanted, _source(fitting, key, o.statement_col))
+            sums = _table(fitting, f"fe_{group}_sums", df, lambda d, g=group, w=wanted: G.group_sums(d, g, w), group, o.statement_col)
+            df = G.group_mean_features(df, group, wanted, fitted=sums)
             scalable += list(wanted)
     lexicons = {n: lex for n, lex in S.LEXICONS.items() if getattr(o, f"add_{n}_count")}
     if (lexicons or o.add_numeral_count or o.add_readability) and I.have(df, "text style", o.statement_col):
@@ -517,6 +574,9 @@ def add_cross_features(df: DataFrame, o: FeatureOptions = FeatureOptions(), fitt
     if o.add_proper_noun_count and I.have(df, "fe_proper_noun_count", o.statement_original_col):
         df = S.proper_noun_count(df, o.statement_original_col)
         scalable.append("fe_proper_noun_count")
+    if o.add_sentiment and I.have(df, "sentiment", o.statement_col):
+        df = S.lexicon_sentiment(df, key, o.statement_col, fitting.tables["sentiment"])
+        scalable += ["fe_sentiment_polarity", "fe_sentiment_subjectivity"]
     return _scaled(df, scalable, o.scale, fitting)
 
 
@@ -534,7 +594,10 @@ def _clean_only(o: PrepareOptions) -> PrepareOptions:
             s, **off, group_rare=False, add_length_features=False, add_topic_count=False, add_multiple_topics_flag=False, add_grouped=False,
             add_frequency=False, add_is_rare=False, add_label_rate=False, add_topic_list=s.add_primary and s.primary_strategy.strip().lower() == "most_frequent",
         ),
-        statement=replace(o.statement, **off, add_rare_token_features=False, add_spelling_errors=False, add_lexical_features=False, add_pollution_features=False),
+        statement=replace(
+            o.statement, **off, add_rare_token_features=False, add_spelling_errors=False, add_lexical_features=False, add_pollution_features=False,
+            add_ner_features=False, vectorizer_type="none",
+        ),
     )
 
 
@@ -544,7 +607,7 @@ def _fitted_columns(o: PrepareOptions) -> set[str]:
     s = o.subject
     if s.add_primary and (s.add_frequency or s.add_is_rare or s.add_grouped or s.add_label_rate or s.primary_strategy.strip().lower() == "most_frequent"):
         cols |= {f"{s.source_col}_primary", f"{s.source_col}_topics", s.label_col if s.add_label_rate else None}
-    if o.statement.add_rare_token_features:
+    if o.statement.add_rare_token_features or o.statement.vectorizer_type != "none":
         cols |= {o.key_col, o.statement.output_col}
     for c in (o.speaker, o.speaker_job, o.party_affiliation, o.state):
         if not c.drop and (c.add_frequency or c.add_is_rare or c.add_grouped or c.add_label_rate):
@@ -566,12 +629,35 @@ def _steps(df: DataFrame, o: PrepareOptions, fitting: Fitting | None) -> DataFra
         .transform(prepare_category, o.speaker_job, fitting)
         .transform(prepare_category, o.party_affiliation, fitting)
         .transform(prepare_category, o.state, fitting)
-        .transform(add_cross_features, o.fe, fitting)
+        .transform(add_cross_features, o.fe, fitting, o.key_col)
     )
 
 
-def prepare(df: DataFrame, options: PrepareOptions | None = None) -> DataFrame:
-    """All steps in order. The key column lives until the last step.
+def _fitting(df: DataFrame, o: PrepareOptions, resources: dict[str, DataFrame] | None) -> Fitting:
+    """Cleaned columns that some step counts or averages, in one narrow checkpointed table."""
+    given = dict(resources or {})
+    wanted = _fitted_columns(o)
+    if not wanted:
+        return Fitting(df.select(), tables=given)
+    clean = _steps(df, _clean_only(o), Fitting(df.select(), tables=given))
+    return Fitting(cut(clean.select(*sorted(wanted & set(clean.columns)))), tables=given)
+
+
+def _finish(df: DataFrame, o: PrepareOptions) -> DataFrame:
+    if o.label_option.strip().lower() == "drop" and o.label_source_col in df.columns:
+        df = df.drop(o.label_source_col)
+    return C.id_option(df, o.id_option, o.key_col)
+
+
+#: Word runs that are terms, by kind of vectoriser.
+VECTORIZERS = {"tfidf": (1, 1), "bigram": (1, 2), "binary": (1, 1)}
+
+
+def prepare(df: DataFrame, options: PrepareOptions | None = None, resources: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All steps in order, fitted on the rows themselves. The key column lives until the last step.
+
+    ``resources``: ``dictionary(form, base)``, ``entities(phrase, type)``, ``sentiment(word, polarity, subjectivity)``
+    for the options that look words up.
 
     Whatever is counted or averaged is fitted on one narrow table of cleaned columns, which is checkpointed
     here (an eager job, only if some option needs it); the rows then meet one table a step, and all scaling
@@ -579,25 +665,88 @@ def prepare(df: DataFrame, options: PrepareOptions | None = None) -> DataFrame:
     times at most.
     """
     o = options or PrepareOptions()
-    validate(df, o)
-    label_dropped = o.label_option.strip().lower() == "drop"
-    wanted = _fitted_columns(o)
-    if wanted:
-        clean = _steps(df, _clean_only(o), None)
-        fitting = Fitting(cut(clean.select(*sorted(wanted & set(clean.columns)))))
-    else:
-        fitting = Fitting(df.select())
-    df = scale_groups(_steps(df, o, fitting), fitting.scaled)
-    if label_dropped and o.label_source_col in df.columns:
-        df = df.drop(o.label_source_col)
-    return C.id_option(df, o.id_option, o.key_col)
+    validate(df, o, resources)
+    fitting = _fitting(df, o, resources)
+    return _finish(scale_groups(_steps(df, o, fitting), fitting.scaled), o)
 
 
-def prepare_keyed(df: DataFrame, options: PrepareOptions | None = None) -> DataFrame:
+def prepare_keyed(df: DataFrame, options: PrepareOptions | None = None, resources: dict[str, DataFrame] | None = None) -> DataFrame:
     """``prepare`` that also keeps the key, for scoring and joins."""
     o = options or PrepareOptions()
     copied = df.withColumn("_key", F.col(o.key_col))
-    return prepare(copied, o).withColumnRenamed("_key", o.key_col)
+    return prepare(copied, o, resources).withColumnRenamed("_key", o.key_col)
+
+
+@dataclass
+class FittedPreparation:
+    """A preparation fitted once: options, and every table its steps fitted or look words up in.
+
+    What it makes of a row depends on that row alone, whichever rows come with it: values the fit never saw
+    count 0 and are rare, unknown groups take the overall mean, unknown terms drop out.
+    """
+
+    options: PrepareOptions
+    tables: dict[str, DataFrame]
+
+    def transform(self, df: DataFrame, keep_key: bool = False) -> DataFrame:
+        o = self.options
+        validate(df, o, self.tables, fitted=True)
+        df = df.withColumn("_key", F.col(o.key_col)) if keep_key else df
+        fitting = Fitting(df.select(), tables=self.tables, frozen=True)
+        ready = _steps(df, o, fitting)
+        done = _finish(scale_groups(ready, fitting.scaled, self.tables.get("scale")), o)
+        return done.withColumnRenamed("_key", o.key_col) if keep_key else done
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        """The statement vectoriser's rows ``(key, term, value)`` over the fitted vocabulary; long, so of any width."""
+        o = self.options
+        kind = o.statement.vectorizer_type
+        if kind == "none":
+            raise ValueError("the preparation has no vectoriser")
+        statement = _clean_only(o).statement
+        clean = prepare_statement(df.select(o.key_col, statement.source_col), statement, o.key_col, Fitting(df.select(), tables=self.tables, frozen=True))
+        return statement_vectors(clean, o.key_col, statement.output_col, kind, self.tables["vocabulary"])
+
+    def save(self, path: str) -> None:
+        """Every table as parquet under ``path``, options and names as one JSON line."""
+        spark = next(iter(self.tables.values())).sparkSession if self.tables else SparkSession.active()
+        for name, table in self.tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+        told = json.dumps({"options": self.options.to_dict(), "tables": sorted(self.tables)})
+        spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/options")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "FittedPreparation":
+        told = json.loads(spark.read.text(f"{path}/options").first()[0])
+        return cls(PrepareOptions.from_dict(told["options"]), {name: spark.read.parquet(f"{path}/tables/{name}") for name in told["tables"]})
+
+
+def fit_prepare(df: DataFrame, options: PrepareOptions | None = None, resources: dict[str, DataFrame] | None = None) -> FittedPreparation:
+    """Fit every table of the preparation on ``df`` once, checkpointed; ``transform`` and ``vectors`` apply them."""
+    o = options or PrepareOptions()
+    validate(df, o, resources)
+    fitting = _fitting(df, o, resources)
+    _steps(df, o, fitting)
+    s = o.statement
+    if s.vectorizer_type != "none":
+        terms = V.word_terms(s.output_col, VECTORIZERS[s.vectorizer_type])
+        once = F.array_distinct(terms) if s.vectorizer_type == "binary" else terms
+        fitting.tables["vocabulary"] = V.vocabulary(fitting.base, o.key_col, once, s.vectorizer_min_df, s.vectorizer_max_df, s.vectorizer_max_features)
+    fitted = FittedPreparation(o, {name: cut(table) for name, table in fitting.tables.items()})
+    if any(method != "none" and cols for cols, method in fitting.scaled):
+        frozen = Fitting(df.select(), tables=fitted.tables, frozen=True)
+        fitted.tables["scale"] = cut(scale_table(_steps(df, o, frozen), frozen.scaled))
+    return fitted
+
+
+def statement_vectors(df: DataFrame, key: str, clean: str, kind: str, vocabulary: DataFrame) -> DataFrame:
+    """``(key, term, value)``: TF-IDF of unit length, counts of words and pairs, or 1 for words that occur."""
+    terms = V.word_terms(clean, VECTORIZERS[kind])
+    if kind == "tfidf":
+        return V.transform_with_vocabulary(df, key, terms, vocabulary)
+    counts = V.term_counts(df, key, F.array_distinct(terms) if kind == "binary" else terms)
+    known = lookup_join(counts, vocabulary.select("term", F.lit(True).alias("_known")), "term")
+    return known.where("_known").select(key, "term", F.col("tf").cast("double").alias("value"))
 
 
 def prepare_topn(
@@ -618,9 +767,16 @@ def prepare_topn(
 
 
 def score_batch(bundle, df: DataFrame, key: str = "id", key_out: str = "id") -> DataFrame:
-    """Prepare, look rates up, encode, align, score and cut: one ``(id, score, label)`` row per input row."""
-    options = PrepareOptions.from_dict(bundle.options) if bundle.options else PrepareOptions()
-    ready = prepare_keyed(df, replace(options, key_col=key))
+    """Prepare, look rates up, encode, align, score and cut: one ``(id, score, label)`` row per input row.
+
+    With a fitted preparation in the bundle, a row's score does not depend on the rows scored with it.
+    """
+    if bundle.preparation is not None:
+        fitted = bundle.preparation
+        ready = FittedPreparation(replace(fitted.options, key_col=key), fitted.tables).transform(df, keep_key=True)
+    else:
+        options = PrepareOptions.from_dict(bundle.options) if bundle.options else PrepareOptions()
+        ready = prepare_keyed(df, replace(options, key_col=key))
     ready = G.apply_rate_maps(ready, bundle.rate_maps, bundle.rate_fallback)
     ready = E.ordinal_apply(ready, bundle.encoders)
     aligned = E.align_schema(ready, bundle.feature_names, keep=[key])

@@ -16,8 +16,7 @@ def scale(df: DataFrame, cols: Sequence[str], method: str = "none") -> DataFrame
     return scale_groups(df, [(cols, method)])
 
 
-def scale_groups(df: DataFrame, groups: Sequence[tuple[Sequence[str], str]]) -> DataFrame:
-    """Several ``(columns, method)`` at once, from one aggregate."""
+def _wanted(df: DataFrame, groups: Sequence[tuple[Sequence[str], str]]) -> dict[str, tuple]:
     stats = {}
     for cols, method in groups:
         if method not in ("none", *METHODS):
@@ -25,7 +24,34 @@ def scale_groups(df: DataFrame, groups: Sequence[tuple[Sequence[str], str]]) ->
         if method != "none":
             require(df, *cols)
             stats.update({c: METHODS[method] for c in cols})
-    return _apply(df, df, stats) if stats else df
+    return stats
+
+
+def scale_groups(df: DataFrame, groups: Sequence[tuple[Sequence[str], str]], fitted: DataFrame | None = None) -> DataFrame:
+    """Several ``(columns, method)`` at once, from one aggregate, or from a ``scale_table`` of other rows."""
+    stats = _wanted(df, groups)
+    if not stats:
+        return df
+    if fitted is None:
+        return _apply(df, df, stats)
+    # One entry for each scaled column.
+    held = fitted.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("centre", "spread"))))).scalar()
+    return _scaled(df.withColumn("_scale", held), {c: (F.col("_scale")[c]["centre"], F.col("_scale")[c]["spread"]) for c in stats})
+
+
+def scale_table(df: DataFrame, groups: Sequence[tuple[Sequence[str], str]]) -> DataFrame:
+    """``(column, centre, spread)`` of every column that is scaled."""
+    stats = _wanted(df, groups)
+    parts = [F.struct(F.lit(c).alias("column"), centre(F.col(c).cast("double")).alias("centre"), spread(F.col(c).cast("double")).alias("spread")) for c, (centre, spread) in stats.items()]
+    return df.agg(F.array(*parts).alias("_s")).select(F.inline("_s"))
+
+
+def _scaled(held: DataFrame, by: dict[str, tuple[Column, Column]]) -> DataFrame:
+    out = {}
+    for c, (centre, spread) in by.items():
+        shifted = F.col(c).cast("double") - centre
+        out[c] = F.when(spread > 0, shifted / spread).otherwise(shifted)
+    return held.withColumns(out).drop("_scale")
 
 
 def _range(c: Column) -> Column:
@@ -49,9 +75,4 @@ def _apply(df: DataFrame, fitted_on: DataFrame, cols: dict[str, tuple]) -> DataF
     s = scalar_struct(fitted_on, **stats)
     # One column holds the subquery, so that the plan does not repeat it for every use.
     held = df.withColumn("_scale", s)
-    scaled = {}
-    for i, c in enumerate(cols):
-        centre, spread = F.col("_scale")[f"c{i}"], F.col("_scale")[f"s{i}"]
-        shifted = F.col(c).cast("double") - centre
-        scaled[c] = F.when(spread > 0, shifted / spread).otherwise(shifted)
-    return held.withColumns(scaled).drop("_scale")
+    return _scaled(held, {c: (F.col("_scale")[f"c{i}"], F.col("_scale")[f"s{i}"]) for i, c in enumerate(cols)})

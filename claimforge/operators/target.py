@@ -17,16 +17,24 @@ from ..plans.lookups import lookup_join, scalar_struct
 from .cleaning import require
 
 
-def group_mean_features(df: DataFrame, key: str, values: dict[str, Column | str], fit_on: DataFrame | None = None) -> DataFrame:
+def group_sums(df: DataFrame, key: str, values: dict[str, Column | str]) -> DataFrame:
+    """Sum and count of each value per key, those of rows without a key included."""
+    return df.groupBy(key).agg(
+        *[F.sum(X.col(v).cast("double")).alias(f"_s_{out}") for out, v in values.items()],
+        *[F.count(X.col(v)).alias(f"_n_{out}") for out, v in values.items()],
+    )
+
+
+def group_mean_features(
+    df: DataFrame, key: str, values: dict[str, Column | str], fit_on: DataFrame | None = None, fitted: DataFrame | None = None
+) -> DataFrame:
     """Means per group on every row, several values in one aggregate over ``fit_on`` (``df`` itself if none).
 
-    Rows without a key get the overall mean, which the group sums already hold.
+    Rows without a key, or with one ``fitted`` (``group_sums`` of other rows) never saw, get the overall mean,
+    which the group sums already hold.
     """
     require(df, key)
-    sums = (df if fit_on is None else fit_on).groupBy(key).agg(
-        *[F.sum(X.col(v).cast("double")).alias(f"_s_{out}") for out, v in values.items()],
-        *[F.count(X.col(v)).alias(f"_n_{out}") for out, v in values.items()],
-    )
+    sums = group_sums(df if fit_on is None else fit_on, key, values) if fitted is None else fitted
     means = sums.where(F.col(key).isNotNull()).select(
         key, *[F.try_divide(F.col(f"_s_{out}"), F.col(f"_n_{out}").cast("double")).alias(out) for out in values]
     )
@@ -46,11 +54,14 @@ def rate_table(df: DataFrame, key: str, label: str, out: str = "rate") -> DataFr
     return rates.where(F.col(out).isNotNull())
 
 
-def group_label_rate(df: DataFrame, key: str, label: str | None, out: str, fallback: float = 0.5, fit_on: DataFrame | None = None) -> DataFrame:
-    """In-frame label rate; sees the row's own label by design."""
+def group_label_rate(
+    df: DataFrame, key: str, label: str | None, out: str, fallback: float = 0.5, fit_on: DataFrame | None = None, fitted: DataFrame | None = None
+) -> DataFrame:
+    """In-frame label rate; sees the row's own label by design. ``fitted`` is a ``rate_table`` of other rows."""
     if label is None:
         raise ValueError("a label column is required for a label rate")
-    return lookup_join(df, rate_table(df if fit_on is None else fit_on, key, label, out), key, defaults={out: fallback})
+    rates = rate_table(df if fit_on is None else fit_on, key, label) if fitted is None else fitted
+    return lookup_join(df, rates.withColumnRenamed("rate", out), key, defaults={out: fallback})
 
 
 def resolve_key(df: DataFrame, candidates: Sequence[str]) -> str | None:

@@ -42,27 +42,30 @@ def topic_counts(df: DataFrame, topics: str) -> DataFrame:
     return df.select(F.explode(topics).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _most_frequent(df: DataFrame, topics: str) -> DataFrame:
+def _most_frequent(df: DataFrame, topics: str, counts: DataFrame | None = None) -> DataFrame:
     """``(topics, _top)``: worked out once per distinct topic list."""
     lists = df.where(F.size(topics) > 0).select(topics).distinct()
     each = lists.select(topics, F.posexplode(topics).alias("_pos", "topic"))
-    ranked = lookup_join(each, topic_counts(df, topics), "topic", defaults={"n": 0})
+    ranked = lookup_join(each, topic_counts(df, topics) if counts is None else counts, "topic", defaults={"n": 0})
     best = F.max_by("topic", F.struct("n", F.length("topic"), -F.col("_pos")))
     return ranked.groupBy(topics).agg(best.alias("_top"))
 
 
 def primary_topic(
     df: DataFrame, topics: str, strategy: str = "first", max_topics: int | None = None,
-    multi_label: str = "multi-topic", out: str = "primary", fit_on: DataFrame | None = None,
+    multi_label: str = "multi-topic", out: str = "primary", fit_on: DataFrame | None = None, counts: DataFrame | None = None,
 ) -> DataFrame:
-    """One topic per row; empty lists are ``unknown``, over-long ones ``multi_label``."""
+    """One topic per row; empty lists are ``unknown``, over-long ones ``multi_label``.
+
+    ``counts`` are ``topic_counts`` of other rows; a topic they lack counts nothing.
+    """
     require(df, topics)
     choice = strategy.strip().lower()
     if choice not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     t = F.col(topics)
     if choice == "most_frequent":
-        df = lookup_join(df, _most_frequent(df if fit_on is None else fit_on, topics), topics)
+        df = lookup_join(df, _most_frequent(df if fit_on is None else fit_on, topics, counts), topics)
         picked = F.col("_top")
     elif choice == "longest":
         longest = F.array_max(F.transform(t, F.length))
@@ -78,17 +81,24 @@ def primary_topic(
 
 
 def primary_features(
-    df: DataFrame, primary: str, prefix: str, threshold: int = 10, rare_label: str = "other", fit_on: DataFrame | None = None
+    df: DataFrame, primary: str, prefix: str, threshold: int = 10, rare_label: str = "other", fit_on: DataFrame | None = None,
+    fitted: DataFrame | None = None,
 ) -> DataFrame:
     """Frequency, rare flag and rare-grouped value of the primary topic."""
-    out = frequency_encode(df, primary, prefix, fit_on).drop(f"{prefix}_frequency_pct")
+    out = frequency_encode(df, primary, prefix, fit_on, fitted).drop(f"{prefix}_frequency_pct")
     out = is_rare(out, f"{prefix}_frequency", threshold, f"{prefix}_is_rare")
     return group_rare(out, primary, threshold, rare_label, f"{primary}_grouped", f"{prefix}_frequency")
 
 
-def topic_vocabulary(train: DataFrame, topics: str) -> list[str]:
-    """Sorted training topics for column output, one column each; ``topic_indicators_long`` has no such list."""
-    return sorted(r["t"] for r in train.select(F.explode(topics).alias("t")).distinct().collect())
+def topic_vocabulary(train: DataFrame, topics: str, max_topics: int = 10_000) -> list[str]:
+    """Sorted training topics for column output, one column each; ``topic_indicators_long`` has no such list.
+
+    More than ``max_topics`` are refused: they would not make a table's columns.
+    """
+    found = train.select(F.explode(topics).alias("t")).distinct().limit(max_topics + 1).collect()
+    if len(found) > max_topics:
+        raise ValueError(f"more than {max_topics} topics: give a vocabulary, or take topic_indicators_long")
+    return sorted(r["t"] for r in found)
 
 
 def multi_label_binarize(

@@ -1,4 +1,4 @@
-"""Saved models: MLlib model, options, feature names, threshold, rate maps and encoders in one directory."""
+"""Saved models in one directory: MLlib model, fitted preparation, feature names, threshold, rate maps and encoders."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prepare import FittedPreparation
 from .tables import path_exists
 
 REQUIRED = ["model", "settings"]
@@ -23,6 +24,7 @@ class Bundle:
     rate_maps: dict[str, tuple[str, DataFrame]] = field(default_factory=dict)
     rate_fallback: float = 0.5
     encoders: dict[str, DataFrame] = field(default_factory=dict)
+    preparation: FittedPreparation | None = None
 
 
 def save_bundle(spark: SparkSession, bundle: Bundle, root: str, name: str) -> str:
@@ -33,8 +35,11 @@ def save_bundle(spark: SparkSession, bundle: Bundle, root: str, name: str) -> st
         table.write.mode("overwrite").parquet(f"{base}/rates/{feature}")
     for col, table in bundle.encoders.items():
         table.write.mode("overwrite").parquet(f"{base}/encoders/{col}")
+    if bundle.preparation is not None:
+        bundle.preparation.save(f"{base}/preparation")
     settings = {
         "feature_names": bundle.feature_names,
+        "prepared": sorted(bundle.preparation.tables) if bundle.preparation is not None else None,
         "options": bundle.options,
         "threshold": bundle.threshold,
         "rates": {f: source for f, (source, _) in bundle.rate_maps.items()},
@@ -53,6 +58,8 @@ def load_bundle(spark: SparkSession, root: str, name: str) -> Bundle:
     if "settings" not in missing:
         settings = json.loads(spark.read.text(f"{base}/settings").first()[0])
         parts = [f"rates/{f}" for f in settings["rates"]] + [f"encoders/{c}" for c in settings["encoders"]]
+        prepared = settings.get("prepared")
+        parts += ["preparation/options", *[f"preparation/tables/{t}" for t in prepared]] if prepared is not None else []
         missing += [p for p in parts if not path_exists(spark, f"{base}/{p}")]
     if missing:
         raise FileNotFoundError(f"bundle '{name}' lacks: " + ", ".join(f"{base}/{p}" for p in missing))
@@ -64,6 +71,7 @@ def load_bundle(spark: SparkSession, root: str, name: str) -> Bundle:
         rate_maps={f: (source, spark.read.parquet(f"{base}/rates/{f}")) for f, source in settings["rates"].items()},
         rate_fallback=settings["rate_fallback"],
         encoders={c: spark.read.parquet(f"{base}/encoders/{c}") for c in settings["encoders"]},
+        preparation=FittedPreparation.load(spark, f"{base}/preparation") if settings.get("prepared") is not None else None,
     )
 
 

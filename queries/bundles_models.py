@@ -23,7 +23,7 @@ from .categories import r6
 from .cleaning import _B9, _B10, _JOB, _SPEAKER, _STATE
 from .features import _SYL, _lex, _title
 from .registry import (
-    FULL_CLAIMS, full_claims, query, s_base, s_clean, s_clean_subject, s_count, s_repair, s_squeeze, s_strip, s_topics, s_unknown, s_words, scored, table,
+    CLAIMS, FULL_CLAIMS, full_claims, query, s_base, s_clean, s_clean_subject, s_count, s_repair, s_squeeze, s_strip, s_terms, s_topics, s_unknown, s_words, scored, table,
 )
 
 NUMERIC = ["length", "word_count", "avg_word_length", "exclamation", "question", "uppercase_ratio", "digit_count", "comma_count"]
@@ -304,22 +304,89 @@ def q5_features(spark, sf):
     return d.select("id", "fe_speaker_job_subject", "fe_state_party", "fe_speaker_len_bucket", *r6(*means), "fe_numeral_count")
 
 
+_TRAIN = f"c AS (SELECT id, label, {', '.join(f'{e} AS {c}' for c, e in _CLEAN_COLS.items())}, {s_repair('statement')} AS o FROM full_claims), tr AS (SELECT * FROM c WHERE label IS NOT NULL), te AS (SELECT * FROM c WHERE label IS NULL)"
+
+
+@query(
+    "Q3_fitted_preparation",
+    f"""WITH {FULL_CLAIMS}, {_TRAIN}, rows AS (SELECT count(*) AS rows FROM tr),
+      f AS (SELECT speaker_clean, count(*) AS n, avg(label) AS rate, avg({s_words('statement_clean')}) AS len FROM tr GROUP BY ALL), al AS (SELECT avg({s_words('statement_clean')}) AS len FROM tr),
+      tp AS (SELECT coalesce(({s_topics('subject_clean')})[1], 'unknown') AS prim, count(*) AS n FROM tr GROUP BY ALL),
+      k AS (SELECT id, unnest(regexp_extract_all(statement_clean, '\\S+')) AS w FROM c), g AS (SELECT w, count(*) AS freq FROM k JOIN tr USING (id) GROUP BY w),
+      r AS (SELECT id, count(*) FILTER (coalesce(freq, 0) <= 1) AS rare, avg(coalesce(freq, 0)) AS af FROM k LEFT JOIN g USING (w) GROUP BY id),
+      v AS (SELECT tr.id, length(o) AS chars, coalesce(rare, 0) AS rare FROM tr LEFT JOIN r USING (id)), s AS (SELECT avg(chars) AS ca, stddev_samp(chars) AS cs, avg(rare) AS ra, stddev_samp(rare) AS rs FROM v),
+      t AS (SELECT te.*, coalesce(({s_topics('subject_clean')})[1], 'unknown') AS prim, coalesce(rare, 0) AS rare FROM te LEFT JOIN r USING (id))
+    SELECT t.id, prim AS subject_primary, coalesce(tp.n, 0) AS subject_frequency, CASE WHEN coalesce(tp.n, 0) < 10 THEN 'other' ELSE prim END AS subject_primary_grouped,
+      coalesce(f.n, 0) AS speaker_frequency, round(coalesce(f.n, 0) / rows, 6) AS speaker_frequency_pct, CAST(coalesce(f.n, 0) < 5 AS INTEGER) AS speaker_is_rare, CASE WHEN coalesce(f.n, 0) < 5 THEN 'other' ELSE speaker_clean END AS speaker_grouped,
+      round(coalesce(f.rate, 0.5), 6) AS fe_speaker_label_rate, round(coalesce(f.len, al.len), 6) AS fe_speaker_avg_statement_len,
+      round((length(o) - ca) / cs, 6) AS statement_original_char_len, round((rare - ra) / rs, 6) AS statement_clean_rare_token_count
+    FROM t CROSS JOIN rows CROSS JOIN s CROSS JOIN al LEFT JOIN f USING (speaker_clean) LEFT JOIN tp USING (prim)""",
+)
+def q3_fitted(spark, sf):
+    """Fitted on labelled rows, saved, loaded, applied to the others."""
+    d, path = full_claims(spark, sf), scratch_path(spark, "preparation")
+    statement = Q.StatementOptions(keep_original=True, add_lexical_features=True, add_rare_token_features=True, scale="standardize")
+    fe = Q.FeatureOptions(label_col="label", add_speaker_label_rate=True, add_speaker_avg_statement_len=True)
+    subject = Q.SubjectOptions(add_primary=True, add_frequency=True, group_rare=True, add_grouped=True)
+    speaker = Q.CategoryOptions(add_frequency=True, add_is_rare=True, add_grouped=True, group_rare=True)
+    Q.fit_prepare(d.where("label is not null"), Q.PrepareOptions(statement=statement, fe=fe, subject=subject, speaker=speaker, label_option="drop")).save(path)
+    out = Q.FittedPreparation.load(spark, path).transform(d.where("label is null").drop("label"), keep_key=True)
+    numbers = ["speaker_frequency_pct", "fe_speaker_label_rate", "fe_speaker_avg_statement_len", "statement_original_char_len", "statement_clean_rare_token_count"]
+    return out.select("id", "subject_primary", "subject_frequency", "subject_primary_grouped", "speaker_frequency", "speaker_is_rare", "speaker_grouped", *r6(*numbers))
+
+
+def _vector_sql(pairs: bool, value: str, tail: str = "") -> str:
+    """Terms of test rows over the vocabulary of training rows: in two of them at least, in nine of ten at most."""
+    two = " UNION ALL SELECT id, seen, toks[i] || ' ' || toks[i + 1] FROM (SELECT *, unnest(range(1, len(toks))) AS i FROM w)" if pairs else ""
+    return f"""WITH {FULL_CLAIMS}, {_TRAIN}, w AS (SELECT id, label IS NOT NULL AS seen, {s_terms('statement_clean')} AS toks FROM c), t AS (SELECT id, seen, unnest(toks) AS term FROM w{two}),
+      tf AS (SELECT id, seen, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM tr),
+      v AS (SELECT term, ln((1 + max(n)) / (1 + count(*))) + 1 AS idf FROM tf, n WHERE seen GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.9::DOUBLE * n),
+      raw AS (SELECT id, term, {value} AS w FROM tf JOIN v USING (term) WHERE NOT seen){tail}"""
+
+
+_UNIT = ", l AS (SELECT id, sqrt(sum(w * w)) AS l FROM raw GROUP BY id) SELECT id, term, round(w / l, 6) AS value FROM raw JOIN l USING (id)"
+
+
+def _vector_query(kind: str, sql: str):
+    def run(spark, sf):
+        d = full_claims(spark, sf)
+        statement = Q.StatementOptions(vectorizer_type=kind, vectorizer_min_df=2, vectorizer_max_df=0.9)
+        fitted = Q.fit_prepare(d.where("label is not null"), Q.PrepareOptions(statement=statement))
+        return fitted.vectors(d.where("label is null")).withColumn("value", F.round("value", 6))
+
+    query(f"Q1_vectors_{kind}", sql)(run)
+
+
+_vector_query("tfidf", _vector_sql(False, "tf * idf", _UNIT))
+_vector_query("bigram", _vector_sql(True, "CAST(tf AS DOUBLE)") + " SELECT id, term, w AS value FROM raw")
+_vector_query("binary", _vector_sql(False, "CAST(1 AS DOUBLE)") + " SELECT id, term, w AS value FROM raw")
+
+
 def _trained_bundle(spark, sf):
-    options = Q.PrepareOptions.from_flat(speaker_add_frequency=True, speaker_add_grouped_speaker=True, speaker_group_rare=True, statement_add_lexical_features=True, label_option="skip", id_option="hash_bucket")
+    options = Q.PrepareOptions.from_flat(
+        speaker_add_frequency=True, speaker_add_grouped_speaker=True, speaker_group_rare=True, statement_add_lexical_features=True, statement_scale="standardize",
+        fe_add_speaker_avg_statement_len=True, label_option="skip", id_option="hash_bucket",
+    )
+    labelled = full_claims(spark, sf).where("label is not null")
+    prepared = Q.fit_prepare(labelled, options)
     # Rate tables, codes and the fit all read the prepared rows.
-    train = O.cache_for_fit(Q.prepare_keyed(full_claims(spark, sf).where("label is not null"), options))
+    train = O.cache_for_fit(prepared.transform(labelled, keep_key=True))
     maps = G.fit_rate_maps(train, {"fe_speaker_rate": ["speaker_grouped", "speaker_clean"], "fe_party_rate": ["party_affiliation_grouped", "party_affiliation_clean"]}, "label")
     train = G.apply_rate_maps(train, maps)
     encoders = {"speaker_grouped": E.ordinal_table(train, "speaker_grouped")}
     train = E.ordinal_apply(train, encoders)
-    names = ["statement_original_char_len", "statement_original_word_count", "statement_upper_ratio", "speaker_frequency", "fe_speaker_rate", "fe_party_rate", "speaker_grouped_code"]
+    names = ["statement_original_char_len", "statement_original_word_count", "statement_upper_ratio", "speaker_frequency", "fe_speaker_avg_statement_len", "fe_speaker_rate", "fe_party_rate", "speaker_grouped_code"]
     ready = E.align_schema(train, names, keep=["label"])
     stages = [VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(labelCol="label", regParam=0.01)]
     model = Pipeline(stages=stages).fit(ready)
-    return BN.Bundle(model, names, options.to_dict(), 0.5, maps, 0.5, encoders)
+    return BN.Bundle(model, names, options.to_dict(), 0.5, maps, 0.5, encoders, prepared)
 
 
-@query("A6_bundle_roundtrip")
+@query(
+    "A6_bundle_roundtrip",
+    f"""WITH {FULL_CLAIMS}, {_TRAIN}, n AS (SELECT *, count(*) OVER (PARTITION BY speaker_clean) AS n FROM tr)
+    SELECT 'lr' AS name, CASE WHEN n < 5 THEN 'other' ELSE speaker_clean END AS key, round(avg(label), 6) AS rate FROM n GROUP BY ALL""",
+)
 def a6(spark, sf):
     root = scratch_path(spark, "bundles")
     BN.save_bundle(spark, _trained_bundle(spark, sf), root, "lr")
@@ -328,9 +395,16 @@ def a6(spark, sf):
     return parts.join(BN.list_bundles(spark, root).select("name"), "name")
 
 
-@query("Q3_score_batch")
+@query(
+    "Q3_score_batch",
+    f"WITH {CLAIMS} SELECT id, true AS is_share, true AS label_follows_score, CASE WHEN id % 7 = 0 THEN true END AS same_in_a_part FROM claims WHERE label IS NULL",
+)
 def q3(spark, sf):
+    """Scores of all unlabelled rows, held against those of a seventh of them scored on their own."""
     root = scratch_path(spark, "bundles")
     BN.save_bundle(spark, _trained_bundle(spark, sf), root, "lr")
-    rows = full_claims(spark, sf).where("label is null").drop("label")
-    return Q.score_batch(BN.load_bundle(spark, root, "lr"), rows).withColumn("score", F.round("score", 6))
+    bundle, rows = BN.load_bundle(spark, root, "lr"), full_claims(spark, sf).where("label is null").drop("label")
+    part = Q.score_batch(bundle, rows.where("id % 7 = 0")).select("id", F.col("score").alias("alone"))
+    scores = Q.score_batch(bundle, rows).join(part, "id", "left")
+    follows = F.col("label") == (F.col("score") >= bundle.threshold).cast("int")
+    return scores.select("id", F.col("score").between(0, 1).alias("is_share"), follows.alias("label_follows_score"), (F.abs(F.col("score") - F.col("alone")) < 1e-9).alias("same_in_a_part"))
