@@ -46,7 +46,7 @@ def _ladder(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFra
         (y == 0).cast("bigint").alias("neg"),
     )
     counts = rows.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return running_sums(counts, by, "score", {"tp": "pos", "fp": "neg"}, ascending=False, rows=rows)
+    return running_sums(counts, by, "score", {"tp": "pos", "fp": "neg"}, ascending=False)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:

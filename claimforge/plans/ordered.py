@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .lookups import scalar_struct
 
-SEGMENTS = 16
-CELLS = 1024
+#: Rows a bucket of an order is meant to hold, and how many buckets there are.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 4, 20_000
 
 
 def _before(order: Sequence[str], by: Sequence[str]) -> Window:
@@ -50,62 +49,48 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int | str, hex_d
     )
 
 
-def _value_bucket(source: DataFrame, v: Column) -> Column:
-    """Bucket number that grows with ``v``: quantile segments, each cut into equal ranges.
+def ordered_buckets(df: DataFrame, by: Sequence[str], value: str, ascending: bool = True) -> DataFrame:
+    """Add ``_b``, a bucket number that grows along the order of (by, value).
 
-    Segment bounds are a few dozen numbers worked out first, so every use of the
-    bucket agrees and no segment holds much more than its share of rows, whatever
-    the distribution.
+    The rows are checkpointed first, so that whatever led to them is worked out once, and again in their buckets,
+    so that every later read agrees on them. Bounds come from a sample of the rows themselves, groups and all:
+    buckets hold about as many rows each, however long the tail of the values and however uneven the groups.
     """
-    bounds = sorted(set(source.select(v.alias("_v")).approxQuantile("_v", [i / SEGMENTS for i in range(SEGMENTS + 1)], 0.001)))
-    if len(bounds) < 2:
-        return F.lit(0)
+    kept = cut(df.where(F.col(value).isNotNull()))
+    order = [*map(F.col, by), F.col(value).asc() if ascending else F.col(value).desc()]
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, kept.count() // BUCKET_ROWS))
+    return cut(kept.repartitionByRange(buckets, *order).withColumn("_b", F.spark_partition_id()))
 
-    def cell(i: int) -> Column:
-        inside = F.greatest(F.least((v - bounds[i]) / (bounds[i + 1] - bounds[i]) * (CELLS - 1), F.lit(CELLS - 1.0)), F.lit(0.0))
-        return F.floor(inside).cast("int") + i * CELLS
 
-    def search(first: int, last: int) -> Column:
-        if first == last:
-            return cell(first)
-        mid = (first + last + 1) // 2
-        return F.when(v >= bounds[mid], search(mid, last)).otherwise(search(first, mid - 1))
+def _bucket_offsets(bucketed: DataFrame, by: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """Per group and bucket: each sum's total there (``_t_``), in the buckets before it (``_o_``) and in the group."""
+    totals = bucketed.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    before = _before(["_b"], by)
+    return totals.select(
+        *by, "_b", *[f"_t_{o}" for o in sums],
+        *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums],
+        *[F.sum(f"_t_{o}").over(Window.partitionBy(*by)).alias(f"{o}_all") for o in sums],
+    )
 
-    # Few enough segments that the generated code stays within what the JVM compiles.
-    return search(0, len(bounds) - 2)
 
-
-def running_sums(
-    df: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], ascending: bool = True, rows: DataFrame | None = None
-) -> DataFrame:
-    """Inclusive running sums over a numeric order; one row per (by, value) expected.
-
-    Values fall into order-preserving buckets, bucket totals are summed first, and
-    each bucket is then finished on its own. ``rows`` is the unreduced input with the
-    same columns: bounds and totals come from it, so only the reduced table is
-    shuffled by value. Totals per group are added as ``<out>_all``.
-    """
-    source = df if rows is None else rows
-    bucket = _value_bucket(source, F.col(value).cast("double"))
-    bucket = bucket if ascending else -bucket
-    spans = {f"{o}_all": F.sum(c) for o, c in sums.items()}
-    if by:
-        whole = source.groupBy(*by).agg(*[e.alias(k) for k, e in spans.items()])
-    else:
-        one = scalar_struct(source, **spans)
-    totals = source.groupBy(*by, bucket.alias("_b")).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    offsets = totals.select(
-        *by,
-        "_b",
-        *[F.coalesce(F.sum(f"_t_{o}").over(_before(["_b"], by)), F.lit(0)).alias(f"_o_{o}") for o in sums],
-    )
+def _finished(bucketed: DataFrame, offsets: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], ascending: bool = True) -> DataFrame:
+    """Running sums inside each bucket on top of its offset."""
     order = F.col(value).asc() if ascending else F.col(value).desc()
     inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.withColumn("_b", bucket).join(offsets, [*by, "_b"])
+    joined = bucketed.join(offsets, [*by, "_b"])
     for out, c in sums.items():
         joined = joined.withColumn(out, F.col(f"_o_{out}") + F.sum(c).over(inside))
-    joined = joined.drop("_b", *[f"_o_{o}" for o in sums])
-    return joined.join(whole, list(by)) if by else joined.withColumns({k: one[k] for k in spans})
+    return joined.drop("_b", *[f"{p}{o}" for o in sums for p in ("_o_", "_t_")])
+
+
+def running_sums(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], ascending: bool = True) -> DataFrame:
+    """Inclusive running sums over a numeric order; one row per (by, value) expected.
+
+    Rows fall into even, order-preserving buckets, bucket totals are summed first, and each bucket is then
+    finished on its own. Totals per group are added as ``<out>_all``.
+    """
+    bucketed = ordered_buckets(df, by, value, ascending)
+    return _finished(bucketed, _bucket_offsets(bucketed, by, sums), by, value, sums, ascending)
 
 
 def sorted_index(df: DataFrame, order: Sequence[Column], sums: dict[str, str] | None = None) -> DataFrame:
@@ -140,9 +125,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
     Rows shrink to counts per distinct value first; no task holds a whole column.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    rows = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).withColumn("n", F.lit(1).cast("bigint"))
-    counts = rows.groupBy("column", "value").agg(F.sum("n").alias("n"))
-    placed = running_sums(counts, ["column"], "value", {"upto": "n"}, rows=rows).withColumnRenamed("upto_all", "total")
+    rows = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
+    counts = rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    bucketed, sums = ordered_buckets(counts, ["column"], "value"), {"upto": "n"}
+    offsets = _bucket_offsets(bucketed, ["column"], sums)
+    # Only buckets that hold a wanted rank are ordered row by row.
+    ranks = [rank for q in qs for pos in [(F.col("upto_all") - 1) * float(q)] for rank in (F.floor(pos), F.ceil(pos))]
+    wanted = F.lit(False)
+    for rank in ranks:
+        wanted = wanted | ((rank >= F.col("_o_upto")) & (rank < F.col("_o_upto") + F.col("_t_upto")))
+    placed = _finished(bucketed, offsets.where(wanted), ["column"], "value", sums).withColumnRenamed("upto_all", "total")
     first = F.col("upto") - F.col("n")
 
     def value_at(rank: Column) -> Column:

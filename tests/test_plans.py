@@ -11,7 +11,7 @@ from claimforge.operators import encode as E
 from claimforge.operators import splits as K
 from claimforge.operators import target as G
 from claimforge.plans.lookups import lookup_join
-from claimforge.plans.ordered import exact_quantiles, hash_rank, running_sums, sorted_index
+from claimforge.plans.ordered import exact_quantiles, hash_rank, ordered_buckets, running_sums, sorted_index
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +53,27 @@ def test_running_sums_of_a_heavy_tail(spark):
     assert [down[v] for v in values] == list(range(len(values), 0, -1))
 
 
+def test_buckets_of_a_heavy_tail_are_even_and_the_source_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    # Pareto values, two groups of which one holds a tenth of the rows.
+    tail = F.pow(F.lit(1) - (F.col("id") + 0.5) / 400_000, -1.2)
+    df = spark.range(400_000).select((F.col("id") % 10 == 0).cast("int").alias("g"), tail.alias("v"), F.lit(1).alias("n"))
+    df = df.mapInArrow(seen, df.schema)
+    rows = ordered_buckets(df, ["g"], "v").groupBy("_b", "g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    mean = 400_000 / len({r["_b"] for r in rows})
+    for g, total in ((0, 360_000), (1, 40_000)):
+        part = sorted((r for r in rows if r["g"] == g), key=lambda r: r["_b"])
+        assert sum(r["n"] for r in part) == total and max(r["n"] for r in part) < 2 * mean
+        assert all(a["hi"] < b["lo"] for a, b in zip(part, part[1:]))
+    assert mean == 50_000 and read.value == 400_000
+
+
 def test_running_sums_of_one_value(spark):
     one = spark.createDataFrame([(0.5, 4)], "v double, n bigint")
     assert running_sums(one, [], "v", {"s": "n"}).first()["s"] == 4
