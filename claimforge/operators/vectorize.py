@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.lookups import bounded
+from ..plans.lookups import bounded, split_join
 from .cleaning import require
 
 
@@ -67,10 +67,11 @@ def _vocabulary(tf: DataFrame, df: DataFrame, min_df, max_df, max_features) -> D
 def weigh(tf: DataFrame, key: str, vocab: DataFrame, sublinear: bool = False) -> DataFrame:
     """``tf * idf`` with rows scaled to length one; terms outside the vocabulary go.
 
+    A vocabulary too large to broadcast is met in two parts, so that terms of nearly every text fill no task.
     Row norms use a window over one text's distinct terms, which its own row bounds.
     """
     local = (F.log("tf") + 1) if sublinear else F.col("tf").cast("double")
-    raw = tf.join(vocab.select("term", "idf"), "term").select(key, "term", (local * F.col("idf")).alias("_w"))
+    raw = split_join(tf, vocab.select("term", "idf", "df"), "term", "df").select(key, "term", (local * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("_w") / norm).alias("value"))
 

@@ -20,6 +20,7 @@ from ..session import cut
 BROADCAST_ROWS = 10_000
 BROADCAST_BYTES = 256 * 1024 * 1024
 ROW_BYTES = 64
+HOT_ROWS, HOT_KEY_CHARS = 10_000, 256
 SETTLE_CONF = "spark.claimforge.settleLookups"
 
 
@@ -35,8 +36,8 @@ def bounded(table: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(table) if max_rows <= BROADCAST_ROWS else table
 
 
-def settle(table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Materialise a fitted table and broadcast it if its measured size allows.
+def measured(table: DataFrame) -> tuple[DataFrame, bool | None]:
+    """The table materialised, and whether it is small enough to broadcast; None where nothing is measured.
 
     ``spark.claimforge.settleLookups`` switches this on or off; unset, it is on
     wherever the session is not local.
@@ -45,12 +46,32 @@ def settle(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     chosen = spark.conf.get(SETTLE_CONF, None)
     on = chosen == "true" if chosen is not None else not spark.sparkContext.master.startswith("local")
     if not on:
-        return table
+        return table, None
     kept = cut(table)
     # Every column counts, values that are strings, lists or maps included.
     width = F.length(F.to_json(F.struct(*[F.col(c) for c, kind in kept.dtypes if kind not in ("vector", "variant")])))
     rows, chars = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(kept) if rows * ROW_BYTES + chars * 2 <= BROADCAST_BYTES else kept
+    return kept, rows * ROW_BYTES + chars * 2 <= BROADCAST_BYTES
+
+
+def settle(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Materialise a fitted table and broadcast it if its measured size allows."""
+    kept, small = measured(table)
+    return F.broadcast(kept) if small else kept
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join to a one-row-per-key table too large to broadcast, where few keys hold most of the rows.
+
+    The ``HOT_ROWS`` keys of the largest ``weight`` are broadcast, so their rows stay where they are; only rows
+    of the other keys are shuffled by key. A table that measures small is broadcast whole.
+    """
+    kept, small = measured(table)
+    if small is not False:
+        return rows.join(F.broadcast(kept) if small else kept, key)
+    hot = F.broadcast(kept.where(F.length(key) <= HOT_KEY_CHARS).orderBy(F.desc(weight), key).limit(HOT_ROWS))
+    rest = kept.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
 def lookup_join(

@@ -10,6 +10,7 @@ from claimforge.operators import category as CAT
 from claimforge.operators import encode as E
 from claimforge.operators import splits as K
 from claimforge.operators import target as G
+from claimforge.plans import lookups
 from claimforge.plans.lookups import lookup_join
 from claimforge.plans.ordered import exact_quantiles, hash_rank, ordered_buckets, running_sums, sorted_index
 
@@ -207,3 +208,24 @@ def test_settled_lookups_are_measured(skewed, spark, monkeypatch, limit, hinted)
         assert sorted(map(tuple, out.select("id", "key_frequency").collect())) == want
     finally:
         spark.conf.unset(lookups.SETTLE_CONF)
+
+
+def test_hot_keys_of_a_large_table_are_broadcast(spark, monkeypatch):
+    from claimforge.operators import vectorize as V
+
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(lookups, "HOT_ROWS", 3)
+    text = F.concat(F.lit("the of "), F.concat_ws(" ", *[F.concat(F.lit("word"), (F.col("id") * k % 400).cast("string")) for k in (3, 7, 11)]))
+    df = spark.range(2000).select("id", text.alias("t"))
+    plain = {(r["id"], r["term"]): r["value"] for r in V.tfidf(df, "id", V.word_terms("t")).collect()}
+    spark.conf.set(lookups.SETTLE_CONF, "true")
+    try:
+        split = V.tfidf(df, "id", V.word_terms("t"))
+        got = {(r["id"], r["term"]): r["value"] for r in split.collect()}
+        vocab = V.vocabulary(df, "id", V.word_terms("t"))
+        shuffled = lookups.split_join(V.term_counts(df, "id", V.word_terms("t")), vocab.select("term", "df"), "term", "df")
+        plan = shuffled._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(lookups.SETTLE_CONF)
+    assert got == pytest.approx(plain) and len(got) == len(plain)
+    assert plan.count("strategy=broadcast") >= 2 and shuffled.where("term = 'the'").count() == 2000
