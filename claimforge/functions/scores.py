@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -15,6 +16,43 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def log_gamma(a: Column) -> Column:
+    """ln of the gamma function for a > 0: ten steps of its recurrence, then the asymptotic series."""
+    z = a + 10.0
+    series = (z - 0.5) * F.log(z) - z + 0.5 * F.log(F.lit(2 * math.pi)) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, 5))
+    product = F.lit(1.0)
+    for i in range(10):
+        product = product * (a + float(i))
+    return series - F.log(product)
+
+
+def gamma_tail(a: Column, x: Column, steps: int = 5000) -> Column:
+    """Regularised upper incomplete gamma function Q(a, x).
+
+    Below a + 1 one minus the power series, above it the continued fraction, each folded over ``steps`` terms
+    (more than enough up to a of some hundred thousands, since terms fall off around the square root of a).
+    """
+    start = F.exp(a * F.log(x) - x - log_gamma(a))
+    state = F.struct((1 / a).alias("term"), (1 / a).alias("sum"))
+
+    def add(s: Column, i: Column) -> Column:
+        term = s["term"] * x / (a + i)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    terms = F.sequence(F.lit(1), F.lit(steps))
+    low = 1 - start * F.aggregate(terms, state, add, lambda s: s["sum"])
+    b0 = x + 1 - a
+    # Evaluated from the far end inwards: x+1-a + 2k - k(k-a)/(...).
+    fraction = F.aggregate(F.sequence(F.lit(steps), F.lit(1)), b0 + 2.0 * (steps + 1), lambda f, k: b0 + 2 * (k - 1) - k * (k - a) / f)
+    high = start / fraction
+    return F.when(x <= 0, 1.0).when(x < a + 1, low).otherwise(high)
+
+
+def chi_square_tail(statistic: Column, dof: Column) -> Column:
+    """Probability of a larger chi-square value; null without degrees of freedom."""
+    return F.when(dof > 0, gamma_tail(dof / 2.0, statistic / 2.0))
+
+
 def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
     return ratio(2 * tp, 2 * tp + fp + fn)
 

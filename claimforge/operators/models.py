@@ -15,13 +15,13 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import exact_quantiles
 from .cleaning import require
 from .evaluate import binary_metrics, threshold_sweep
+from .isotonic import IsotonicTable, fit_isotonic
 
 Fit = Callable[[DataFrame], Model]
 
@@ -123,17 +123,17 @@ def predict_with_threshold(df: DataFrame, score: str, threshold: float, out: str
 # --- calibration ------------------------------------------------------------
 
 
-def fit_calibrator(df: DataFrame, score: str, label: str, method: str = "isotonic") -> Model:
+def fit_calibrator(df: DataFrame, score: str, label: str, method: str = "isotonic") -> Model | IsotonicTable:
     if method == "isotonic":
-        return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="_cal").fit(df)
+        return fit_isotonic(df, score, label)
     if method == "sigmoid":
         return LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.0).fit(assemble(df, [score], "_x"))
     raise ValueError("method must be 'isotonic' or 'sigmoid'")
 
 
-def apply_calibrator(model: Model, df: DataFrame, score: str, out: str, method: str = "isotonic") -> DataFrame:
+def apply_calibrator(model: Model | IsotonicTable, df: DataFrame, score: str, out: str, method: str = "isotonic") -> DataFrame:
     if method == "isotonic":
-        return model.transform(df).withColumnRenamed("_cal", out)
+        return model.apply(df, score, out)
     return add_score(model, assemble(df, [score], "_x"), out).drop("_x")
 
 
@@ -181,23 +181,50 @@ def random_draws(space: dict[str, Sequence | Callable], n: int, seed: int = 42)
 def search(
     df: DataFrame, label: str, fold: str, folds: Sequence[int], fit: Callable[..., Model], candidates: Sequence[dict], cutoff: float = 0.5
 ) -> list[dict]:
-    """Candidates ranked by mean fold macro-F1; all folds of a candidate are scored in one job."""
-    ranked = []
-    for params in candidates:
+    """Candidates ranked by mean fold macro-F1, ties in the order given; one aggregate ranks them all."""
+    return _ranked(_votes(df, label, fold, folds, fit, candidates, cutoff, 0), label, fold, candidates)[0]
+
+
+def _votes(df: DataFrame, label: str, fold: str, folds: Sequence[int], fit, candidates: Sequence[dict], cutoff: float, level: int) -> DataFrame:
+    """``_level, _c, fold, label, _p``: every row's prediction by each candidate fitted without its fold."""
+    parts = None
+    for c, params in enumerate(candidates):
         scored = oof_predict(df, fold, folds, lambda d, p=params: fit(d, **p), "_s")
-        per = binary_metrics(predict_with_threshold(scored, "_s", cutoff, "_p"), label, "_p", [fold], ["macro_f1"])
-        row = per.agg(F.avg("macro_f1").alias("m"), F.stddev_pop("macro_f1").alias("s")).first()
-        ranked.append({**params, "mean_macro_f1": row["m"], "std_macro_f1": row["s"]})
-    return sorted(ranked, key=lambda r: -r["mean_macro_f1"])
+        voted = predict_with_threshold(scored, "_s", cutoff, "_p").select(F.lit(level).alias("_level"), F.lit(c).alias("_c"), fold, label, "_p")
+        parts = voted if parts is None else parts.unionByName(voted)
+    return parts
+
+
+def _ranked(votes: DataFrame, label: str, fold: str, candidates: Sequence[dict]) -> dict[int, list[dict]]:
+    """Per level the candidates, best first; one row comes back for each."""
+    per = binary_metrics(votes, label, "_p", ["_level", "_c", fold], ["macro_f1"])
+    rows = per.groupBy("_level", "_c").agg(F.avg("macro_f1").alias("m"), F.stddev_pop("macro_f1").alias("s")).collect()
+    found: dict[int, list[dict]] = {}
+    for r in sorted(rows, key=lambda r: (r["_level"], -r["m"], r["_c"])):
+        found.setdefault(r["_level"], []).append({**candidates[r["_c"]], "mean_macro_f1": r["m"], "std_macro_f1": r["s"]})
+    return found
 
 
-def nested_search(df: DataFrame, label: str, outer: str, folds: Sequence[int], inner: str, inner_folds: Sequence[int], fit, candidates) -> list[dict]:
-    """Best candidate per outer fold, searched on that fold's training rows only."""
-    best = []
+def nested_search(
+    df: DataFrame, label: str, outer: str, folds: Sequence[int], inner: str, inner_folds: Sequence[int], fit, candidates, cutoff: float = 0.5
+) -> list[dict]:
+    """Per outer fold the best candidate, searched on that fold's training rows only, and its macro-F1 on the fold.
+
+    ``df`` should be cached: all fits read the one fold-tagged frame. One aggregate ranks the candidates of all
+    outer folds, another judges the winners on the rows that none of their fits saw.
+    """
+    votes = None
+    for k in folds:
+        part = _votes(df.where(F.col(outer) != k), label, inner, inner_folds, fit, candidates, cutoff, k)
+        votes = part if votes is None else votes.unionByName(part)
+    best = {k: found[0] for k, found in _ranked(votes, label, inner, candidates).items()}
+    judged = None
     for k in folds:
-        top = search(df.where(F.col(outer) != k), label, inner, inner_folds, fit, candidates)[0]
-        best.append({"fold": k, **top})
-    return best
+        model = fit(df.where(F.col(outer) != k), **{n: v for n, v in best[k].items() if n not in ("mean_macro_f1", "std_macro_f1")})
+        part = predict_with_threshold(add_score(model, df.where(F.col(outer) == k), "_s"), "_s", cutoff, "_p").select(outer, label, "_p")
+        judged = part if judged is None else judged.unionByName(part)
+    outside = {r[outer]: r["macro_f1"] for r in binary_metrics(judged, label, "_p", [outer], ["macro_f1"]).collect()}
+    return [{"fold": k, **best[k], "outer_macro_f1": outside.get(k)} for k in folds]
 
 
 def aggregate_hyperparams(df: DataFrame, param: str, value: str, kinds: dict[str, str]) -> DataFrame:

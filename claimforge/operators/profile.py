@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.scores import chi_square_tail
 from ..plans.lookups import lookup_join, scalar_struct
 from ..plans.ordered import exact_quantiles, sorted_index
 from .category import value_counts
@@ -238,8 +239,7 @@ def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence) -> DataFrame:
 def chi_square_independence(df: DataFrame, a: str, b: str) -> DataFrame:
     """Chi-square statistic and degrees of freedom (Yates-corrected for a 2x2 table).
 
-    With ``E = r*c/n`` the sum over all cells, empty ones included, equals
-    ``n * (sum(o^2/(r*c)) - 1)``, so only observed cells are needed.
+    With ``E = r*c/n`` an empty cell adds its E, and all E make n, so only observed cells are needed.
     """
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(row_count().alias("o"))
     rows = cells.groupBy("a").agg(F.sum("o").alias("r"))
@@ -248,26 +248,23 @@ def chi_square_independence(df: DataFrame, a: str, b: str) -> DataFrame:
     nr, nc = rows.agg(row_count()).scalar(), cols.agg(row_count()).scalar()
     placed = lookup_join(lookup_join(cells, rows, "a"), cols, "b")
     o, r, c = (F.col(x).cast("double") for x in ("o", "r", "c"))
-    stats = placed.agg(F.sum(o * o / (r * c)).alias("share"), F.max(F.abs(o - r * c / n)).alias("gap"))
+    e = r * c / n
+    observed = F.sum((o - e) * (o - e) / e) + F.greatest(n - F.sum(e), F.lit(0.0))
+    stats = placed.agg(observed.alias("all"), F.max(F.abs(o - e)).alias("gap"))
     # All four cells of a 2x2 table miss expectation by the same amount.
     shrunk = F.greatest(F.col("gap") - 0.5, F.lit(0.0))
     inverse = [t.agg(F.sum(1.0 / F.col(x))).scalar() for t, x in ((rows, "r"), (cols, "c"))]
     yates = shrunk * shrunk * n * inverse[0] * inverse[1]
     return stats.select(
-        F.when((nr == 2) & (nc == 2), yates).otherwise(n * (F.col("share") - 1)).alias("chi2"),
+        F.when((nr == 2) & (nc == 2), yates).otherwise(F.col("all")).alias("chi2"),
         ((nr - 1) * (nc - 1)).alias("dof"),
     )
 
 
 def chi_square_p_value(df: DataFrame, a: str, b: str) -> DataFrame:
-    """p-value and degrees of freedom from MLlib's independence test on indexed columns."""
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.stat import ChiSquareTest
-
-    clean = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b"))
-    indexed = StringIndexer(inputCols=["_a", "_b"], outputCols=["_x", "_y"]).fit(clean).transform(clean)
-    vec = VectorAssembler(inputCols=["_x"], outputCol="_f").transform(indexed)
-    return ChiSquareTest.test(vec, "_f", "_y", flatten=True).select(F.col("pValue").alias("p_value"), F.col("degreesOfFreedom").alias("dof"), F.col("statistic"))
+    """p-value, degrees of freedom and statistic of ``chi_square_independence``, for any number of categories."""
+    found = chi_square_independence(df, a, b)
+    return found.select(chi_square_tail(F.col("chi2"), F.col("dof")).alias("p_value"), F.col("dof").cast("int").alias("dof"), F.col("chi2").alias("statistic"))
 
 
 def category_profile(df: DataFrame, raw: str, clean: str, flags: dict[str, Column] | None = None, threshold: int = 5) -> DataFrame:

@@ -59,21 +59,31 @@ def bucket_split(df: DataFrame, key: str, cutoff: int = 20, n: int = 100) -> tup
     return bucketed.where(F.col("id_bucket") >= cutoff), bucketed.where(F.col("id_bucket") < cutoff)
 
 
+RUN_OF_COPIES = 10_000
+
+
 def oversample_minority(df: DataFrame, label: str, key: str, minority: int = 0, seed: int = 42) -> DataFrame:
-    """Majority rows plus as many minority rows drawn with replacement.
+    """Majority rows plus as many minority rows drawn with replacement; ``draw`` numbers the copies of a row from 1.
 
-    Each majority rank is one draw: it hashes to the rank of a minority row.
+    Each majority row is one draw: fifteen digits of its md5 pick a minority rank. Draws are counted per rank
+    before anything moves, so however few the minority rows, none is a hot key; a row drawn very often is cut into
+    runs of ``RUN_OF_COPIES`` copies that are dealt out before they are made.
     """
     require(df, label, key)
     y = F.col(label)
     few = hash_rank(df.where(y == minority), [], key, seed)
     many = df.where(y != minority)
-    n_few = df.agg(F.count(F.when(y == minority, 1))).scalar()
-    draws = hash_rank(many, [], key, seed).select(
-        (F.pmod(F.xxhash64("_rank", F.lit(seed)), n_few) + 1).alias("_rank"), F.col("_rank").alias("draw")
-    )
-    drawn = draws.join(few.drop("_group_rows"), "_rank").drop("_rank")
-    return many.withColumn("draw", F.lit(None).cast("bigint")).unionByName(drawn.select(*df.columns, "draw"))
+    n_few = df.agg(F.greatest(F.count(F.when(y == minority, 1)), F.lit(1))).scalar()
+    # Rows without a key draw by what else they hold.
+    plain = [c for c, kind in df.dtypes if c != key and "map<" not in kind and kind != "variant"]
+    own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\x00"), F.xxhash64(*plain).cast("string")))
+    digits = F.conv(F.substring(F.md5(F.concat(own, F.lit(f":{seed}:draw"))), 1, 15), 16, 10).cast("bigint")
+    drawn = many.select((F.pmod(digits, n_few) + 1).alias("_rank")).groupBy("_rank").agg(F.count(F.lit(1)).alias("_copies"))
+    runs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / RUN_OF_COPIES))
+    dealt = few.join(drawn, "_rank").withColumn("_run", F.explode(runs)).repartition("_rank", "_run")
+    first = F.col("_run") * RUN_OF_COPIES + 1
+    copies = dealt.withColumn("draw", F.explode(F.sequence(first, F.least(F.col("_copies"), first + RUN_OF_COPIES - 1))))
+    return many.withColumn("draw", F.lit(None).cast("bigint")).unionByName(copies.select(*df.columns, "draw"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import words as W
 from ..functions.scores import softmax
-from ..plans.lookups import lookup_join
+from ..plans.lookups import lookup_join, settle
 from .cleaning import require
 
 
@@ -167,21 +167,38 @@ NUMERIC_ENTITY_LABELS = ["CARDINAL", "MONEY", "PERCENT", "QUANTITY", "NUM"]
 
 
 def gazetteer_entity_counts(df: DataFrame, key: str, col: str, gazetteer: DataFrame, prefix: str = "entity_") -> DataFrame:
-    """Entity counts per type from ``gazetteer(phrase, type)``; word runs of every length that a phrase has are looked up."""
+    """Entity counts per type from ``gazetteer(phrase, type)``.
+
+    A phrase is filed under the word of it that fewest texts hold. A text's words fetch the phrases filed under
+    them, and only fetched phrases are looked for in the text; rows equal in key and text are searched once.
+    """
     require(gazetteer, "phrase", "type")
-    # As many rows as there are phrase lengths.
-    lengths = sorted(r[0] for r in gazetteer.select(F.size(X.words(F.col("phrase")))).distinct().collect() if r[0] > 0)
     words = X.words(X.text(col))
-    grams = F.concat(*[X.ngrams(words, n, n) for n in lengths]) if lengths else F.array().cast("array<string>")
     kind = F.when(F.col("type").isin(NUMERIC_ENTITY_LABELS), "NUM").when(F.col("type").isin(ENTITY_TYPES), F.col("type")).otherwise("OTHER")
-    table = gazetteer.select(F.col("phrase").alias("token"), kind.alias("kind"))
-    hits = _flat_tokens(df, key, grams).join(table, "token")
+    # Phrases are sought as their words joined by one blank; the number tells phrases listed twice apart.
+    listed = gazetteer.select(F.col("phrase").alias("_p"), X.words(F.col("phrase")).alias("_w"), kind.alias("kind"))
+    listed = listed.where((F.size("_w") > 0) & (F.array_join("_w", " ") == F.col("_p"))).groupBy("_p", "_w", "kind").agg(F.count(F.lit(1)).alias("_times"))
+    texts = df.select(row_key(key, words).alias("_rk"), words.alias("_t")).groupBy("_rk").agg(F.first("_t").alias("_t"))
+    needed = listed.select(F.explode("_w").alias("word")).distinct()
+    held = texts.select(F.explode(F.array_distinct("_t")).alias("word")).join(needed, "word", "left_semi")
+    each = listed.select("*", F.explode(F.array_distinct("_w")).alias("word")).join(held.groupBy("word").agg(F.count(F.lit(1)).alias("texts")), "word", "left")
+    rarest = F.min_by("word", F.struct(F.coalesce("texts", F.lit(0)), F.col("word")))
+    index = each.groupBy("_p", "_w", "kind", "_times").agg(rarest.alias("word"))
+    index = index.select("word", "_w", "kind", "_times", (F.array_position("_w", F.col("word")) - 1).alias("_at"))
+    # Words of the texts stream past the index; only those with a phrase filed under them go on.
+    met = texts.select("_rk", F.posexplode("_t").alias("_pos", "word")).join(settle(index, ["word"]), "word")
+    one = met.where(F.size("_w") == 1).select("_rk", "kind", F.col("_times").alias("n"))
+    start = (F.col("_pos") - F.col("_at") + 1).cast("int")
+    more = met.where((F.size("_w") > 1) & (F.col("_pos") >= F.col("_at"))).groupBy("_rk").agg(F.collect_list(F.struct(start.alias("start"), "_w", "kind", "_times")).alias("_c"))
+    there = F.filter("_c", lambda c: F.slice("_t", c["start"], F.size(c["_w"])) == c["_w"])
+    several = more.join(texts, "_rk").select("_rk", F.explode(there).alias("c")).select("_rk", F.col("c.kind").alias("kind"), F.col("c._times").alias("n"))
+    hits = one.unionByName(several)
     counts = hits.groupBy("_rk").agg(
         F.sum("n").alias(f"{prefix}total_entities"),
         *[F.sum(F.when(F.col("kind") == t, F.col("n")).otherwise(0)).alias(f"{prefix}{t}") for t in ENTITY_TYPES],
     )
     names = [f"{prefix}{t}" for t in ["total_entities", *ENTITY_TYPES]]
-    return _back(df, key, grams, counts, {n: 0 for n in names})
+    return _back(df, key, words, counts, {n: 0 for n in names})
 
 
 def oov_count(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame | None = None, out: str = "spelling_err_count") -> DataFrame:

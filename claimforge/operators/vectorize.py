@@ -96,6 +96,23 @@ def hashing_tfidf(df: DataFrame, terms: Column, n_features: int = 2**18, out: st
     return IDF(inputCol="_tf", outputCol=out).fit(counted).transform(counted).drop("_terms", "_tf")
 
 
+def hashed_counts(df: DataFrame, key: str, terms: Column, n_features: int = 2**20) -> DataFrame:
+    """``(key, term, tf)`` where a term is its bucket: the first eight digits of its md5, modulo ``n_features``.
+
+    Every engine with md5 finds the same buckets; there is no vocabulary to fit or keep.
+    """
+    if not 0 < n_features <= 2**32:
+        raise ValueError("n_features must be between 1 and 2**32")
+    bucket = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint") % n_features
+    return term_counts(df, key, terms).groupBy(key, bucket.alias("term")).agg(F.sum("tf").alias("tf"))
+
+
+def hashed_weights(df: DataFrame, key: str, terms: Column, n_features: int = 2**20) -> DataFrame:
+    """Hashed counts with smoothed idf and rows of unit length, in long form."""
+    tf = hashed_counts(df, key, terms, n_features)
+    return weigh(tf, key, _vocabulary(tf, df, 1, 1.0, None))
+
+
 def assemble_blocks(blocks: dict[str, DataFrame], key: str) -> DataFrame:
     """Long blocks side by side: terms carry their block's name."""
     out: DataFrame | None = None

@@ -69,7 +69,7 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> Data
     kept, small = measured(table)
     if small is not False:
         return rows.join(F.broadcast(kept) if small else kept, key)
-    hot = F.broadcast(kept.where(F.length(key) <= HOT_KEY_CHARS).orderBy(F.desc(weight), key).limit(HOT_ROWS))
+    hot = F.broadcast(kept.where(F.length(F.col(key).cast("string")) <= HOT_KEY_CHARS).orderBy(F.desc(weight), key).limit(HOT_ROWS))
     rest = kept.join(hot.select(key), key, "left_anti")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 

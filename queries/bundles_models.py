@@ -59,13 +59,6 @@ def o2(spark, sf):
     return score_all(O.fit_linear_svm(d, weight="weight", max_iter=15), d)
 
 
-@query("O3_fit_naive_bayes")
-def o3(spark, sf):
-    d = scored(spark, sf)
-    tr, te, _ = V.tfidf_vectors(d, d, V.word_terms("statement"), 500, 2.0)
-    return score_all(O.fit_naive_bayes(tr, kind="complement", alpha=0.5), te)
-
-
 @query("O4_fit_random_forest")
 def o4(spark, sf):
     d = model_frame(spark, sf)
