@@ -33,10 +33,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = leaks.select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """Documents that hold no benchmark item; rows that share an id, or have none, are told apart by their text."""
+    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.xxhash64("doc_id", F.coalesce("text", F.lit("\x00"))))
+    named = docs.withColumn("_leaking_row", row)
+    leaked = find_leaks(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_leaking_row").select("_leaking_row").distinct()
+    return named.join(leaked, "_leaking_row", "left_anti").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
