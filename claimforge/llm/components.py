@@ -24,3 +24,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", F.col("next").alias("component"))
         if not jumped.where(F.col("next") != F.col("component")).limit(1).count():
             return labels
+
+
+def merged_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``node, component``) after more links ``a, b``; only links between components are worked on."""
+    above = labels.select(F.col("node").alias("_node"), "component")
+    one = links.join(above, F.col("a") == F.col("_node"), "left").select("b", F.coalesce("component", "a").alias("a"))
+    two = one.join(above, F.col("b") == F.col("_node"), "left").select("a", F.coalesce("component", "b").alias("b"))
+    between = cut(two.where("a != b").distinct())
+    if not between.take(1):
+        return labels
+    joined = connected_components(between).withColumnsRenamed({"node": "_old", "component": "_new"})
+    moved = labels.join(joined, F.col("component") == F.col("_old"), "left").select("node", F.coalesce("_new", "component").alias("component"))
+    fresh = joined.join(labels, F.col("_old") == F.col("node"), "left_anti").select(F.col("_old").alias("node"), F.col("_new").alias("component"))
+    return cut(moved.unionByName(fresh))

@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from ..plans.ordered import sorted_index
 from ..session import cut
 from .common import drop_written, list_column, mixed, row_keys, shuffles_dropped, slices, split_words, word_hashes, written
-from .components import connected_components
+from .components import connected_components, merged_components
 from .repeats import window_hashes
 
 WORDS, PERCENT = 5, 75
 SKETCH_CELLS, SKETCH_ROWS = 1 << 20, 64
 MAX_MATCHES = 6
-HUB_ROUNDS = 6
+HUBS = 6
 #: Cost of verifying one candidate, in posting-list entries read.
 VERIFY_COST = 20.0
 #: Other documents expected to hold a shingle of which the sketch says nothing.
@@ -223,25 +223,28 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             drop_written(spark, path)
             return similar
 
-        # Every list member against one member as hub, if they meet often enough; other hubs each round, until none links more.
-        links, labels = None, None
-        for turn in range(HUB_ROUNDS):
-            grouped = lists.withColumn("group", F.col("doc"))
-            if labels is not None:
-                grouped = lists.join(labels, lists["doc"] == labels["node"], "left").select(*lists.columns, F.coalesce("component", "doc").alias("group"))
-            hubs = grouped.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "matches", "group")).alias("hub"))
-            stars = grouped.join(hubs, "shingle").where((F.col("group") != F.col("hub.group")) & _similar_size(F.col("n"), F.col("hub.n"), percent))
+        def stars(members: DataFrame, turns: range) -> DataFrame:
+            """Pairs of list members with a hub of their list, one hub a turn, that meet often enough."""
+            picked = [F.min(F.struct(F.xxhash64("doc", F.lit(t)).alias("h"), "doc", "n", "matches", "group")).alias(f"hub{t}") for t in turns]
+            each = F.array_distinct(F.array(*[F.struct(*[F.col(f"hub{t}.{c}") for c in ("doc", "n", "matches", "group")]) for t in turns]))
+            hubs = members.groupBy("shingle").agg(*picked).select("shingle", F.explode(each).alias("hub"))
+            pairs = members.join(hubs, "shingle").where((F.col("group") != F.col("hub.group")) & _similar_size(F.col("n"), F.col("hub.n"), percent))
             ends = F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")
-            met = stars.groupBy(*ends).agg(F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "hub.matches")).alias("need"))
-            new = check(met.where("met >= need"))
-            links = new if links is None else links.unionByName(new)
-            if labels is not None and not new.limit(1).count():
-                break
-            labels = connected_components(links)
+            met = pairs.groupBy(*ends).agg(F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "hub.matches")).alias("need"))
+            return met.where("met >= need")
+
+        def still_open(labels: DataFrame) -> DataFrame:
+            """Members of lists that meet different components."""
+            placed = lists.join(labels, lists["doc"] == labels["node"], "left").select("shingle", "doc", "n", "matches", "level", F.coalesce("component", "doc").alias("group"))
+            several = placed.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
+            return placed.join(several, "shingle")
+
+        # Every list member against one member as hub, then what is still open against several others at once.
+        labels = connected_components(check(stars(lists.withColumn("group", F.col("doc")), range(1))))
+        more = check(stars(still_open(labels), range(1, HUBS)))
+        labels = merged_components(labels, more)
         # What still meets different components: all pairs across them that share enough.
-        placed = lists.join(labels, lists["doc"] == labels["node"], "left").select("shingle", "doc", "n", "matches", "level", F.coalesce("component", "doc").alias("group"))
-        mixed_lists = placed.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
-        open_lists, open_path = written(placed.join(mixed_lists, "shingle"), "open")
+        open_lists, open_path = written(still_open(labels), "open")
         one = open_lists.select("shingle", *[F.col(c).alias(f"{c}1") for c in ("doc", "n", "matches", "level", "group")])
         two = open_lists.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "matches", "level", "group")])
         least = F.least("matches1", "matches2")
@@ -249,9 +252,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             (F.col("group1") < F.col("group2")) & _similar_size(F.col("n1"), F.col("n2"), percent) & (F.greatest("level1", "level2") <= least)
         )
         shared = across.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(least).alias("need"))
-        more = check(shared.where("shared >= need"))
-        if more.limit(1).count():
-            labels = connected_components(links.unionByName(more))
+        labels = merged_components(labels, check(shared.where("shared >= need")))
         for path in (open_path, lists_path):
             drop_written(spark, path)
         names = order.select(F.col("_index").alias("component"), F.struct("_id", "_row").alias("name"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -236,7 +237,7 @@ class ToxicityModel:
         spark = df.sparkSession
         # At most MAX_TERMS terms.
         lexicon = spark.sparkContext.broadcast(self.lexicon)
-        name = f"{spark.sparkContext.applicationId}-{id(self)}"
+        name = uuid.uuid4().hex  # workers outlive models, so a name is never used again
         kept = [c for c in df.columns if c != text]
         schema = df.select(*kept).schema
 

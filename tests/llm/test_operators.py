@@ -539,3 +539,33 @@ def test_digest_of_kept_words(spark):
     df = spark.createDataFrame([(1, "a  b\tc")], "doc_id long, text string")
     row = without_repeats(df).select(F.sha2("kept_text", 256)).first()
     assert row[0] == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_models_in_turn_keep_their_own_scores(spark, monkeypatch):
+    """Workers outlive models; a model that takes another's place in memory must not take its lexicon."""
+    import builtins
+
+    from claimforge.llm import toxicity as T
+
+    monkeypatch.setattr(T, "id", lambda x: 7, raising=False)
+    df = spark.createDataFrame([(1, "a foolish thing"), (2, "a barbaric thing")], "doc_id long, text string")
+
+    def scores(word):
+        model = T.ToxicityModel({word: 3.0}, [], 0.0)
+        return {r["doc_id"]: tuple(r["features"]) for r in model.with_features(df, "text").collect()}
+
+    first, second, third = scores("foolish"), scores("barbaric"), scores("foolish")
+    assert first == third != second and builtins.id is not T.__dict__.get("id")
+
+
+def test_components_after_more_links(spark):
+    from claimforge.llm.components import connected_components, merged_components
+
+    first = [(1, 2), (2, 3), (10, 11), (20, 21)]
+    more = [(3, 10), (30, 31), (31, 1), (20, 21), (40, 41)]
+    schema = "a long, b long"
+    labels = connected_components(spark.createDataFrame(first, schema))
+    got = {r["node"]: r["component"] for r in merged_components(labels, spark.createDataFrame(more, schema)).collect()}
+    want = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(first + more, schema)).collect()}
+    assert got == want
+    assert merged_components(labels, spark.createDataFrame([], schema)) is labels

@@ -20,6 +20,8 @@ def test_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKS)))
 def test_rows(spark, name):
     n = spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
+    if name.startswith("op11_"):
+        n = 16 * spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count()
     rows = QUERIES[name](spark, SF_DIR).count()
     assert rows >= n if name.startswith("op1_") else rows > 0 if name.startswith("op3_") else rows == n
 
@@ -36,6 +38,17 @@ def test_stages(spark):
     assert counts[0] > counts[1] > counts[2] > counts[3] == counts[4] <= counts[5]
 
 
+def test_only_the_leaking_row_goes(spark, tmp_path):
+    leak = " ".join(f"question {i} asks about river {i * 7} and hill {i * 3}" for i in range(8))
+    clean = " ".join(f"plain {i} words of harbour {i * 5} and field {i * 11}" for i in range(30))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "so " + leak, "x"), (None, clean, "x"), (5, leak + " then", "x"), (5, clean + " more", "x"), (6, None, "x"), (7, "", "x"), (5, clean + " more", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cosine string")
+    kept = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if leak not in (r[1] or "")), key=str)
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
