@@ -16,7 +16,7 @@ HEADLINE = [
     "D4_keep_top_n", "E4_primary_topic", "G1_group_mean_feature", "G3_oof_rate", "G6_smoothed_oof_encode", "H1_standardize",
     "I1_tfidf", "I4_word_tfidf_sublinear", "I7_vocabulary", "J1_ordinal_encode", "K2_stratified_folds_orders", "L1_lookup_join",
     "M4_describe", "M5_duplicate_report", "M10_cumulative_coverage", "M13_chi_square_independence", "N3_roc_auc_lineitem",
-    "N4_average_precision_lineitem", "N7_threshold_sweep_lineitem", "P1_blend_search", "Q1_prepare_default", "Q5_preset_subject_rare_safe",
+    "N4_average_precision_lineitem", "N7_threshold_sweep_lineitem", "P1_blend_search", "Q1_prepare_default", "Q1_prepare_expanded", "Q5_preset_subject_rare_safe",
 ]
 
 
