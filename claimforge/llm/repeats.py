@@ -6,11 +6,13 @@ length, and so on to the wanted one, or until no candidate survives:
 1. At the seed length one window in every stretch is enough: each wanted window keeps the smallest hash of
    the seed windows in it (its anchor), so equal windows keep equal anchors. About a sixth of the windows
    is counted. An anchor seen once cannot lie in a repeated window.
-2. Windows of twice the length that contain a survivor are counted, by 96 bits of hash.
+2. Windows of twice the length whose own anchor survived (later: that contain a survivor) are counted, by 96
+   bits of hash.
 3. At the wanted length a window is marked unless it is its first occurrence; marked windows are cut out.
 
-Counts combine before the shuffle, and occurrences return to their counts by joins that adaptive execution
-splits, so a passage shared by a third of the corpus is no hot task. Texts move twice.
+Counts combine before the shuffle. Occurrences return to them in two parts: the ``HOT`` commonest hashes are
+broadcast, so their occurrences stay where they are, and no other hash can hold more than one in ``HOT`` of
+the rows that are shuffled. A passage shared by a third of the corpus is no hot task. Texts move twice.
 
 Defined cases: null and empty texts have no words; the order is key (null first), then a hash of the text
 for rows of one key, then place; rows equal in key and text are one document recorded twice and get the
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from .common import drop_written, list_column, mixed, row_keys, shuffles_dropped
 WINDOW, SEED = 20, 10
 #: A window's place in the corpus is one number: its document's place in key order, then its first word.
 PLACE_BITS = 28
+#: Hashes broadcast with their counts, the commonest first.
+HOT = 10_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 KEYS = ("first-hash-key-0", "second-hash-key1")
 
@@ -94,22 +99,50 @@ def anchors(texts: pa.Array, window: int, seed: int) -> tuple[np.ndarray, np.nda
 
 
 def find_anchors(keyed: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """``_id, _row, anchors``: hash and place of each anchor."""
+    """``_id, _row, doc, anchors``: hash and place of each anchor; ``doc`` numbers the rows of one written result."""
     kind = keyed.schema["_id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "_text"):
             hashes, places, ends = anchors(batch.column("_text"), window, seed)
             pairs = pa.StructArray.from_arrays([pa.array(hashes.view(np.int64)), pa.array(places.astype(np.int32))], ["h", "p"])
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), list_column(pairs, ends)], ["_id", "_row", "anchors"])
+            number = pa.array(first + np.arange(batch.num_rows))
+            first += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), number, list_column(pairs, ends)], ["_id", "_row", "doc", "anchors"])
 
-    return keyed.mapInArrow(find, f"_id {kind}, _row bigint, anchors array<struct<h:bigint,p:int>>")
+    return keyed.mapInArrow(find, f"_id {kind}, _row bigint, doc bigint, anchors array<struct<h:bigint,p:int>>")
 
 
-def extended(keyed: DataFrame, survivors: DataFrame, length: int) -> DataFrame:
-    """``at, h1, h2``: place and hashes of the windows of ``length`` that contain a survivor of half the length.
+def repeated_rows(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` are in ``counts`` (with their number ``n``), and its other columns.
 
-    ``survivors`` has ``_id, _row, _index, places``.
+    The ``HOT`` keys of the largest ``n`` are broadcast; only rows of other keys are shuffled.
+    """
+    hot = F.broadcast(counts.orderBy(F.desc("n"), *keys).limit(HOT))
+    rest = counts.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys)).drop("n")
+
+
+def candidates(words: np.ndarray, alive: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Which windows of ``length`` may be repeated, by the survivors of half the length in them.
+
+    With ``seed`` (half the length) survivors are anchors, and a window's own one, its least seed hash, must be
+    among them; 0 takes any survivor.
+    """
+    half = length // 2
+    inside = _sliding(alive.astype(np.uint64), half + 1, np.maximum) == 1
+    if not seed:
+        return inside
+    hashes = mixed(window_hashes(words, seed))
+    kept = np.where(alive, hashes, np.uint64(2**64 - 1))
+    return inside & (_sliding(kept, half + 1, np.minimum) == _sliding(hashes, half + 1, np.minimum))
+
+
+def extended(keyed: DataFrame, survivors: DataFrame, length: int, seed: int = 0) -> DataFrame:
+    """``at, h1, h2``: place and hashes of the windows of ``length`` that may be repeated by their survivors.
+
+    ``survivors`` has ``_id, _row, _index, places``; ``seed`` is given where they are anchors.
     """
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +153,12 @@ def extended(keyed: DataFrame, survivors: DataFrame, length: int) -> DataFrame:
                 raise ValueError("a document has more words than a place can count")
             lists = batch.column("places")
             text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            alive = np.zeros(len(words), np.uint64)
-            alive[starts[text] + lists.flatten().to_numpy(zero_copy_only=False)] = 1
-            half = length // 2
-            inside = _sliding(alive, half + 1, np.maximum)
-            at = np.flatnonzero((inside == 1) & (left >= length))
+            alive = np.zeros(len(words), bool)
+            alive[starts[text] + lists.flatten().to_numpy(zero_copy_only=False)] = True
+            each = word_hashes(words, KEYS[0])
+            at = np.flatnonzero(candidates(each, alive, length, seed) & (left >= length))
             row = np.searchsorted(starts, at, "right") - 1
-            first, second = (mixed(window_hashes(word_hashes(words, k), length))[at] for k in KEYS)
+            first, second = (mixed(window_hashes(w, length))[at] for w in (each, word_hashes(words, KEYS[1])))
             order = batch.column("_index").to_numpy(zero_copy_only=False)[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array((order << PLACE_BITS) + place[at]), pa.array(first.view(np.int64)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["at", "h1", "h2"]
@@ -148,18 +180,20 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     order = sorted_index(keyed.select("_id", "_row").distinct(), [F.col("_id").asc_nulls_first(), F.col("_row")])
     with shuffles_dropped(spark):
         found, path = written(find_anchors(keyed, window, seed), "anchors")
-        rows = found.select("_id", "_row", F.inline("anchors"))
-        twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        by_row = rows.join(twice, "h").groupBy("_id", "_row").agg(F.collect_set("p").alias("places"))
+        rows = found.select("doc", F.inline("anchors"))
+        twice = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        by_doc = repeated_rows(rows, twice, ["h"]).groupBy("doc").agg(F.collect_set("p").alias("places"))
+        # A document recorded twice has two numbers and the same places.
+        by_row = by_doc.join(found.select("_id", "_row", "doc"), "doc").dropDuplicates(["_id", "_row"])
         names = order.select(F.col("_id").alias("_order_id"), F.col("_row").alias("_order_row"), "_index")
         same = F.col("_id").eqNullSafe(F.col("_order_id")) & (F.col("_row") == F.col("_order_row"))
         survivors = cut(by_row.join(names, same).select("_id", "_row", "_index", "places"))
         drop_written(spark, path)
         length = 2 * seed
         while True:
-            windows, path = written(extended(keyed, survivors, length), "windows")
-            first = windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-            again = windows.join(first, ["h1", "h2"])
+            windows, path = written(extended(keyed, survivors, length, seed if length == 2 * seed else 0), "windows")
+            first = cut(windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+            again = repeated_rows(windows, first, ["h1", "h2"])
             last = length == window
             again = again.where("at != first") if last else again
             places = again.select(F.shiftright("at", PLACE_BITS).alias("_index"), F.col("at").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("p"))
