@@ -10,9 +10,9 @@ length, and so on to the wanted one, or until no candidate survives:
    bits of hash.
 3. At the wanted length a window is marked unless it is its first occurrence; marked windows are cut out.
 
-Counts combine before the shuffle. Occurrences return to them in two parts: the ``HOT`` commonest hashes are
-broadcast, so their occurrences stay where they are, and no other hash can hold more than one in ``HOT`` of
-the rows that are shuffled. A passage shared by a third of the corpus is no hot task. Texts move twice.
+Counts combine before the shuffle. Occurrences return to them in two parts: hashes with more than
+one in ``HOT`` of the repeated rows, fewer than ``HOT`` by arithmetic, are broadcast, so their occurrences stay
+where they are; only rows of the others are shuffled. A passage shared by a third of the corpus is no hot task. Texts move twice.
 
 Defined cases: null and empty texts have no words; the order is key (null first), then a hash of the text
 for rows of one key, then place; rows equal in key and text are one document recorded twice and get the
@@ -36,7 +36,7 @@ from .common import drop_written, list_column, mixed, row_keys, shuffles_dropped
 WINDOW, SEED = 20, 10
 #: A window's place in the corpus is one number: its document's place in key order, then its first word.
 PLACE_BITS = 28
-#: Hashes broadcast with their counts, the commonest first.
+#: A hash with more than one in ``HOT`` of the repeated rows is broadcast; there are fewer than ``HOT`` such hashes.
 HOT = 10_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 KEYS = ("first-hash-key-0", "second-hash-key1")
@@ -117,10 +117,11 @@ def find_anchors(keyed: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
 def repeated_rows(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose ``keys`` are in ``counts`` (with their number ``n``), and its other columns.
 
-    The ``HOT`` keys of the largest ``n`` are broadcast; only rows of other keys are shuffled.
+    Keys with more than one in ``HOT`` of these rows are broadcast; only rows of other keys are shuffled.
     """
-    hot = F.broadcast(counts.orderBy(F.desc("n"), *keys).limit(HOT))
-    rest = counts.join(hot.select(*keys), keys, "left_anti")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * HOT > total
+    hot, rest = F.broadcast(counts.where(is_hot)), counts.where(~is_hot)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys)).drop("n")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from claimforge.llm import decontaminate, id_files, packing, quality, range_coder, sanitise, toxicity, url_rules
+from claimforge.llm import decontaminate, id_files, packing, quality, range_coder, repeats, sanitise, toxicity, url_rules
 from claimforge.llm.components import connected_components
 from claimforge.llm.jaccard_join import one_of_each, similar_documents
 from claimforge.llm.repeats import without_repeats
@@ -275,8 +275,9 @@ def brute_kept(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "seed"), [(4, 2), (8, 2), (6, 3)])
-def test_repeats_equal_brute_force(spark, window, seed):
+@pytest.mark.parametrize(("window", "seed", "hot"), [(4, 2, 10_000), (4, 2, 40), (8, 2, 40), (6, 3, 1)])
+def test_repeats_equal_brute_force(spark, monkeypatch, window, seed, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)  # all, some and no hashes are broadcast
     r = random.Random(window)
     rows = [(i, " ".join(r.choice("abcd") for _ in range(r.randint(0, 60)))) for i in range(50)]
     got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window, seed=seed)
