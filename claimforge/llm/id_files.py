@@ -32,7 +32,7 @@ ENCODE_BYTES = 16_000_000
 CRC_POLYNOMIAL = 0xEDB88320
 
 
-def write_ids(df: DataFrame, path: str, tokenizer: str, alphabet: int, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
+def write_ids(df: DataFrame, path: str, tokenizer: str, alphabet: int, key: str = "doc_id", text: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Encode every text, end it with ``end_id``, and write blocks in key order under ``path``.
 
     Columns: ``part, block`` (order of blocks), ``first`` (ids of the part before the block), ``n_ids``,
@@ -64,12 +64,12 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, alphabet: int, key: str
             ids = np.insert(ids, starts[1:], np.uint32(end_id))
             firsts = (starts + np.arange(len(starts))).tolist()
             for k, a, z in zip(batch.column("_key").to_pylist(), firsts[:-1], firsts[1:], strict=True):
-                if held and held + z - a > BLOCK_IDS:
+                if held and held + z - a > block_ids:
                     yield block(keys, sizes, runs, None)
                     keys, sizes, runs, held = [], [], [], 0
-                if z - a > BLOCK_IDS:
-                    for piece, at in enumerate(range(a, z, BLOCK_IDS)):
-                        yield block([k], [min(BLOCK_IDS, z - at)], [ids[at : min(at + BLOCK_IDS, z)]], piece)
+                if z - a > block_ids:
+                    for piece, at in enumerate(range(a, z, block_ids)):
+                        yield block([k], [min(block_ids, z - at)], [ids[at : min(at + block_ids, z)]], piece)
                     continue
                 keys.append(k)
                 sizes.append(z - a)
@@ -84,9 +84,11 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, alphabet: int, key: str
     ).write.parquet(path)
 
 
-def read_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of each document or piece: ``part, block, at, key, start, piece, ids``; ``start`` counts within the part."""
-    blocks = spark.read.parquet(path)
+def read_pieces(blocks: DataFrame) -> DataFrame:
+    """Ids of each document or piece: ``part, block, at, key, start, piece, ids``; ``start`` counts within the part.
+
+    ``blocks`` are rows of the table of blocks, all or some.
+    """
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,30 +145,36 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     Offsets of the parts come from one row per written part. The checksums of a document that spans blocks
     are joined by arithmetic, so its ids need not meet again.
     """
-    totals = spark.read.parquet(path).groupBy("part").agg(F.sum("n_ids").alias("_n"))
+    blocks = spark.read.parquet(path)
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    found = read_pieces(spark, path).select(
-        "part", "block", "at", "key", "start", "piece", (F.length("ids") / 4).cast("bigint").alias("n"), F.crc32("ids").alias("crc")
-    )
-    combine = F.udf(lambda pieces: pieces and joined_crc([(p["crc"], 4 * p["n"]) for p in pieces]), "bigint")
-    several = F.when(F.size("_pieces") > 1, F.col("_pieces"))
-    rows = (
-        found.groupBy("part", (F.col("block") - F.coalesce("piece", F.lit(0))).alias("_block"), "at")
+    combine = F.udf(lambda pieces: joined_crc([(p["crc"], 4 * p["n"]) for p in pieces]), "bigint")
+
+    def digests(some: DataFrame) -> DataFrame:
+        n, crc = (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+        return read_pieces(some).select("part", "block", "key", "start", "piece", n, crc)
+
+    names = ["part", "key", "start", "n_tokens", "ids_crc32"]
+    # Only a document longer than a block comes in pieces, each a block of its own.
+    pieces = (
+        digests(blocks.where("piece is not null"))
+        .groupBy("part", (F.col("block") - F.col("piece")).alias("_first"))
         .agg(
-            F.first("key").alias("key"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"),
-            F.array_sort(F.collect_list(F.struct("piece", "crc", "n"))).alias("_pieces"),
+            F.first("key").alias("key"), F.min("start").alias("start"), F.sum("n_tokens").alias("_n"),
+            F.array_sort(F.collect_list(F.struct("piece", F.col("ids_crc32").alias("crc"), F.col("n_tokens").alias("n")))).alias("_pieces"),
         )
-        .select("part", "key", "start", "n_tokens", F.coalesce(combine(several), F.col("_pieces")[0]["crc"]).alias("ids_crc32"))
+        .select("part", "key", "start", F.col("_n").alias("n_tokens"), combine("_pieces").alias("ids_crc32"))
     )
+    rows = digests(blocks.where("piece is null")).select(*names).unionByName(pieces)
     # One row per written part: as many as a shuffle has partitions.
     rows = rows.join(F.broadcast(parts), "part")
     return rows.select("key", (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(df: DataFrame, tokenizer: str, alphabet: int, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
+def round_trip(df: DataFrame, tokenizer: str, alphabet: int, key: str = "doc_id", text: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write to a fresh table of the shared folder and return its documents' digests."""
     spark = df.sparkSession
     path = scratch_path(spark, "ids")
-    write_ids(df, path, tokenizer, alphabet, key, text, end_id)
+    write_ids(df, path, tokenizer, alphabet, key, text, end_id, block_ids)
     return document_digests(spark, path).withColumnRenamed("key", key)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def test_encoder_equals_library(library):
 # --- id files --------------------------------------------------------------
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 7, 500, 8191, 8193, 30_000])
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 128, 129, 500, 8191, 8193, 30_000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
     for ids in (rng.integers(0, 1000, n), np.zeros(n, np.int64), np.resize(rng.integers(0, 1000, 50), n)):
@@ -134,8 +135,18 @@ def test_coder_learns_and_notices_damage():
         range_coder.encode_block(np.array([1000]), 1000)
 
 
-def test_id_files_of_odd_rows(odd, empty, library):
-    got = sorted((r for r in id_files.round_trip(odd, WORD_BPE, 49_408).collect()), key=lambda r: r["start"])
+def test_coder_beats_counting_single_ids():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].combine_chunks()
+    ids = WordEncoder(WORD_BPE).encode(texts)[0]
+    counts = np.bincount(ids)
+    shares = counts[counts > 0] / len(ids)
+    blocks = [range_coder.encode_block(ids[i : i + range_coder.BLOCK_IDS], 49_408) for i in range(0, len(ids), range_coder.BLOCK_IDS)]
+    assert 8 * sum(map(len, blocks)) / len(ids) < -(shares * np.log2(shares)).sum()
+
+
+@pytest.mark.parametrize("block_ids", [id_files.BLOCK_IDS, 500])
+def test_id_files_of_odd_rows(odd, empty, library, block_ids):
+    got = sorted((r for r in id_files.round_trip(odd, WORD_BPE, 49_408, block_ids=block_ids).collect()), key=lambda r: r["start"])
     want = Counter()
     for i, t, *_ in odd_rows():
         ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
