@@ -306,6 +306,25 @@ def test_repeats_of_odd_rows(odd, empty):
 # --- quality ---------------------------------------------------------------
 
 
+def test_quality_of_a_language_without_a_list(spark):
+    r = random.Random(1)
+    italian = "di che e il la non per una sono con del gli".split()
+
+    def text(common, share=0.35, n=400):
+        return " ".join(r.choice(common) if r.random() < share else "".join(r.choice("aeiolnrstc") for _ in range(r.randint(4, 9))) for _ in range(n))
+
+    rows = [(text(quality.COMMON_WORDS["en"]), "en") for _ in range(30)] + [(text(italian), "it") for _ in range(30)]
+    rows += [(text(italian, 0.0), "it"), (text(italian), None), (text(italian), "xx"), (text(quality.COMMON_WORDS["en"]), None)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string")
+    counts = Counter(w for t, k in rows if k == "it" for w in t.split())
+    assert [(x["_lang"], x["_own"]) for x in quality.fit_lists(df).collect()] == [("it", sorted(counts, key=lambda w: (-counts[w], w))[:12])]
+    for judged in (quality.judge_quality(df), quality.judge_quality(df, keep_text=False), quality.judge_quality(df, quality.fit_references(df))):
+        got = {x["doc_id"]: x for x in judged.collect()}
+        assert [got[i]["kept"] for i in range(64)] == [True] * 60 + [False] + [True] * 3
+        assert [got[i]["word_distance"] is None for i in range(59, 64)] == [False, False, True, True, False]
+        assert "_own" not in judged.columns and "_fits" not in judged.columns
+
+
 def test_quality_counts_and_verdicts(spark, odd, empty):
     r = random.Random(0)
     common = quality.COMMON_WORDS["en"]
