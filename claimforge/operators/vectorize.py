@@ -1,7 +1,7 @@
 """Text vectorisation in long form: rows of ``(key, term, value)``.
 
-The long form never widens with the vocabulary. Terms are counted per row before
-the first shuffle, so what moves is one record per distinct term of a text.
+The long form never widens with the vocabulary. Texts are dealt by key before they are taken
+apart, so terms are counted and rows scaled where they are made; only sums by term move.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.lookups import bounded, split_join
+from ..plans.lookups import bounded, dealt, split_join
 from .cleaning import require
 
 
@@ -31,7 +31,7 @@ def char_terms(col: str, ngram: tuple[int, int] = (3, 5), word_boundary: bool =
 def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
     """``(key, term, tf)``."""
     require(df, key)
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return dealt(df, key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def count_ngrams(df: DataFrame, key: str, col: str, ngram: tuple[int, int] = (1, 2)) -> DataFrame:
@@ -71,7 +71,7 @@ def weigh(tf: DataFrame, key: str, vocab: DataFrame, sublinear: bool = False) ->
     Row norms use a window over one text's distinct terms, which its own row bounds.
     """
     local = (F.log("tf") + 1) if sublinear else F.col("tf").cast("double")
-    raw = split_join(tf, vocab.select("term", "idf", "df"), "term", "df").select(key, "term", (local * F.col("idf")).alias("_w"))
+    raw = split_join(tf, vocab.select("term", "idf", "df"), "term", "df", lambda cold: dealt(cold, key)).select(key, "term", (local * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("_w") / norm).alias("value"))
 
@@ -104,7 +104,8 @@ def hashed_counts(df: DataFrame, key: str, terms: Column, n_features: int = 2**2
     if not 0 < n_features <= 2**32:
         raise ValueError("n_features must be between 1 and 2**32")
     bucket = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint") % n_features
-    return term_counts(df, key, terms).groupBy(key, bucket.alias("term")).agg(F.sum("tf").alias("tf"))
+    found = dealt(df, key).select(key, F.explode(terms).alias("term")).select(key, bucket.alias("term"))
+    return found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def hashed_weights(df: DataFrame, key: str, terms: Column, n_features: int = 2**20) -> DataFrame:
