@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import words as W
 from ..functions.scores import softmax
-from ..plans.lookups import lookup_join, settle
+from ..plans.lookups import lookup_join, settle, split_join
 from .cleaning import require
 
 
@@ -219,9 +219,11 @@ def rare_token_features(
 
     ``fit_on`` holds the same keys and tokens in a frame that is cheaper to read.
     """
-    flat = _flat_tokens(df if fit_on is None else fit_on, key, F.col(tokens))
-    freq = frequencies if frequencies is not None else flat.groupBy("token").agg(F.sum(F.col("n") * F.col("m")).alias("freq"))
-    flat = lookup_join(flat, freq.select("token", "freq"), "token", defaults={"freq": 0})
+    seen = df if fit_on is None else fit_on
+    flat = _flat_tokens(seen, key, F.col(tokens))
+    freq = frequencies if frequencies is not None else seen.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    # The commonest tokens meet their counts where the rows are; only the others are shuffled by token.
+    flat = split_join(flat.select("_rk", "token", "n"), freq.select("token", "freq"), "token", "freq", how="left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     per_row = flat.groupBy("_rk").agg(
         F.sum(F.when(F.col("freq") <= threshold, F.col("n")).otherwise(0)).alias("rare_token_count"),
         (F.sum(F.col("freq") * F.col("n")) / F.sum("n")).alias("avg_token_freq"),
