@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import words as W
 from ..plans.ordered import sorted_index
-from ..plans.lookups import fixed_table, lookup_join
+from ..plans.lookups import fixed_table, lookup_join, settle
 
 
 def require(df: DataFrame, *cols: str) -> None:
@@ -78,21 +78,19 @@ def remove_stopwords(
 def normalize_tokens_by_dictionary(df: DataFrame, key: str, tokens: str, dictionary: DataFrame) -> DataFrame:
     """Replace each token by its base form from ``dictionary(form, base)``, keeping order.
 
-    Stemmers and lemmatisers enter as such a table. Distinct forms are looked up
-    once; a row's list is rebuilt from its own tokens only.
+    Stemmers and lemmatisers enter as such a table. Only the forms of a row that are in it
+    travel, to meet the row's own list again.
     """
     require(dictionary, "form", "base")
     # Rows are told apart by key and tokens, so that rows sharing a key, or without one, keep their own lists.
     marked = df.withColumn("_rk", F.concat_ws("\x1f", F.coalesce(F.col(key).cast("string"), F.lit("\x00")), F.xxhash64(tokens).cast("string")))
-    distinct = marked.groupBy("_rk").agg(F.first(tokens).alias("_t"))
-    flat = distinct.select("_rk", F.posexplode("_t").alias("_pos", "form"))
-    mapped = lookup_join(flat, dictionary.select("form", "base").dropDuplicates(["form"]), "form")
-    lists = mapped.groupBy("_rk").agg(
-        F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("base", "form").alias("t")))).alias("_l")
-    )
-    rebuilt = lists.select("_rk", F.transform("_l", lambda s: s["t"]).alias("_new"))
+    known = settle(dictionary.groupBy("form").agg(F.min("base").alias("base")).where(F.col("base").isNotNull()), ["form"])
+    met = marked.select("_rk", F.explode(F.array_distinct(tokens)).alias("form")).join(known, "form")
+    bases = met.groupBy("_rk").agg(F.map_from_entries(F.collect_set(F.struct("form", "base"))).alias("_bases"))
+    mapped = F.transform(tokens, lambda t: F.coalesce(F.element_at("_bases", t), t))
+    new = F.when(F.col("_bases").isNull(), F.col(tokens)).otherwise(mapped)
     empty = F.array().cast("array<string>")
-    return marked.join(rebuilt, "_rk", "left").withColumn(tokens, F.coalesce("_new", empty)).drop("_new", "_rk")
+    return marked.join(bases, "_rk", "left").withColumn(tokens, F.coalesce(new, empty)).drop("_bases", "_rk")
 
 
 def expand_contractions(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
