@@ -50,7 +50,7 @@ def literal_count(c: Column, ch: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace from both ends."""
-    return sub(c, rf"^{W.SPACE}+|{W.SPACE}+$", "")
+    return F.btrim(c, F.lit(W.SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -174,12 +174,11 @@ def light_clean(c: Column | str, variant: str) -> Column:
     """Four short cleaners: ``numbers``, ``social``, ``brackets``, ``annotations``."""
     x = text(c)
     if variant == "numbers":
-        return squeeze(sub(sub(F.lower(x), r"\p{Nd}+", " number "), W.other_than("a-zA-Z") + "+", " "))
+        return F.trim(sub(sub(F.lower(x), r"\p{Nd}+", " number "), "[^a-zA-Z]+", " "))
     if variant == "social":
         x = sub(F.lower(x), rf"http{W.NOT_SPACE}+|www{W.NOT_SPACE}+", "")
         x = sub(x, rf"[@#][{W.WORD_CHARS}]+", "")
-        x = F.translate(x, W.ASCII_PUNCTUATION, "")
-        return squeeze(sub(x, r"\p{Nd}+", ""))
+        return squeeze(sub(x, r"[!-/:-@\[-`{-~\p{Nd}]+", ""))
     if variant == "brackets":
         x = sub(F.lower(x), r"\[[^\n]*?\]", "")
         return squeeze(sub(x, W.other_than("a-z0-9-") + "+", ""))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimforge.functions import text as X
+from claimforge.functions import words as W
 from claimforge.operators import cleaning as C
 from claimforge.operators import textstats as S
 
@@ -117,3 +118,16 @@ def test_shape_and_title_flags(spark):
     df = spark.createDataFrame([("Dr. A/B (x)", "dr. a b x"), ("drastic", "drastic")], "r string, c string")
     out = S.title_flag(S.shape_features(df, "r", "c", ["slash", "parentheses", "comma"], "p"), "r").collect()
     assert [tuple(r)[2:] for r in out] == [(9, 4, 1, 1, 0, 1), (7, 1, 0, 0, 0, 0)]
+
+
+def test_trimmed_whitespace_is_all_whitespace(spark):
+    points = [c for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(f"{chr(c)} {chr(c)}a{chr(c)}b c{chr(c)} d{chr(c)}\n",) for c in points], "t string")
+    t = F.col("t")
+    same = X.strip(t) == F.regexp_replace(t, f"^{W.SPACE}+|{W.SPACE}+$", "")
+    numbers = F.regexp_replace(F.regexp_replace(F.lower(t), r"\p{Nd}+", " number "), W.other_than("a-zA-Z") + "+", " ")
+    social = F.regexp_replace(F.translate(F.regexp_replace(F.lower(t), f"[@#][{W.WORD_CHARS}]+", ""), W.ASCII_PUNCTUATION, ""), r"\p{Nd}+", "")
+    old = [F.trim(F.regexp_replace(c, f"{W.SPACE}+", " ")) for c in (numbers, social)]
+    light = [X.light_clean("t", v) == o for v, o in zip(("numbers", "social"), old, strict=True)]
+    assert df.where(~(same & light[0] & light[1])).count() == 0
+    assert "regexp_replace" not in str(X.strip(t))
