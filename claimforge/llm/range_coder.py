@@ -167,13 +167,13 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     steps, lanes = layout(n)
     grid = np.zeros(steps * lanes, np.int64)
     grid[:n] = ids
-    grid = grid.reshape(lanes, steps)
+    grid = grid.reshape(lanes, steps).T.copy()  # a step's ids side by side
     model = Model(alphabet, lanes)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     out_lane, out_word = [], []
     for t in range(steps if n else 0):
         k = -(-(n - t) // steps)
-        now = grid[:k, t]
+        now = grid[t, :k]
         model.predict(k)
         start, share = model.interval(now)
         unit = size[:k] >> SHIFT
@@ -221,7 +221,7 @@ def decode_block(block: bytes) -> np.ndarray:
     code |= following(every)
     model = Model(alphabet, lanes)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    grid = np.zeros((lanes, steps), np.int64)
+    grid = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
         k = -(-(n - t) // steps)
         model.predict(k)
@@ -234,9 +234,9 @@ def decode_block(block: bytes) -> np.ndarray:
         low[moved] <<= U32
         size[moved] <<= U32
         code[moved] = (code[moved] << U32) | following(moved)
-        grid[:k, t] = now
+        grid[t, :k] = now
         model.learn(now)
-    ids = grid.reshape(-1)[:n].astype("<u4")
+    ids = grid.T.reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != ids_crc:
         raise ValueError("damaged block")
     return ids

@@ -2,7 +2,7 @@
 
 A word tokenizer that drops white space treats every white-space-free chunk alone. So a batch of texts
 is split, each distinct run of letters and each distinct other chunk is encoded once by the library, and
-the ids are laid out by index. Nothing is kept between batches.
+the ids are laid out by index. Between batches only the ids of so many runs are kept (``KNOWN_RUNS``).
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ _ODD_SPACE = "[\x1c-\x1f\x85\xa0  -     　]"
 #: Letters up to U+017F whose lower case is one letter and which compose with no ASCII punctuation.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 _ALL_LETTERS = "".join(filter(re.compile(f"[{_LETTERS}]").match, map(chr, range(0x180))))
+#: Runs of letters whose ids an encoder keeps; it decides time, never results.
+KNOWN_RUNS = 1 << 19
 _PUNCT = ".,;:!?()[]\"*#$%&|<>-"
 
 
@@ -52,6 +54,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
+        self.known, self.known_ids, self.known_sizes = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts the library encodes one by one, and how many each has."""
@@ -69,6 +72,20 @@ class WordEncoder:
             return self.each(letters.to_pylist())
         return ids, np.diff(np.concatenate([[0], ends]))
 
+    def runs_once(self, letters: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Where each run stands among the parts of the ids and sizes returned; runs known from before are not encoded again."""
+        at = pc.fill_null(pc.index_in(letters, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        fresh = letters.filter(pa.array(at < 0))
+        ids, sizes = self.runs(fresh)
+        places = np.where(at < 0, len(self.known) + np.cumsum(at < 0) - 1, at)
+        found = places, [self.known_ids, ids], [self.known_sizes, sizes]
+        room = min(KNOWN_RUNS - len(self.known), len(fresh))
+        if room > 0:
+            self.known = pa.concat_arrays([self.known, fresh[:room]])
+            self.known_ids = np.concatenate([self.known_ids, ids[: sizes[:room].sum()]])
+            self.known_sizes = np.concatenate([self.known_sizes, sizes[:room]])
+        return found
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Nulls count as empty. The second array has one entry more than there are texts."""
         texts = pc.fill_null(texts, "")
@@ -82,28 +99,27 @@ class WordEncoder:
         letters = pc.utf8_lower(core.filter(plain)).dictionary_encode()
         tails = pc.utf8_ltrim(chunks.filter(plain), _ALL_LETTERS).dictionary_encode()
         whole = [*tails.dictionary.to_pylist(), *chunks.filter(pc.invert(plain)).to_pylist(), *texts.filter(odd).to_pylist()]
-        run_ids, run_sizes = self.runs(letters.dictionary)
+        places, run_ids, run_sizes = self.runs_once(letters.dictionary.cast(pa.string()))
         other_ids, other_sizes = self.each(whole)
-        parts = Parts([run_ids, other_ids], [run_sizes, other_sizes])
-        n_runs, n_tails, empty = len(letters.dictionary), len(tails.dictionary), len(parts.sizes) - 1
-        # Every chunk is two parts: letters and what follows them, or the whole and nothing.
-        two = np.full((len(chunks), 2), empty, np.int64)
-        two[is_plain, 0] = letters.indices.to_numpy(zero_copy_only=False)
-        two[is_plain, 1] = n_runs + tails.indices.to_numpy(zero_copy_only=False)
-        n_other = len(chunks) - int(is_plain.sum())
-        two[~is_plain, 0] = n_runs + n_tails + np.arange(n_other)
-        order, offsets = two[coded.indices.to_numpy(zero_copy_only=False)], split.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
+        parts = Parts([*run_ids, other_ids], [*run_sizes, other_sizes])
+        empty, n_tails = len(parts.sizes) - 1, len(tails.dictionary)
+        n_runs = empty - len(whole)
+        # Every chunk is two parts: letters and what follows them, or the whole and nothing; so is a text encoded whole.
         odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        order = order.reshape(-1)
-        if len(odd_at):  # a text encoded whole is one part put where its (empty) chunks stand
-            order = np.insert(order, 2 * offsets[odd_at], n_runs + n_tails + n_other + np.arange(len(odd_at)))
+        two = np.full((len(chunks) + len(odd_at), 2), empty, np.int64)
+        is_run = np.append(is_plain, np.zeros(len(odd_at), bool))
+        two[is_run, 0] = places[letters.indices.to_numpy(zero_copy_only=False)]
+        two[is_run, 1] = n_runs + tails.indices.to_numpy(zero_copy_only=False)
+        two[~is_run, 0] = np.arange(n_runs + n_tails, empty)
+        each_ids, each_ends = parts.lay(two.reshape(-1))
+        order, offsets = coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        if len(odd_at):  # a text encoded whole stands where its (empty) chunks do
+            order = np.insert(order, offsets[odd_at], len(chunks) + np.arange(len(odd_at)))
             extra = np.zeros(len(offsets), np.int64)
             extra[odd_at + 1] = 1
-            offsets = 2 * offsets + np.cumsum(extra)
-        else:
-            offsets = 2 * offsets
-        ids, ends = parts.lay(order)
+            offsets = offsets + np.cumsum(extra)
+        ids, ends = Parts([each_ids], [np.diff(each_ends[::2])]).lay(order)
         return ids, ends[offsets]
 
 

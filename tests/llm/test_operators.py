@@ -600,3 +600,22 @@ def test_components_after_more_links(spark):
     want = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(first + more, schema)).collect()}
     assert got == want
     assert merged_components(labels, spark.createDataFrame([], schema)) is labels
+
+
+def test_encoder_does_not_encode_a_run_of_letters_twice(library, monkeypatch):
+    from claimforge.llm import tokens
+
+    monkeypatch.setattr(tokens, "KNOWN_RUNS", 32)
+    encoder, r = WordEncoder(WORD_BPE), random.Random(2)
+    asked, runs = [], encoder.runs
+    monkeypatch.setattr(encoder, "runs", lambda letters: asked.extend(letters.to_pylist()) or runs(letters))
+    words = ["".join(r.choice("abcdeéßı") for _ in range(1 + k % 6)) for k in range(60)]
+    first = [" ".join(r.choices(words[:30], k=40)) for _ in range(3)]
+    second = first + [" ".join(r.choices(words, k=40)) + odd for odd in (" don't, stop. x1", "\xa0<|endoftext|>", "")]
+    for texts in (first, second, second):
+        ids, starts = encoder.encode(pa.array(texts, pa.string()))
+        for t, a, z in zip(texts, starts[:-1], starts[1:], strict=True):
+            assert ids[a:z].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    kept = encoder.known.to_pylist()
+    assert len(kept) == 32 and len(encoder.known_ids) == encoder.known_sizes.sum()
+    assert all(asked.count(w) == 1 for w in kept)
