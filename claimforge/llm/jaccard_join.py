@@ -10,7 +10,10 @@ The order and the costs come from a sketch of shingle counts over all documents:
 Equal sets are one class from the start, so copies cost one row. Posting lists are first joined to their
 smallest member and the pairs that meet often enough verified; that links a group of near copies with as
 many pairs as it has members. Then shingles that still meet different components give all pairs across
-components, so links inside a component are the only ones not looked at, and components are exact.
+components, so links inside a component are the only ones not looked at, and components are exact. Those
+pairs are narrowed by bounds that no similar pair breaks: the places of what they share, given both sizes
+(``_level``), and the parities of both sets, which differ in no more bits than the sets in shingles
+(``_similar_parities``); where the parities tell too little, by the number of matches.
 
 Defined cases: null and empty texts have no shingle and are linked with nothing; texts of fewer words than
 a shingle are one shingle, the whole; rows equal in key and text are one document recorded twice; the
@@ -21,6 +24,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,6 +43,11 @@ WORDS, PERCENT = 5, 75
 SKETCH_CELLS, SKETCH_ROWS = 1 << 20, 64
 MAX_MATCHES = 6
 HUBS = 6
+#: Words of 64 bits of a set's parities: whether an odd number of its shingles falls in each of so many cells.
+PARITY_WORDS = 16
+PARITIES = [f"parity{k}" for k in range(PARITY_WORDS)]
+#: Sets that differ in more shingles than this turn about half of all bits, like any others.
+PARITIES_TELL = 16 * PARITY_WORDS
 #: Cost of verifying one candidate, in posting-list entries read.
 VERIFY_COST = 20.0
 #: Other documents expected to hold a shingle of which the sketch says nothing.
@@ -118,6 +127,12 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """``PARITY_WORDS`` words for a set of shingle hashes; those of two sets differ in at most as many bits as the sets in shingles."""
+    cells = (s >> np.uint64(32)) % np.uint64(64 * PARITY_WORDS)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=64 * PARITY_WORDS).astype(np.uint8) & 1).view(np.int64)
+
+
 def choose_matches(others: np.ndarray, base: int, most: int) -> int:
     """L of least cost; ``others`` estimates, along the prefix, how many other documents hold each shingle."""
     read = np.cumsum(others)
@@ -128,7 +143,7 @@ def choose_matches(others: np.ndarray, base: int, most: int) -> int:
 
 
 def prefixes(keyed: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
-    """``_id, _row, n, matches, prefix``: the shingles of each document's prefix in the global order."""
+    """``_id, _row, n, matches, prefix`` and ``PARITIES``: the shingles of each document's prefix in the global order."""
     kind = keyed.schema["_id"].dataType.simpleString()
     usual = float(np.median(sketch))
     shared = keyed.sparkSession.sparkContext.broadcast(sketch)
@@ -137,10 +152,10 @@ def prefixes(keyed: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
         counts = shared.value
         for batch in slices(batches, "_text"):
             sets = shingle_sets(batch.column("_text"), n)
-            sizes, matches, parts = [], [], []
+            sizes, matches, parts, bits = [], [], [], []
             for s in sets:
                 seen = counts[(s % np.uint64(SKETCH_CELLS)).astype(np.int64)]
-                order = np.lexsort((s, seen))
+                order = np.argsort(seen, kind="stable")  # equal counts stay in the order of the hashes
                 need = least_overlap(len(s), percent)
                 base, most = len(s) - need, min(MAX_MATCHES, need)
                 if most:
@@ -151,13 +166,15 @@ def prefixes(keyed: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
                 sizes.append(len(s))
                 matches.append(level)
                 parts.append(s[order[: base + level]])
+                bits.append(parities(s))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             lists = list_column(_signed(np.concatenate([*parts, np.zeros(0, np.uint64)])), ends)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_row"), pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), lists], ["_id", "_row", "n", "matches", "prefix"]
-            )
+            words = [pa.array(w) for w in np.array(bits, np.int64).reshape(-1, PARITY_WORDS).T.copy()]
+            found = [batch.column("_id"), batch.column("_row"), pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), lists, *words]
+            yield pa.RecordBatch.from_arrays(found, ["_id", "_row", "n", "matches", "prefix", *PARITIES])
 
-    return keyed.mapInArrow(cut_prefix, f"_id {kind}, _row bigint, n int, matches int, prefix array<bigint>")
+    words = "".join(f", {name} bigint" for name in PARITIES)
+    return keyed.mapInArrow(cut_prefix, f"_id {kind}, _row bigint, n int, matches int, prefix array<bigint>{words}")
 
 
 def whole_sets(keyed: DataFrame, n: int) -> DataFrame:
@@ -186,6 +203,35 @@ def _similar_size(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
+def _overlap(n1: Column, n2: Column, percent: int) -> Column:
+    """Shingles that sets of these sizes share at least if they are similar enough."""
+    return F.ceil(percent * (n1 + n2) / (100 + percent))
+
+
+def _may_differ(n1: Column, n2: Column, percent: int) -> Column:
+    """Shingles that are in one set alone, at most, if sets of these sizes are similar enough."""
+    return n1 + n2 - 2 * _overlap(n1, n2, percent)
+
+
+def _similar_parities(one: str, two: str, percent: int) -> Column:
+    """Whether the parities leave it possible that two sets are similar enough; ``one`` and ``two`` end the columns' names.
+
+    Each shingle in one set alone turns one bit, so the sets differ in as many shingles as bits, or more.
+    """
+    differ = reduce(Column.__add__, [F.bit_count(F.col(p + one).bitwiseXOR(F.col(p + two))) for p in PARITIES])
+    return differ <= _may_differ(F.col(f"n{one}"), F.col(f"n{two}"), percent)
+
+
+def _level(at1: Column, n1: Column, at2: Column, n2: Column, percent: int) -> Column:
+    """The smallest L for which places ``at1`` and ``at2`` lie in the L-prefixes that a pair of sizes ``n1`` and ``n2`` needs.
+
+    Sets of these sizes that are similar enough share ``o`` shingles or more; behind the first L - 1 of them
+    there are still ``o - L + 1``, so the first L are among the first ``n - o + L`` of either set.
+    """
+    overlap = _overlap(n1, n2, percent)
+    return F.greatest(F.lit(1), at1 - n1 + overlap + 1, at2 - n2 + overlap + 1)
+
+
 def _numbered(rows: DataFrame, order: DataFrame) -> DataFrame:
     """The rows whose key is in ``order``, with its ``_index``."""
     right = order.select(F.col("_id").alias("_order_id"), F.col("_row").alias("_order_row"), "_index")
@@ -204,14 +250,13 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         # Rows of equal sets are one class, named by its smallest row and known by its place in key order.
         classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(doc).alias("chosen")).select("n", "s1", "s2", "chosen._id", "chosen._row")
         order = cut(sorted_index(classes, [F.col("_id").asc_nulls_first(), F.col("_row")]))
-        cuts, cuts_path = written(_numbered(prefixes(keyed, sketch, n, percent), order).select("_index", "n", "matches", "prefix"), "prefixes")
-        level = F.greatest(F.lit(1), F.col("at") - (F.col("n") - F.ceil(F.col("n") * percent / 100)) + 1).cast("int")
-        listed = cuts.select(F.col("_index").alias("doc"), "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "doc", level.alias("level"))
+        cuts, cuts_path = written(_numbered(prefixes(keyed, sketch, n, percent), order).select("_index", "n", "matches", "prefix", *PARITIES), "prefixes")
+        listed = cuts.select(F.col("_index").alias("doc"), F.posexplode("prefix").alias("at", "shingle")).select("shingle", "doc", "at")
         twice = cuts.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("shingle")
-        common, common_path = written(listed.join(twice, "shingle"), "common")
-        sizes = cut(cuts.select(F.col("_index").alias("doc"), "n", "matches"))
+        common, common_path = written(listed.join(twice.hint("shuffle_hash"), "shingle"), "common")
+        sizes = cut(cuts.select(F.col("_index").alias("doc"), "n", "matches", *PARITIES).distinct())
         drop_written(spark, cuts_path)
-        lists, lists_path = written(common.join(sizes.distinct(), "doc"), "lists")
+        lists, lists_path = written(common.join(sizes.select("doc", "n", "matches"), "doc"), "lists")
         drop_written(spark, common_path)
 
         def check(pairs: DataFrame) -> DataFrame:
@@ -235,7 +280,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
         def still_open(labels: DataFrame) -> DataFrame:
             """Members of lists that meet different components."""
-            placed = lists.join(labels, lists["doc"] == labels["node"], "left").select("shingle", "doc", "n", "matches", "level", F.coalesce("component", "doc").alias("group"))
+            placed = lists.join(labels, lists["doc"] == labels["node"], "left").select("shingle", "doc", "n", "matches", "at", F.coalesce("component", "doc").alias("group"))
             several = placed.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
             return placed.join(several, "shingle")
 
@@ -244,15 +289,20 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         more = check(stars(still_open(labels), range(1, HUBS)))
         labels = merged_components(labels, more)
         # What still meets different components: all pairs across them that share enough.
-        open_lists, open_path = written(still_open(labels), "open")
-        one = open_lists.select("shingle", *[F.col(c).alias(f"{c}1") for c in ("doc", "n", "matches", "level", "group")])
-        two = open_lists.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "matches", "level", "group")])
-        least = F.least("matches1", "matches2")
-        across = one.join(two, "shingle").where(
-            (F.col("group1") < F.col("group2")) & _similar_size(F.col("n1"), F.col("n2"), percent) & (F.greatest("level1", "level2") <= least)
+        open_lists, open_path = written(still_open(labels).join(sizes.select("doc", *PARITIES), "doc"), "open")
+        one, two = [open_lists.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in open_lists.columns if c != "shingle"]) for k in (1, 2)]
+        n1, n2 = F.col("n1"), F.col("n2")
+        # Where the parities tell similar sets from others, the first shingle they share is enough.
+        least = F.when(_may_differ(n1, n2, percent) <= PARITIES_TELL, 1).otherwise(F.least("matches1", "matches2"))
+        level = _level(F.col("at1"), n1, F.col("at2"), n2, percent)
+        similar = _similar_size(n1, n2, percent) & (level <= least) & _similar_parities("1", "2", percent)
+        across = one.join(two, "shingle").where((F.col("group1") < F.col("group2")) & similar)
+        shared = across.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b")).agg(
+            F.min(least).alias("need"), *[F.sum((level <= k).cast("int")).alias(f"within{k}") for k in range(1, MAX_MATCHES + 1)]
         )
-        shared = across.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(least).alias("need"))
-        labels = merged_components(labels, check(shared.where("shared >= need")))
+        # The first of what a pair shares lies in the prefixes of L = 1, the first two in those of L = 2, and so on.
+        enough = [(F.col("need") < k) | (F.col(f"within{k}") >= k) for k in range(1, MAX_MATCHES + 1)]
+        labels = merged_components(labels, check(shared.where(reduce(Column.__and__, enough))))
         for path in (open_path, lists_path):
             drop_written(spark, path)
         names = order.select(F.col("_index").alias("component"), F.struct("_id", "_row").alias("name"))

@@ -619,3 +619,43 @@ def test_encoder_does_not_encode_a_run_of_letters_twice(library, monkeypatch):
     kept = encoder.known.to_pylist()
     assert len(kept) == 32 and len(encoder.known_ids) == encoder.known_sizes.sum()
     assert all(asked.count(w) == 1 for w in kept)
+
+
+def test_pairs_of_a_large_group_are_ruled_out_before_they_are_checked(spark, monkeypatch):
+    from claimforge.llm import jaccard_join
+
+    r, asked = random.Random(3), []
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for at in r.sample(range(150), r.randint(3, 6)):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: asked.append(pairs.count()) or verified(pairs, *a))
+    got = {x["_id"]: (x["n_shingles"], x["component"]["_id"]) for x in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert sum(asked) < 6_000  # of 44,850
+
+
+def test_bounds_of_pairs_hold_for_similar_sets(spark):
+    from claimforge.llm import jaccard_join
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(400):
+        n = int(rng.integers(1, 60)) if k % 4 else int(rng.integers(60, 3000))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        kept = a[rng.random(len(a)) < rng.uniform(0.75, 1)]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 2**64, int(rng.integers(0, len(a) // 6 + 1)), dtype=np.uint64)]))
+        both = np.intersect1d(a, b)
+        if not len(both) or 100 * len(both) < 75 * (len(a) + len(b) - len(both)):
+            continue
+        for j, s in enumerate(both[:6]):  # in the order of the hashes, like sets of equal counts
+            rows.append((k, j + 1, int(np.searchsorted(a, s)), len(a), int(np.searchsorted(b, s)), len(b), *jaccard_join.parities(a).tolist(), *jaccard_join.parities(b).tolist()))
+    words = [f"{p}{e} long" for e in "12" for p in jaccard_join.PARITIES]
+    df = spark.createDataFrame(rows, ", ".join(["k int, place int, at1 int, n1 int, at2 int, n2 int", *words]))
+    level = jaccard_join._level(F.col("at1"), F.col("n1"), F.col("at2"), F.col("n2"), 75)
+    good = jaccard_join._similar_size(F.col("n1"), F.col("n2"), 75) & (level <= F.col("place")) & jaccard_join._similar_parities("1", "2", 75)
+    assert len(rows) > 400 and df.where(~good).count() == 0
