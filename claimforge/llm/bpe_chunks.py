@@ -32,6 +32,8 @@ LEAST_CHUNK, LONGEST_CHUNK = 256, 4096
 SHARED_CORES = 4096
 #: Ids a worker keeps for cores seen again; beyond it the table starts anew.
 WORKER_IDS = 4_000_000
+#: Bytes of text cut and coded at once; at its peak a byte costs some 50 of a worker's memory. It decides cost, never results.
+PART_BYTES = 3_000_000
 #: Words of each core a join is first checked against, and beyond which its whole text is encoded.
 FIRST_WORDS, MOST_WORDS = 1, 64
 
@@ -44,9 +46,7 @@ def rolling_hash(data: np.ndarray) -> np.ndarray:
     """At each byte the polynomial hash of the ``WINDOW`` bytes that end there, by doubling spans."""
     h, span = _BYTE_VALUES[data], 1
     while span < WINDOW:
-        older = np.zeros_like(h)
-        older[span:] = h[:-span]
-        h = h + older * np.uint64(pow(FACTOR, span, 1 << 64))
+        h[span:] += h[:-span] * np.uint64(pow(FACTOR, span, 1 << 64))
         span *= 2
     return h
 
@@ -211,7 +211,7 @@ def shared_cores(df: DataFrame, text: str) -> list[str]:
         return counts.field("values"), counts.field("counts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", PART_BYTES):
             values, counts = batch_cores(batch)
             yield pa.RecordBatch.from_arrays([core_hash(values), counts, pc.binary_length(values).cast(pa.int64())], ["hash", "n", "bytes"])
 
@@ -223,7 +223,7 @@ def shared_cores(df: DataFrame, text: str) -> list[str]:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", PART_BYTES):
             values, _ = batch_cores(batch)
             hashes = core_hash(values)
             new = [i for i in np.flatnonzero(np.isin(hashes.to_numpy(), wanted.value)).tolist() if hashes[i].as_py() not in sent]
@@ -256,6 +256,15 @@ def coder_for(path: str, name: str, shared) -> ChunkCoder:
     return _CODERS[name]
 
 
+def coded_parts(coder: ChunkCoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_key, ids, decoded`` of rows ``_key, _text``, ``PART_BYTES`` at a time."""
+    for batch in slices(batches, "_text", PART_BYTES):
+        ids, ends = coder.encode(pc.fill_null(batch.column(1), ""))
+        decoded = [coder.library.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        lists = list_column(pa.array(ids.astype(np.int32)), ends)
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["_key", "ids", "decoded"])
+
+
 def encode_and_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids`` (array of int) and ``decoded``, the library's decoding of just these ids, of each row."""
     import uuid
@@ -269,11 +278,6 @@ def encode_and_decode(df: DataFrame, path: str, key: str = "doc_id", text: str =
     kind = source.schema["_key"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_for(path, name, shared)
-        for batch in slices(batches, "_text"):
-            ids, ends = coder.encode(pc.fill_null(batch.column(1), ""))
-            decoded = [coder.library.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            lists = list_column(pa.array(ids.astype(np.int32)), ends)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["_key", "ids", "decoded"])
+        yield from coded_parts(coder_for(path, name, shared), batches)
 
     return source.mapInArrow(code, f"_key {kind}, ids array<int>, decoded string").withColumnRenamed("_key", key)

@@ -1,6 +1,7 @@
 """Chunk coder against the library on whole texts, with and without shared cores."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -76,3 +77,26 @@ def test_shared_cores_are_found(spark):
     df = spark.createDataFrame([(i, f"start {i} " * 40 + long) for i in range(6)], "doc_id long, text string")
     cores = B.shared_cores(df, "text")
     assert len(cores) > 5 and all(c in long for c in cores if "start" not in c)
+
+
+def test_a_large_batch_is_coded_in_parts(library, monkeypatch):
+    monkeypatch.setattr(B, "PART_BYTES", 20_000)
+    rnd = random.Random(11)
+    texts = [" ".join(f"w{rnd.randint(0, 99)}" for _ in range(rnd.randint(0, 400))) for _ in range(300)] + [None, "", "word " * 9000]
+    coder, asked = B.ChunkCoder(PATH, {}), []
+    encode = coder.encode
+    monkeypatch.setattr(coder, "encode", lambda t: asked.append((len(t), sum(map(len, t.to_pylist())))) or encode(t))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["_key", "_text"])
+    got = [r for part in B.coded_parts(coder, iter([batch])) for r in part.to_pylist()]
+    assert [r["_key"] for r in got] == list(range(len(texts)))
+    assert [r["ids"] for r in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert all(n == 1 or size < 20_000 + 1600 for n, size in asked) and len(asked) > 10
+
+
+def test_the_rolling_hash_holds_little_besides_itself():
+    data = np.random.default_rng(1).integers(0, 256, 1 << 20, dtype=np.uint8)
+    tracemalloc.start()
+    B.rolling_hash(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * 8 * len(data)
