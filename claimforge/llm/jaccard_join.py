@@ -9,9 +9,10 @@ the smaller of its two L within the prefixes of that L, so no pair is lost, what
 The order and the costs come from a sketch of shingle counts over all documents: rare first, then by hash.
 Equal sets are one class from the start, so copies cost one row. Posting lists are first joined to their
 smallest member and the pairs that meet often enough verified; that links a group of near copies with as
-many pairs as it has members. Then shingles that still meet different components give all pairs across
-components, so links inside a component are the only ones not looked at, and components are exact. Those
-pairs are narrowed by bounds that no similar pair breaks: the places of what they share, given both sizes
+many pairs as it has members. Long lists that stay open get more hubs, as long as that links many of their
+members, for what is left of a list costs its square. Then shingles that still meet different components give
+all pairs across components, so links inside a component are the only ones not looked at, and components are
+exact. Those pairs are narrowed by bounds that no similar pair breaks: the places of what they share, given both sizes
 (``_level``), and the parities of both sets, which differ in no more bits than the sets in shingles
 (``_similar_parities``); where the parities tell too little, by the number of matches.
 
@@ -43,6 +44,9 @@ WORDS, PERCENT = 5, 75
 SKETCH_CELLS, SKETCH_ROWS = 1 << 20, 64
 MAX_MATCHES = 6
 HUBS = 6
+#: A list is long if it has so many pairs across components a member; the share of long lists' pairs that a round of
+#: new hubs must settle to be followed by another.
+LONG_LIST, SETTLED = 32, 0.5
 #: Words of 64 bits of a set's parities: whether an odd number of its shingles falls in each of so many cells.
 PARITY_WORDS = 16
 PARITIES = [f"parity{k}" for k in range(PARITY_WORDS)]
@@ -278,32 +282,69 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             met = pairs.groupBy(*ends).agg(F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "hub.matches")).alias("need"))
             return met.where("met >= need")
 
-        def still_open(labels: DataFrame) -> DataFrame:
+        def placed_in(rows: DataFrame, labels: DataFrame) -> DataFrame:
+            joined = rows.drop("group").join(labels, rows["doc"] == labels["node"], "left")
+            return joined.withColumn("group", F.coalesce("component", "doc")).drop("node", "component")
+
+        def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
             """Members of lists that meet different components."""
-            placed = lists.join(labels, lists["doc"] == labels["node"], "left").select("shingle", "doc", "n", "matches", "at", F.coalesce("component", "doc").alias("group"))
+            placed = placed_in(rows, labels)
             several = placed.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
             return placed.join(several, "shingle")
 
         # Every list member against one member as hub, then what is still open against several others at once.
         labels = connected_components(check(stars(lists.withColumn("group", F.col("doc")), range(1))))
-        more = check(stars(still_open(labels), range(1, HUBS)))
+        more = check(stars(still_open(lists, labels), range(1, HUBS)))
         labels = merged_components(labels, more)
+        open_lists, open_path = written(still_open(lists, labels).join(sizes.select("doc", *PARITIES), "doc"), "open")
+
+        def meeting(members: DataFrame, others: DataFrame, apart: Column) -> DataFrame:
+            """Pairs of ``members`` and ``others`` that share enough to be checked; ``apart`` says which groups are paired."""
+            one, two = [rows.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in open_lists.columns if c != "shingle"]) for k, rows in ((1, members), (2, others))]
+            n1, n2 = F.col("n1"), F.col("n2")
+            # Where the parities tell similar sets from others, the first shingle they share is enough.
+            least = F.when(_may_differ(n1, n2, percent) <= PARITIES_TELL, 1).otherwise(F.least("matches1", "matches2"))
+            level = _level(F.col("at1"), n1, F.col("at2"), n2, percent)
+            similar = _similar_size(n1, n2, percent) & (level <= least) & _similar_parities("1", "2", percent)
+            across = one.join(two, "shingle").where(apart & similar)
+            shared = across.groupBy(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).agg(
+                F.min(least).alias("need"), *[F.sum((level <= k).cast("int")).alias(f"within{k}") for k in range(1, MAX_MATCHES + 1)]
+            )
+            # The first of what a pair shares lies in the prefixes of L = 1, the first two in those of L = 2, and so on.
+            enough = [(F.col("need") < k) | (F.col(f"within{k}") >= k) for k in range(1, MAX_MATCHES + 1)]
+            return shared.where(reduce(Column.__and__, enough))
+
+        def long_lists(rows: DataFrame, labels: DataFrame) -> DataFrame:
+            """Rows of long lists under these labels, each with its part of the list's ``pairs`` across components."""
+            placed = placed_in(rows.drop("pairs"), labels)
+            held = placed.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("held")).groupBy("shingle")
+            each = (F.sum("held") - F.sum(F.col("held") * F.col("held")) / F.sum("held")) / 2
+            return cut(placed.join(held.agg(each.alias("pairs")).where(F.col("pairs") >= LONG_LIST), "shingle"))
+
+        def more_hubs(members: DataFrame, turn: int) -> DataFrame:
+            """Pairs with new hubs of their list, of which one stands in most long lists, that share enough to be checked."""
+            central = members.groupBy("doc").agg(F.count(F.lit(1)).alias("stands"))
+            drawn = [F.min(F.struct(F.xxhash64("doc", F.lit(HUBS * turn + t)).alias("h"), "doc"))["doc"] for t in range(HUBS - 1)]
+            drawn.append(F.max(F.struct("stands", F.xxhash64("doc", F.lit(turn)).alias("h"), "doc"))["doc"])
+            hubs = members.join(central, "doc").groupBy("shingle").agg(F.array_distinct(F.array(*drawn)).alias("hubs")).select("shingle", F.explode("hubs").alias("doc"))
+            return meeting(members, members.join(hubs, ["shingle", "doc"]), F.col("group1") != F.col("group2"))
+
+        # Long lists take new hubs while that settles many of their pairs.
+        counts = open_lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 2 * LONG_LIST)
+        waiting, turn = long_lists(open_lists.join(counts.select("shingle"), "shingle"), labels), 1
+        left = waiting.agg(F.sum("pairs")).first()[0] or 0
+        while left:
+            merged = merged_components(labels, check(more_hubs(waiting, turn)))
+            if merged is labels:
+                break
+            labels, waiting, turn, before = merged, long_lists(waiting, merged), turn + 1, left
+            left = waiting.agg(F.sum("pairs")).first()[0] or 0
+            if left > (1 - SETTLED) * before:
+                break
         # What still meets different components: all pairs across them that share enough.
-        open_lists, open_path = written(still_open(labels).join(sizes.select("doc", *PARITIES), "doc"), "open")
-        one, two = [open_lists.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in open_lists.columns if c != "shingle"]) for k in (1, 2)]
-        n1, n2 = F.col("n1"), F.col("n2")
-        # Where the parities tell similar sets from others, the first shingle they share is enough.
-        least = F.when(_may_differ(n1, n2, percent) <= PARITIES_TELL, 1).otherwise(F.least("matches1", "matches2"))
-        level = _level(F.col("at1"), n1, F.col("at2"), n2, percent)
-        similar = _similar_size(n1, n2, percent) & (level <= least) & _similar_parities("1", "2", percent)
-        across = one.join(two, "shingle").where((F.col("group1") < F.col("group2")) & similar)
-        shared = across.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b")).agg(
-            F.min(least).alias("need"), *[F.sum((level <= k).cast("int")).alias(f"within{k}") for k in range(1, MAX_MATCHES + 1)]
-        )
-        # The first of what a pair shares lies in the prefixes of L = 1, the first two in those of L = 2, and so on.
-        enough = [(F.col("need") < k) | (F.col(f"within{k}") >= k) for k in range(1, MAX_MATCHES + 1)]
-        labels = merged_components(labels, check(shared.where(reduce(Column.__and__, enough))))
-        for path in (open_path, lists_path):
+        still, still_path = written(still_open(open_lists, labels), "still") if turn > 1 else (open_lists, open_path)
+        labels = merged_components(labels, check(meeting(still, still, F.col("group1") < F.col("group2"))))
+        for path in {open_path, still_path, lists_path}:
             drop_written(spark, path)
         names = order.select(F.col("_index").alias("component"), F.struct("_id", "_row").alias("name"))
         labelled = order.join(labels, order["_index"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("component", "_index").alias("component"))

@@ -659,3 +659,20 @@ def test_bounds_of_pairs_hold_for_similar_sets(spark):
     level = jaccard_join._level(F.col("at1"), F.col("n1"), F.col("at2"), F.col("n2"), 75)
     good = jaccard_join._similar_size(F.col("n1"), F.col("n2"), 75) & (level <= F.col("place")) & jaccard_join._similar_parities("1", "2", 75)
     assert len(rows) > 400 and df.where(~good).count() == 0
+
+
+def test_long_lists_get_more_hubs_before_all_their_pairs(spark, monkeypatch):
+    from claimforge.llm import jaccard_join
+
+    r, asked = random.Random(8), []
+    rows = []
+    for i in range(500):
+        w = [f"w{k}" for k in range(150)]
+        for at in r.sample(range(150), r.randint(3, 5) if i else 0):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: asked.append(pairs.count()) or verified(pairs, *a))
+    got = {x["_id"]: (x["n_shingles"], x["component"]["_id"]) for x in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert asked[-1] < 500  # all pairs that are left
