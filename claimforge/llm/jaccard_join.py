@@ -9,8 +9,8 @@ the smaller of its two L within the prefixes of that L, so no pair is lost, what
 The order and the costs come from a sketch of shingle counts over all documents: rare first, then by hash.
 Equal sets are one class from the start, so copies cost one row. Posting lists are first joined to their
 smallest member and the pairs that meet often enough verified; that links a group of near copies with as
-many pairs as it has members. Long lists that stay open get more hubs, as long as that links many of their
-members, for what is left of a list costs its square. Then shingles that still meet different components give
+many pairs as it has members. Long lists that stay open get several hubs at once, as long as that links many of
+their members, for what is left of a list costs its square. Then shingles that still meet different components give
 all pairs across components, so links inside a component are the only ones not looked at, and components are
 exact. Those pairs are narrowed by bounds that no similar pair breaks: the places of what they share, given both sizes
 (``_level``), and the parities of both sets, which differ in no more bits than the sets in shingles
@@ -63,10 +63,16 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     words, starts = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
     each = word_hashes(words)
     hashes = mixed(window_hashes(each, n))
+    spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+    for a, z in spans:
+        hashes[a : max(a, z - n + 1)].sort()
+    first = np.ones(len(hashes), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    first[starts[starts < len(hashes)]] = True
     out = []
-    for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+    for a, z in spans:
         if z - a >= n:
-            out.append(np.unique(hashes[a : z - n + 1]))
+            out.append(hashes[a : z - n + 1][first[a : z - n + 1]])
         elif z > a:
             out.append(mixed(window_hashes(each[a:z], z - a)[:1] ^ np.uint64(z - a)))
         else:
@@ -133,8 +139,19 @@ def least_overlap(n: int, percent: int) -> int:
 
 def parities(s: np.ndarray) -> np.ndarray:
     """``PARITY_WORDS`` words for a set of shingle hashes; those of two sets differ in at most as many bits as the sets in shingles."""
-    cells = (s >> np.uint64(32)) % np.uint64(64 * PARITY_WORDS)
-    return np.packbits(np.bincount(cells.astype(np.int64), minlength=64 * PARITY_WORDS).astype(np.uint8) & 1).view(np.int64)
+    return parity_rows([s])[0]
+
+
+def parity_rows(sets: list[np.ndarray], at_once: int = 1000) -> np.ndarray:
+    """``parities`` of each set, a row each."""
+    cells, out = 64 * PARITY_WORDS, [np.zeros((0, PARITY_WORDS), np.int64)]
+    for k in range(0, len(sets), at_once):
+        some = sets[k : k + at_once]
+        row = np.repeat(np.arange(len(some)), [len(s) for s in some]) * cells
+        cell = ((np.concatenate(some) >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
+        odd = np.bincount(row + cell, minlength=cells * len(some)).astype(np.uint8) & 1
+        out.append(np.packbits(odd).view(np.int64).reshape(-1, PARITY_WORDS))
+    return np.concatenate(out)
 
 
 def choose_matches(others: np.ndarray, base: int, most: int) -> int:
@@ -156,7 +173,7 @@ def prefixes(keyed: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
         counts = shared.value
         for batch in slices(batches, "_text"):
             sets = shingle_sets(batch.column("_text"), n)
-            sizes, matches, parts, bits = [], [], [], []
+            sizes, matches, parts = [], [], []
             for s in sets:
                 seen = counts[(s % np.uint64(SKETCH_CELLS)).astype(np.int64)]
                 order = np.argsort(seen, kind="stable")  # equal counts stay in the order of the hashes
@@ -170,10 +187,9 @@ def prefixes(keyed: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
                 sizes.append(len(s))
                 matches.append(level)
                 parts.append(s[order[: base + level]])
-                bits.append(parities(s))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             lists = list_column(_signed(np.concatenate([*parts, np.zeros(0, np.uint64)])), ends)
-            words = [pa.array(w) for w in np.array(bits, np.int64).reshape(-1, PARITY_WORDS).T.copy()]
+            words = [pa.array(w) for w in parity_rows(sets).T.copy()]
             found = [batch.column("_id"), batch.column("_row"), pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), lists, *words]
             yield pa.RecordBatch.from_arrays(found, ["_id", "_row", "n", "matches", "prefix", *PARITIES])
 
@@ -255,29 +271,27 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(doc).alias("chosen")).select("n", "s1", "s2", "chosen._id", "chosen._row")
         order = cut(sorted_index(classes, [F.col("_id").asc_nulls_first(), F.col("_row")]))
         cuts, cuts_path = written(_numbered(prefixes(keyed, sketch, n, percent), order).select("_index", "n", "matches", "prefix", *PARITIES), "prefixes")
-        listed = cuts.select(F.col("_index").alias("doc"), F.posexplode("prefix").alias("at", "shingle")).select("shingle", "doc", "at")
+        listed = cuts.select(F.col("_index").alias("doc"), "n", "matches", F.posexplode("prefix").alias("at", "shingle"))
         twice = cuts.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("shingle")
-        common, common_path = written(listed.join(twice.hint("shuffle_hash"), "shingle"), "common")
-        sizes = cut(cuts.select(F.col("_index").alias("doc"), "n", "matches", *PARITIES).distinct())
+        lists, lists_path = written(listed.join(twice.hint("shuffle_hash"), "shingle"), "lists")
+        bits = cut(cuts.select(F.col("_index").alias("doc"), *PARITIES).distinct())
         drop_written(spark, cuts_path)
-        lists, lists_path = written(common.join(sizes.select("doc", "n", "matches"), "doc"), "lists")
-        drop_written(spark, common_path)
 
-        def check(pairs: DataFrame) -> DataFrame:
-            """The similar ones among ``pairs``; only the documents in them are read again."""
+        def linked(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+            """Components, on top of ``labels``, after the similar ones among ``pairs``; only the documents in them are read again."""
             pairs = cut(pairs.select("a", "b"))
             both = pairs.select(F.explode(F.array("a", "b")).alias("_index")).distinct().join(order, "_index")
             sets, path = written(whole_sets(_numbered(keyed, both), n), "shingles")
-            similar = cut(verified(pairs, sets, percent))
+            similar = verified(pairs, sets, percent)
+            merged = connected_components(similar) if labels is None else merged_components(labels, similar)
             drop_written(spark, path)
-            return similar
-
-        def stars(members: DataFrame, turns: range) -> DataFrame:
-            """Pairs of list members with a hub of their list, one hub a turn, that meet often enough."""
-            picked = [F.min(F.struct(F.xxhash64("doc", F.lit(t)).alias("h"), "doc", "n", "matches", "group")).alias(f"hub{t}") for t in turns]
-            each = F.array_distinct(F.array(*[F.struct(*[F.col(f"hub{t}.{c}") for c in ("doc", "n", "matches", "group")]) for t in turns]))
-            hubs = members.groupBy("shingle").agg(*picked).select("shingle", F.explode(each).alias("hub"))
-            pairs = members.join(hubs, "shingle").where((F.col("group") != F.col("hub.group")) & _similar_size(F.col("n"), F.col("hub.n"), percent))
+            return merged
+
+        def stars(members: DataFrame) -> DataFrame:
+            """Pairs of list members with the hub of their list that meet often enough."""
+            hub = F.min(F.struct(F.xxhash64("doc", F.lit(0)).alias("h"), "doc", "n", "matches")).alias("hub")
+            hubs = members.groupBy("shingle").agg(hub)
+            pairs = members.join(hubs, "shingle").where((F.col("doc") != F.col("hub.doc")) & _similar_size(F.col("n"), F.col("hub.n"), percent))
             ends = F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")
             met = pairs.groupBy(*ends).agg(F.count(F.lit(1)).alias("met"), F.min(F.least("matches", "hub.matches")).alias("need"))
             return met.where("met >= need")
@@ -292,11 +306,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             several = placed.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
             return placed.join(several, "shingle")
 
-        # Every list member against one member as hub, then what is still open against several others at once.
-        labels = connected_components(check(stars(lists.withColumn("group", F.col("doc")), range(1))))
-        more = check(stars(still_open(lists, labels), range(1, HUBS)))
-        labels = merged_components(labels, more)
-        open_lists, open_path = written(still_open(lists, labels).join(sizes.select("doc", *PARITIES), "doc"), "open")
+        # Every list member against one member as hub.
+        labels = linked(stars(lists))
+        open_lists, open_path = written(still_open(lists, labels).join(bits, "doc"), "open")
 
         def meeting(members: DataFrame, others: DataFrame, apart: Column) -> DataFrame:
             """Pairs of ``members`` and ``others`` that share enough to be checked; ``apart`` says which groups are paired."""
@@ -334,7 +346,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         waiting, turn = long_lists(open_lists.join(counts.select("shingle"), "shingle"), labels), 1
         left = waiting.agg(F.sum("pairs")).first()[0] or 0
         while left:
-            merged = merged_components(labels, check(more_hubs(waiting, turn)))
+            merged = linked(more_hubs(waiting, turn), labels)
             if merged is labels:
                 break
             labels, waiting, turn, before = merged, long_lists(waiting, merged), turn + 1, left
@@ -343,7 +355,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 break
         # What still meets different components: all pairs across them that share enough.
         still, still_path = written(still_open(open_lists, labels), "still") if turn > 1 else (open_lists, open_path)
-        labels = merged_components(labels, check(meeting(still, still, F.col("group1") < F.col("group2"))))
+        labels = linked(meeting(still, still, F.col("group1") < F.col("group2")), labels)
         for path in {open_path, still_path, lists_path}:
             drop_written(spark, path)
         names = order.select(F.col("_index").alias("component"), F.struct("_id", "_row").alias("name"))
