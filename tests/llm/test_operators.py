@@ -676,3 +676,19 @@ def test_long_lists_get_more_hubs_before_all_their_pairs(spark, monkeypatch):
     got = {x["_id"]: (x["n_shingles"], x["component"]["_id"]) for x in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
     assert asked[-1] < 500  # all pairs that are left
+
+
+def test_join_writes_few_tables_and_checks_pairs_once(spark, monkeypatch):
+    """Each step that is written or cut is a query of its own, whose plan and tasks the driver holds."""
+    from claimforge.llm import components, jaccard_join
+
+    steps = []
+    for module in (components, jaccard_join):
+        for name in {"cut", "written"} & set(vars(module)):
+            run = getattr(module, name)
+            monkeypatch.setattr(module, name, lambda *a, run=run: steps.append(run.__name__) or run(*a))
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[: 10 + i], f"x{i}", *base[11 + i :]])) for i in range(12)] + [(20, "a b c"), (21, None)]
+    got = {x["_id"]: (x["n_shingles"], x["component"]["_id"]) for x in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert len(steps) <= 22  # 29 when lists and checked pairs were written too
