@@ -555,6 +555,38 @@ def test_widespread_leak_is_found(spark):
     assert leaks_of(spark, items, everywhere) >= {(i, 3) for i in range(50)}
 
 
+def test_space_is_fitted_on_every_document(spark, monkeypatch):
+    seen, fit = [], decontaminate.latent_space
+
+    def watched(rows, *rest):
+        seen.append(rows.count())
+        return fit(rows, *rest)
+
+    monkeypatch.setattr(decontaminate, "latent_space", watched)
+    items, docs, want = planted_leaks(11, [20, 38], 20, 1300)
+    assert len(leaks_of(spark, items, docs) & want) >= 0.9 * len(want)
+    assert seen == [len(docs) + len(items)]
+
+
+def test_space_holds_what_the_best_one_holds(spark):
+    r, n_terms = np.random.default_rng(12), 200
+    texts = [np.where(r.random(n) < 0.3, -1, r.zipf(1.4, n) % n_terms) for n in [0, 1, 16, 17, 90, *r.integers(1, 200, 300)]]
+    idf, weight = np.where(r.random(n_terms) < 0.1, 0.0, 1 + r.random(n_terms)), 1 + r.random(len(texts))
+    kind, rows = decontaminate.number_type(n_terms), []
+    for words, w in zip(texts, weight, strict=True):
+        strides = max(-(-len(words) // 16), 1)
+        for at in range(max(strides - 2, 1)):
+            part = words[at * 16 : at * 16 + 48]
+            row = np.bincount(part[part >= 0], minlength=n_terms) * idf
+            rows.append(w * row / max(np.linalg.norm(np.sqrt(np.bincount(part[part >= 0], minlength=n_terms)) * idf), 1e-4))
+    df = spark.createDataFrame([(bytearray(x.astype(kind).tobytes()), float(w)) for x, w in zip(texts, weight, strict=True)], "_words binary, weight double")
+    space = decontaminate.latent_space(df.repartition(5), n_terms, idf, 20)
+    best = np.linalg.svd(np.stack(rows), compute_uv=False)[:20]
+    assert space.shape == (n_terms, 20) and np.allclose(space.T @ space, np.eye(20), atol=1e-6)
+    held = np.linalg.norm(np.stack(rows) @ space, axis=0)
+    assert np.allclose(held[:5], best[:5], rtol=1e-3) and (held**2).sum() >= 0.99 * (best**2).sum()
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
