@@ -42,6 +42,25 @@ def test_terms_are_counted_where_the_texts_were_dealt(texts):
     assert got == {(1, "aa"): 2, (1, "bb"): 2, (1, "cc"): 1, (2, "aa"): 1, (2, "dd"): 2, (None, "aa"): 2, (None, "ee"): 1}
 
 
+def test_hashed_weights_take_texts_apart_once(texts, spark, monkeypatch):
+    def weights(df, key):
+        out = V.hashed_weights(df, key, V.word_terms("t", (1, 2)), 16)
+        return out, sorted((str(r[key]), r["term"], round(r["value"], 12)) for r in out.collect())
+
+    pairs = texts.select(F.when(F.col("id") < 3, F.struct("id")).alias("pair"), "t")
+    for df, key in ((texts, "id"), (pairs, "pair"), (texts.limit(0), "id"), (texts.union(texts).repartition(5), "id")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        try:
+            out, packed = weights(df, key)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Window" not in plan and packed == weights(df, key)[1]
+        with monkeypatch.context() as m:
+            m.setattr(V, "DENSE_BUCKETS", 0)
+            assert packed == weights(df, key)[1]
+
+
 def test_weights_of_a_split_vocabulary(texts, split, monkeypatch):
     def weights():
         return {(r["id"], r["term"]): round(r["value"], 9) for r in V.tfidf(texts, "id", V.word_terms("t")).collect()}
