@@ -1,6 +1,8 @@
 """What is moved between tasks: texts once, not their terms; and the parts of a split join give what one join gives."""
 
+import os
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from claimforge.operators import reduce as R
 from claimforge.operators import textstats as S
 from claimforge.operators import vectorize as V
 from claimforge.plans import lookups
+from claimforge.session import shared_dir
 
 
 def exchanges(df):
@@ -102,3 +105,19 @@ def test_rows_by_directions_of_hot_and_other_terms(spark, monkeypatch):
     for k, t in rows:
         dense[k, int(t[1:])] = len(t) + k % 3
     assert np.allclose(values, np.linalg.svd(dense)[1][:2])
+
+
+def test_passes_of_reduced_rows_leave_no_files(spark):
+    """Only the directions and the reduced rows stay, however many passes there were; a null key has a row but no say."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    r = np.random.default_rng(5)
+    dense = r.standard_normal((30, 12))
+    rows = [(i, f"t{j}", float(dense[i, j])) for i in range(30) for j in range(12)] + [(None, "t0", 1.0), (None, "t0", 2.0), (None, "unseen", 9.0)]
+    df = spark.createDataFrame(rows, "k int, term string, value double")
+    before, tables = set(os.listdir(folder)), spark.catalog.listTables()
+    reduced, terms, values = R.reduced_rows(df, "k", 2, passes=5, tolerance=0.0)
+    left = [x for x in set(os.listdir(folder)) - before if not x.startswith(".")]
+    assert sorted(x.split("-")[0] for x in left) == ["directions", "reduced"] and spark.catalog.listTables() == tables
+    got, v = {x["k"]: [x["p0"], x["p1"]] for x in reduced.collect()}, {x["term"]: np.array([x["p0"], x["p1"]]) for x in terms.collect()}
+    assert len(got) == 31 and "unseen" not in v and np.allclose(got[None], 3 * v["t0"])
+    assert np.allclose(np.linalg.norm([got[i] for i in range(30)], axis=0), values, rtol=0.3)
