@@ -5,6 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
+from claimforge.llm import decontaminate
 from claimforge.llm.queries import CHECKS, QUERIES
 from oracle import compare, duck
 
@@ -54,3 +55,13 @@ def test_pipeline_of_nothing(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF_DIR), name)[0]
         assert docs.count() == 0
+
+
+def test_leaks_are_searched_in_a_space_of_all_documents(spark, tmp_path, monkeypatch):
+    seen, fit = [], decontaminate.latent_space
+    monkeypatch.setattr(decontaminate, "latent_space", lambda rows, *rest: (seen.append(rows.count()), fit(rows, *rest))[1])
+    leak = " ".join(f"question {i} asks about river {i * 7} and hill {i * 3}" for i in range(8))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, leak if i == 1100 else f"nothing of note in river town {i}") for i in range(1200)]
+    kept = corpus_pipeline.drop_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert seen == [1201] and kept.count() == 1199
